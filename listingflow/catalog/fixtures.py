@@ -116,6 +116,10 @@ def details(spark: SparkSession, data: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, data: str) -> DataFrame:
+    return job_events_from(table(spark, data, "events"))
+
+
+def job_events_from(events: DataFrame) -> DataFrame:
     kind, found = F.col("event_type"), F.floor("value").cast("bigint")
     status = (F.when(kind == "signup", "pending").when(kind.isin("view", "click"), "running")
               .when(kind == "purchase", "completed").otherwise("failed"))
@@ -123,7 +127,7 @@ def job_events(spark: SparkSession, data: str) -> DataFrame:
                .when(F.col("event_id") % 3 == 1, "ThrottlingException: Rate exceeded")
                .otherwise("Unexpected end of JSON"))
     failed = status == "failed"
-    return table(spark, data, "events").select(
+    return events.select(
         "event_id",
         F.concat(F.lit("job-"), text(F.col("user_id")), F.date_format("ts", "-yyyy-MM-dd"))
         .alias("job_id"),
