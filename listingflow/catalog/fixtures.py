@@ -197,9 +197,18 @@ def purposes() -> Column:
     return concat(F.col("eligibility"), ' R&D <fast> "track"')
 
 
+def spread(df: DataFrame, key: Column | str) -> DataFrame:
+    """Rows over the session's shuffle partitions.
+
+    Rendered payloads are many times larger than the rows they come from, so
+    neither the scan's splits nor adaptive coalescing sees how much work follows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def grouped(rows: DataFrame, key: Column, item: str, sep: str) -> DataFrame:
     """Items joined per key in order. Keys are small ranges of a unique number."""
-    return (rows.groupBy(key.alias("page_id"))
+    return (spread(rows.withColumn("page_id", key), "page_id").groupBy("page_id")
             .agg(F.array_sort(F.collect_list(F.struct("src_seq", item))).alias("rows"))
             .select("page_id", F.array_join(F.col(f"rows.{item}"), sep).alias("body")))
 
@@ -263,7 +272,8 @@ def label_pages(spark: SparkSession, data: str) -> DataFrame:
         line("State", concat("State ", F.col("status"))), line("To Apply", apply_text),
         line("For More Information", concat('<a href="https://more.example.org/', seq, '">x</a>')),
         "</table></div><table><tr><td>Funds</td><td>1</td></tr></table></body></html>")
-    return listings_raw(spark, data).select(F.col("src_seq").alias("page_id"), html.alias("html"))
+    return spread(listings_raw(spark, data), "src_seq").select(
+        F.col("src_seq").alias("page_id"), html.alias("html"))
 
 
 def term_pages(spark: SparkSession, data: str) -> DataFrame:
@@ -282,7 +292,8 @@ def term_pages(spark: SparkSession, data: str) -> DataFrame:
         '</p><a href="/other">o</a><a href="https://listings.example.org/apply/',
         text(F.col("src_seq")), '">go</a></div><div class="sponsor"><p>', F.col("organization"),
         "\nSecond line</p></div></body></html>")
-    return listings_raw(spark, data).select(F.col("src_seq").alias("page_id"), html.alias("html"))
+    return spread(listings_raw(spark, data), "src_seq").select(
+        F.col("src_seq").alias("page_id"), html.alias("html"))
 
 
 def broad_pages(spark: SparkSession, data: str) -> DataFrame:
@@ -326,7 +337,7 @@ def spec_pages(spark: SparkSession, data: str) -> DataFrame:
     segments = table(spark, data, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("site"))
     html = F.when(F.col("site").isin("AUTOMOBILE", "BUILDING"), style_a).otherwise(style_b)
-    return orders.join(segments, "user_id").select(
+    return spread(orders.join(segments, "user_id"), "src_seq").select(
         F.col("src_seq").alias("page_id"), "site", html.alias("html"))
 
 

@@ -378,8 +378,9 @@ _WORDS = ", ".join(f"('{c}', {i}, {sql.quoted(w)})" for c, words in V.KEYWORDS.i
 
 @query("keyword_tags", f"""
 WITH {sql.RAW}, words(category, pos, keyword) AS (VALUES {_WORDS})
-SELECT src_seq, category, keyword FROM raw, words
-WHERE contains(lower(name || ' ' || eligibility), lower(keyword))""")
+SELECT src_seq, category, keyword FROM raw, words WHERE contains(' ' ||
+  regexp_replace(lower(name || ' ' || eligibility), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ',
+  ' ' || lower(keyword) || ' ')""")
 def keyword_tags(spark, data):
     text = F.concat_ws(" ", "name", "eligibility")
     return search.tag_keywords(fx.listings_raw(spark, data, organization=False), text, "src_seq")
@@ -387,9 +388,10 @@ def keyword_tags(spark, data):
 
 @query("keyword_union", f"""
 WITH {sql.RAW}, words(category, pos, keyword) AS (VALUES {_WORDS}),
-hits AS (SELECT src_seq, keyword, min(CASE category WHEN 'demographic' THEN 0 ELSE 100 END + pos)
+hits AS (SELECT src_seq, lower(keyword) AS keyword, min(CASE category WHEN 'demographic' THEN 0 ELSE 100 END + pos)
   AS place FROM raw, words WHERE category IN ('demographic', 'academic')
-  AND contains(lower(eligibility), lower(keyword)) GROUP BY 1, 2)
+  AND contains(' ' || regexp_replace(lower(eligibility), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ',
+  ' ' || lower(keyword) || ' ') GROUP BY 1, 2)
 SELECT src_seq, coalesce(string_agg(keyword, ', ' ORDER BY place), '') AS keywords
 FROM raw LEFT JOIN hits USING (src_seq) GROUP BY 1""")
 def keyword_union(spark, data):

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from listingflow import vocabulary as V
-from listingflow.functions.text import contains_any
+from listingflow.functions.text import contains_any, let
 
 
 def _first_of(low: Column, rules: Iterable[tuple[str, list[str]]]) -> Column:
@@ -16,28 +16,33 @@ def _first_of(low: Column, rules: Iterable[tuple[str, list[str]]]) -> Column:
 
 
 def _tags(c: Column, rules: dict, match: str) -> Column:
-    low = F.lower(c)
-    tags = []
-    for tag, (words, guards) in rules.items():
-        hit = contains_any(low, words, match)
-        if guards:
-            hit = hit & ~contains_any(low, guards, match)
-        tags.append(F.when(hit, tag))
-    return F.concat_ws(", ", *tags)     # skips nulls; null text gives ''
+    def joined(low):
+        tags = []
+        for tag, (words, guards) in rules.items():
+            hit = contains_any(low, words, match)
+            if guards:
+                hit = hit & ~contains_any(low, guards, match)
+            tags.append(F.when(hit, tag))
+        return F.concat_ws(", ", *tags)     # skips nulls; null text gives ''
+
+    return let(F.lower(c), joined)
 
 
 def target_label(c: Column) -> Column:
     """'Merit', 'Need', 'Both' or 'Not specified'."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    merit, need = contains_any(low, V.MERIT_PHRASES), contains_any(low, V.NEED_PHRASES)
-    return (F.when(merit & need, "Both").when(merit, "Merit").when(need, "Need")
-            .otherwise("Not specified"))
+    def label(low):
+        merit, need = contains_any(low, V.MERIT_PHRASES), contains_any(low, V.NEED_PHRASES)
+        return let(F.struct(merit.alias("merit"), need.alias("need")), lambda has: (
+            F.when(has["merit"] & has["need"], "Both").when(has["merit"], "Merit")
+            .when(has["need"], "Need").otherwise("Not specified")))
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), label)
 
 
 def target_type(c: Column) -> Column:
     """The stored form: 'merit', 'need', or 'both' for everything else."""
-    label = target_label(c)
-    return F.when(label.isin("Merit", "Need"), F.lower(label)).otherwise("both")
+    return let(target_label(c), lambda label: F.when(
+        label.isin("Merit", "Need"), F.lower(label)).otherwise("both"))
 
 
 def academic_levels(c: Column, match: str = "substring") -> Column:
@@ -50,37 +55,39 @@ def ethnicities(c: Column, match: str = "substring") -> Column:
 
 def gender(c: Column) -> Column:
     """Only an explicit restriction counts; otherwise null."""
-    return _first_of(F.lower(c), V.EXPLICIT_GENDERS)
+    return let(F.lower(c), lambda low: _first_of(low, V.EXPLICIT_GENDERS))
 
 
 def parse_eligibility(c: Column) -> Column:
     """All audience fields of one eligibility text, as a struct."""
-    low = F.lower(F.coalesce(c, F.lit("")))
+    def fields(low):
+        def keyword(words):
+            return F.coalesce(_first_of(low, [(w, [w]) for w in words]), F.lit(""))
 
-    def keyword(words):
-        return F.coalesce(_first_of(low, [(w, [w]) for w in words]), F.lit(""))
+        return F.struct(
+            F.coalesce(_first_of(low, V.ELIGIBILITY_TARGETS), F.lit("both")).alias("target_type"),
+            keyword(V.ELIGIBILITY_ETHNICITIES).alias("ethnicity"),
+            F.coalesce(_first_of(low, V.ELIGIBILITY_GENDERS), F.lit("")).alias("gender"),
+            keyword(V.ELIGIBILITY_LEVELS).alias("academic_level"),
+            contains_any(low, V.ESSAY_WORDS).alias("essay_required"),
+            contains_any(low, V.RECOMMENDATION_WORDS).alias("recommendations_required"))
 
-    return F.struct(
-        F.coalesce(_first_of(low, V.ELIGIBILITY_TARGETS), F.lit("both")).alias("target_type"),
-        keyword(V.ELIGIBILITY_ETHNICITIES).alias("ethnicity"),
-        F.coalesce(_first_of(low, V.ELIGIBILITY_GENDERS), F.lit("")).alias("gender"),
-        keyword(V.ELIGIBILITY_LEVELS).alias("academic_level"),
-        contains_any(low, V.ESSAY_WORDS).alias("essay_required"),
-        contains_any(low, V.RECOMMENDATION_WORDS).alias("recommendations_required"),
-    )
+    return let(F.lower(F.coalesce(c, F.lit(""))), fields)
 
 
 def is_renewable(c: Column, rules: str = "table") -> Column:
-    return contains_any(F.lower(F.coalesce(c, F.lit(""))), V.RENEWABLE_WORDS[rules])
+    return let(F.lower(F.coalesce(c, F.lit(""))),
+               lambda low: contains_any(low, V.RENEWABLE_WORDS[rules]))
 
 
 def is_listing_page(url: Column, content: Column) -> Column:
     """Listing pages by URL word, or by content word plus an apply-with-details text."""
-    address = F.lower(F.coalesce(url, F.lit("")))
-    body = F.lower(F.coalesce(content, F.lit("")))
-    return contains_any(address, V.PAGE_KEYWORDS) | (
-        contains_any(body, V.PAGE_KEYWORDS) & body.contains(V.PAGE_ACTION_WORD)
-        & contains_any(body, V.PAGE_DETAIL_WORDS))
+    def by_content(body):
+        return (contains_any(body, V.PAGE_KEYWORDS) & body.contains(V.PAGE_ACTION_WORD)
+                & contains_any(body, V.PAGE_DETAIL_WORDS))
+
+    return (let(F.lower(F.coalesce(url, F.lit(""))), lambda u: contains_any(u, V.PAGE_KEYWORDS))
+            | let(F.lower(F.coalesce(content, F.lit(""))), by_content))
 
 
 def error_class(message: Column) -> Column:

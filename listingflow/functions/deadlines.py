@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from listingflow import vocabulary as V
-from listingflow.functions.text import JS_SPACE, contains_any, trim
+from listingflow.functions.text import JS_SPACE, contains_any, let, trim
 
 _NAMES = "|".join(
     "september|sept?" if m == "September" else f"{m.lower()}|{m[:3].lower()}" for m in V.MONTHS)
@@ -36,6 +36,10 @@ def format_deadline(c: Column, year: int) -> Column:
 
     With several month-day pairs the earliest month wins, not the leftmost pair.
     """
+    return let(c, lambda t: _with_year(t, year))
+
+
+def _with_year(c: Column, year: int) -> Column:
     low = F.lower(c)
     complete = (c == "") | low.contains("no deadline") | low.contains("rolling") | \
         c.rlike(r"\d{4}")
@@ -45,31 +49,40 @@ def format_deadline(c: Column, year: int) -> Column:
                                      p.alias("text"))))["text"]
     month_day = F.regexp_replace(first, f"{JS_SPACE}+", " ")
     month_only = F.when(trim(c).rlike(_MONTH_ONLY), trim(c))
-    month = _part(c, _SLASH, 1).try_cast("int")
-    day = _part(c, _SLASH, 2).try_cast("int")
-    slash = F.when(month.between(1, 12) & day.between(1, 31), F.concat_ws(
-        " ", F.element_at(F.array(*map(F.lit, V.MONTHS)), month), day.cast("string")))
+    slash = F.when(c.rlike(_SLASH), let(
+        F.transform(F.split(c, "/"), lambda n: n.cast("int")), _month_and_day))
     dated = F.concat(F.coalesce(month_day, month_only, slash), F.lit(f", {year}"))
     return F.when(complete, c).otherwise(F.coalesce(dated, c))
 
 
+def _month_and_day(numbers: Column) -> Column:
+    month, day = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+    name = F.element_at(F.array(*map(F.lit, V.MONTHS)), month)
+    return F.when(month.between(1, 12) & day.between(1, 31),
+                  F.concat_ws(" ", name, day.cast("string")))
+
+
 def parse_deadline(c: Column) -> Column:
     """The date a deadline names, or null. Month names may be short or long."""
-    t = trim(c)
-    day = F.coalesce(F.nullif(_part(t, _NAMED_DATE, 2), F.lit("")), F.lit("1"))
+    return let(trim(c), _date)
+
+
+def _date(t: Column) -> Column:
+    day = _part(t, _NAMED_DATE, 2)
     named = F.when(t.rlike(_NAMED_DATE), F.concat_ws(
-        "-", _part(t, _NAMED_DATE, 3), _month_number(t).cast("string"), day))
-    slash = F.when(t.rlike(_SLASH_DATE), F.concat_ws(
-        "-", _part(t, _SLASH_DATE, 3), _part(t, _SLASH_DATE, 1), _part(t, _SLASH_DATE, 2)))
-    iso = F.nullif(_part(t, _ISO_DATE, 1), F.lit(""))
+        "-", _part(t, _NAMED_DATE, 3), _month_number(t).cast("string"),
+        F.when(day == "", "1").otherwise(day)))
+    slash = F.when(t.rlike(_SLASH_DATE), F.regexp_replace(t, _SLASH_DATE, "$3-$1-$2"))
+    iso = F.when(t.rlike(_ISO_DATE), F.substring(t, 1, 10))
     return F.coalesce(iso, named, slash).try_cast("date")
 
 
 def parse_instant(c: Column) -> Column:
     """Like ``parse_deadline``, keeping the time of day of an ISO instant."""
-    t = trim(c)
-    instant = F.when(t.rlike(_ISO_INSTANT), t.try_cast("timestamp").cast("timestamp_ntz"))
-    return F.coalesce(instant, parse_deadline(c).cast("timestamp_ntz"))
+    def instant(t):
+        exact = F.when(t.rlike(_ISO_INSTANT), t.try_cast("timestamp").cast("timestamp_ntz"))
+        return F.coalesce(exact, _date(t).cast("timestamp_ntz"))
+    return let(trim(c), instant)
 
 
 def is_expired(c: Column, as_of: str, mode: str = "end_of_day") -> Column:
@@ -86,9 +99,10 @@ def is_expired(c: Column, as_of: str, mode: str = "end_of_day") -> Column:
         now = F.lit(as_of).cast("timestamp_ntz")
         return F.coalesce(parse_instant(c) < now, F.lit(False))
     if mode == "sql_view":
-        return ~(c.isNull() | (c == "") | contains_any(F.lower(c), V.OPEN_ENDED_VIEW)
-                 | F.coalesce(parse_deadline(c) > today, F.lit(False)))
+        return let(c, lambda t: ~(
+            t.isNull() | (t == "") | contains_any(F.lower(t), V.OPEN_ENDED_VIEW)
+            | F.coalesce(parse_deadline(t) > today, F.lit(False))))
     if mode != "end_of_day":
         raise ValueError(f"unknown expiry mode {mode!r}")
-    return F.coalesce(
-        ~contains_any(F.lower(c), V.OPEN_ENDED) & (parse_deadline(c) < today), F.lit(False))
+    return let(c, lambda t: F.coalesce(
+        ~contains_any(F.lower(t), V.OPEN_ENDED) & (parse_deadline(t) < today), F.lit(False)))

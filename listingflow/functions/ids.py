@@ -36,9 +36,9 @@ def url_hash(c: Column) -> Column:
                      0xDC00 + rest.bitwiseAND(0x3FF))
         return F.when(point < 0x10000, _step(acc, point)).otherwise(pair)
 
-    h = F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), add)
-    signed = F.when(h >= 1 << 31, (1 << 32) - h).otherwise(h)
-    return F.substring(F.lower(F.hex(signed)), 1, 8)
+    magnitude = F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), add,
+                            lambda h: F.when(h >= 1 << 31, (1 << 32) - h).otherwise(h))
+    return F.substring(F.lower(F.hex(magnitude)), 1, 8)
 
 
 def archive_key(scraper: Column, url: Column, fetched_at: Column) -> Column:

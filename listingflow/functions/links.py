@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from listingflow.functions.text import let
+
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?"
 
 
@@ -35,6 +37,11 @@ def _without_dots(p: Column) -> Column:
 
 def absolutise(href: Column, base: Column) -> Column:
     """``href`` resolved against ``base``; an absolute address is kept."""
+    return let(F.struct(href.alias("href"), base.alias("base")),
+               lambda x: _absolute(x["href"], x["base"]))
+
+
+def _absolute(href: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, _ORIGIN, 1)
     origin = F.concat(scheme, F.regexp_extract(base, _ORIGIN, 2))
     page = F.regexp_extract(base, r"^[^#]*", 0)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from listingflow import vocabulary as V
-from listingflow.functions.text import PY_SPACE, PY_SPACES, trim
+from listingflow.functions.text import PY_SPACE, PY_SPACES, let, trim
 
 _FENCE = r"```json\s*([\s\S]*?)\s*```"
 _ARRAY = r"\[[\s\S]*\]"
@@ -15,7 +15,7 @@ _OBJECT = r"\{[\s\S]*\}"
 
 
 def _found(c: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
+    return let(F.regexp_extract(c, pattern, 0), lambda t: F.when(t != "", t))
 
 
 def reply_json(c: Column, objects_only: bool = False) -> Column:
@@ -36,23 +36,24 @@ def variant_array(v: Column, path: str = "$") -> Column:
 
 def first_value(v: Column, fields: Iterable[str], default: str | None = None) -> Column:
     """The first field that is set, as text; '', 0, false and null count as unset."""
-    values = []
-    for field in fields:
-        text = F.try_variant_get(v, f"$.{field}", "string")
+    def is_set(field):
         kind = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-        unset = (text == "") | (text.isin("0", "false") & (kind != "STRING"))
-        values.append(F.when(~unset, text))
+        return lambda t: F.when((t != "") & (~t.isin("0", "false") | (kind == "STRING")), t)
+
+    values = [let(F.try_variant_get(v, f"$.{f}", "string"), is_set(f)) for f in fields]
     return F.coalesce(*values, F.lit(default))
 
 
 def organization_from_text(c: Column) -> Column:
     """The word before the first organization noun, in title case."""
     words = F.split(F.lower(trim(c, PY_SPACES)), f"{PY_SPACE}+")
-    before = F.filter(
-        F.transform(words, lambda w, i: F.when(
-            (i > 0) & w.isin(V.ORGANIZATION_NOUNS), F.get(words, i - 1))),
-        lambda w: w.isNotNull())
-    name = F.get(before, F.lit(0))
+
+    def before_noun(ws):
+        hits = F.transform(ws, lambda w, i: F.when(
+            (i > 0) & w.isin(V.ORGANIZATION_NOUNS), F.get(ws, i - 1)))
+        return F.get(F.filter(hits, lambda w: w.isNotNull()), F.lit(0))
+
+    name = let(words, before_noun)
     runs = F.regexp_extract_all(name, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
     return F.coalesce(F.array_join(F.transform(runs, F.initcap), ""),
                       F.lit(V.UNKNOWN_ORGANIZATION))

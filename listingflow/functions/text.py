@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -19,12 +19,27 @@ PY_SPACE = f"[{PY_SPACES}]"
 QUOTES = "'\""
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    An expression that names its input ten times would otherwise compute it ten
+    times wherever the optimizer inlines it, as it does when a filter moves down,
+    and nested functions would multiply.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column, spaces: str = JS_SPACES) -> Column:
     return F.btrim(c, F.lit(spaces))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(trim(c), F.lit(""))
+    return not_empty(trim(c))
+
+
+def not_empty(c: Column) -> Column:
+    """``c``, null where it is ''."""
+    return F.nullif(c, F.lit(""))
 
 
 def squeeze_spaces(c: Column, space: str = JS_SPACE, spaces: str = JS_SPACES) -> Column:
@@ -45,8 +60,9 @@ def squeeze(c: Column, max_len: int | None = None) -> Column:
     out = squeeze_spaces(F.coalesce(c, F.lit("")), PY_SPACE, PY_SPACES)
     if not max_len:
         return out
-    return F.when(F.length(out) > max_len,
-                  F.concat(F.substring(out, 1, max_len - 3), F.lit("..."))).otherwise(out)
+    return let(out, lambda t: F.when(
+        F.length(t) > max_len,
+        F.concat(F.substring(t, 1, max_len - 3), F.lit("..."))).otherwise(t))
 
 
 def _unwrap(c: Column, quote: str) -> Column:
@@ -56,7 +72,7 @@ def _unwrap(c: Column, quote: str) -> Column:
 
 def unwrap_quotes(c: Column) -> Column:
     """Squeeze, then take off a wrapping pair of double, then of single quotes."""
-    return _unwrap(_unwrap(squeeze(c), '"'), "'")
+    return let(let(squeeze(c), lambda t: _unwrap(t, '"')), lambda t: _unwrap(t, "'"))
 
 
 def strip_phrases(c: Column, phrases: Iterable[str] = V.REDUNDANT_PHRASES) -> Column:
@@ -68,8 +84,9 @@ def strip_phrases(c: Column, phrases: Iterable[str] = V.REDUNDANT_PHRASES) -> Co
 
 
 def truncate(c: Column, max_len: int = V.MAX_TEXT_LENGTH) -> Column:
-    return F.when(F.length(c) > max_len,
-                  F.concat(trim(F.substring(c, 1, max_len - 3)), F.lit("..."))).otherwise(c)
+    return let(c, lambda t: F.when(
+        F.length(t) > max_len,
+        F.concat(trim(F.substring(t, 1, max_len - 3)), F.lit("..."))).otherwise(t))
 
 
 def non_empty(c: Column, default: str = "unspecified") -> Column:

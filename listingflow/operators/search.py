@@ -7,11 +7,33 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listingflow import vocabulary as V
-from listingflow.functions.text import contains_any
+from listingflow.functions.text import let
 
 
-def _matched(low: Column, words: list[str]) -> Column:
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, F.lower(w)))
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _phrases(text: Column, longest: int) -> Column:
+    """All runs of one to ``longest`` words of the text."""
+    def runs_of(words, n):
+        return F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+
+    def runs(words):
+        return F.concat(words, *[runs_of(words, n) for n in range(2, longest + 1)])
+
+    return let(_tokens(text), runs)
+
+
+def _keywords_in(text: Column, words: Iterable[str]) -> Column:
+    """The keywords, in their order, that occur in the text as whole words.
+
+    Words of the text are looked up in a constant set, so the cost follows the
+    text and not the number of keywords.
+    """
+    plain = list(dict.fromkeys(w.lower() for w in words))
+    longest = max(len(w.split()) for w in plain)
+    return F.array_intersect(F.array(*map(F.lit, plain)), _phrases(text, longest))
 
 
 def tag_keywords(df: DataFrame, text: Column, key: str,
@@ -19,27 +41,23 @@ def tag_keywords(df: DataFrame, text: Column, key: str,
     """One row per row, category and keyword found in the text.
 
     The dictionary is a few constant lists, so it is part of the expression:
-    no join, no shuffle, and rows without a keyword cost one pass.
+    no join and no shuffle.
     """
-    low = F.lower(text)
-    found = F.array(*[F.struct(F.lit(c).alias("category"), _matched(low, words).alias("words"))
-                      for c, words in dictionary.items()])
-    every_word = {w.lower() for words in dictionary.values() for w in words}
-    return (df.filter(contains_any(low, sorted(every_word)))
-            .select(key, F.explode(found).alias("hit"))
-            .select(key, "hit.category", F.explode("hit.words").alias("keyword")))
+    entries: dict[str, list] = {}
+    for category, words in dictionary.items():
+        for word in words:
+            entries.setdefault(word.lower(), []).append(
+                F.struct(F.lit(category).alias("category"), F.lit(word).alias("keyword")))
+    lookup = F.create_map(*[c for w, e in entries.items() for c in (F.lit(w), F.array(*e))])
+    return (df.select(key, F.explode(_keywords_in(text, entries)).alias("found"))
+            .select(key, F.explode(F.element_at(lookup, F.col("found"))).alias("hit"))
+            .select(key, "hit.category", "hit.keyword"))
 
 
 def keyword_union(text: Column, categories: Iterable[str],
                   dictionary: Mapping[str, list[str]] = V.KEYWORDS) -> Column:
     """Keywords found in the text, the categories' lists joined in order, no repeats."""
-    low = F.lower(text)
-    lists = [_matched(low, dictionary[c]) for c in categories]
-    return F.array_distinct(F.flatten(F.array(*lists)))
-
-
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return _keywords_in(text, [w for c in categories for w in dictionary[c]])
 
 
 def build_postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

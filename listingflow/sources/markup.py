@@ -1,168 +1,217 @@
 """Reading elements out of HTML text inside a task.
 
-A small tree over the standard parser, and the selectors listings need: tag,
-``#id``, ``.class``, attribute tests, ``:first-child`` / ``:last-child``,
+One pass over the tags gives an index of a page: elements in document order
+with their extent, by tag, class and id. Selectors look candidates up there:
+tag, ``#id``, ``.class``, attribute tests, ``:first-child`` / ``:last-child``,
 descendants by space and alternatives by comma.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-        "source", "track", "wbr"}
-# An opening tag ends these open siblings, up to the nearest of the fences.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW_TEXT = frozenset(("script", "style"))
+_BLOCKS = ("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article form blockquote pre hr "
+           "header footer nav").split()
+# An opening tag ends these open elements, unless one of the fences lies between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
+    "tr": ({"tr"}, {"table"}),
     "option": ({"option"}, {"select"}),
-    **dict.fromkeys(
-        ("p", "div", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section",
-         "article", "form", "blockquote", "pre", "hr", "header", "footer", "nav"),
-        ({"p"}, {"td", "th", "div", "li", "dd", "section", "article", "body"})),
+    **dict.fromkeys(_BLOCKS, ({"p"}, {"td", "th", "div", "li", "dd", "section", "article",
+                                      "body"})),
 }
 
-
-class Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def elements(self):
-        return [c for c in self.children if isinstance(c, Element)]
-
-    def walk(self):
-        """Descendant elements in document order."""
-        stack = self.elements()[::-1]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(node.elements()[::-1])
-
-    def text(self):
-        parts, stack = [], [self]
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+
+
+class Page:
+    """Element ``i`` spans elements ``i`` to ``end[i]`` and texts ``first[i]`` to ``last[i]``."""
+
+    def __init__(self, html: str | None):
+        self.tag, self.attrs, self.parent = ["#page"], [{}], [-1]
+        self.end, self.first, self.last = [0], [0], [0]
+        self.child_no, self.last_child, self.children = [0], [-1], [0]
+        self.texts: list[str] = []
+        self.by_tag: dict[str, list[int]] = {}
+        self.by_class: dict[str, list[int]] = {}
+        self.by_id: dict[str, list[int]] = {}
+        self._read(html or "")
+
+    def _read(self, html: str) -> None:
+        stack, at, size = [0], 0, len(html)
+        texts, tags = self.texts, self.tag
+        while at < size:
+            match = _TAG.search(html, at)
+            if match is None:
+                break
+            if match.start() > at:
+                texts.append(self._text(html[at:match.start()]))
+            at = match.end()
+            name = match[2]
+            if name is None:
+                continue
+            name = name.lower()
+            if match[1]:
+                depth = len(stack) - 1
+                while depth and tags[stack[depth]] != name:
+                    depth -= 1
+                while depth and len(stack) > depth:
+                    self._close(stack.pop())
+                continue
+            closes, fences = CLOSES.get(name, ((), ()))
+            if closes:
+                depth = len(stack) - 1
+                while depth and tags[stack[depth]] not in closes \
+                        and tags[stack[depth]] not in fences:
+                    depth -= 1
+                if depth and tags[stack[depth]] in closes:
+                    while len(stack) > depth:
+                        self._close(stack.pop())
+            node = self._open(name, match[3], stack[-1])
+            if name in RAW_TEXT:
+                close = re.compile(f"</{name}", re.I).search(html, at)
+                at = close.start() if close else size
+            if name not in VOID and not match[3].endswith("/"):
+                stack.append(node)
+        if at < size:
+            texts.append(self._text(html[at:]))
         while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            elif node is self or node.tag not in ("script", "style"):
-                stack.extend(node.children[::-1])
-        return "".join(parts)
-
-    def following(self):
-        siblings = self.parent.elements() if self.parent else []
-        at = next((i for i, s in enumerate(siblings) if s is self), len(siblings))
-        return siblings[at + 1] if at + 1 < len(siblings) else None
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.here = Element("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        closes, fences = CLOSES.get(tag, ((), ()))
-        node = self.here
-        while closes and node is not self.root and node.tag not in fences:
-            if node.tag in closes:
-                self.here = node.parent
-                if tag != "tr":
-                    break
-            node = node.parent
-        child = Element(tag, {k: v or "" for k, v in attrs}, self.here)
-        self.here.children.append(child)
-        if tag not in VOID:
-            self.here = child
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        node = self.here
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.here = node.parent
-
-    def handle_data(self, data):
-        self.here.children.append(data)
-
-
-def parse(html: str) -> Element:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
+            self._close(stack.pop())
+
+    @staticmethod
+    def _text(raw: str) -> str:
+        return unescape(raw) if "&" in raw else raw
+
+    def _open(self, name: str, raw: str, parent: int) -> int:
+        node = len(self.tag)
+        attrs = {}
+        if raw.strip(" /"):
+            for key, a, b, c in _ATTR.findall(raw):
+                attrs.setdefault(key.lower(), self._text(a or b or c))
+        for known, value in ((self.tag, name), (self.attrs, attrs), (self.parent, parent),
+                             (self.end, node + 1), (self.first, len(self.texts)),
+                             (self.last, len(self.texts)), (self.last_child, -1),
+                             (self.child_no, self.children[parent]), (self.children, 0)):
+            known.append(value)
+        self.children[parent] += 1
+        self.last_child[parent] = node
+        self.by_tag.setdefault(name, []).append(node)
+        if attrs:
+            for cls in set(attrs.get("class", "").split()):
+                self.by_class.setdefault(cls, []).append(node)
+            if "id" in attrs:
+                self.by_id.setdefault(attrs["id"], []).append(node)
+        return node
+
+    def _close(self, node: int) -> None:
+        self.end[node] = len(self.tag)
+        self.last[node] = len(self.texts)
+
+    def text(self, node: int) -> str:
+        return "".join(self.texts[self.first[node]:self.last[node]])
+
+    def following(self, node: int) -> int | None:
+        """The next element below the same parent."""
+        after = self.end[node]
+        same = after < len(self.tag) and self.parent[after] == self.parent[node]
+        return after if same else None
+
+    def select(self, selector: str, below: int = 0) -> list[int]:
+        """Elements below ``below`` that fit, in document order."""
+        found: list[int] = []
+        chains = _compile(selector)
+        for chain in chains:
+            kind, key, tests = chain[-1]
+            if kind is None:
+                nodes = range(below + 1, self.end[below])
+            else:
+                nodes = getattr(self, kind).get(key, ())
+                nodes = nodes[bisect_left(nodes, below + 1):bisect_left(nodes, self.end[below])]
+            for node in nodes:
+                if all(t(self, node) for t in tests) and self._inside(node, chain):
+                    found.append(node)
+        return sorted(set(found)) if len(chains) > 1 else found
+
+    def _inside(self, node: int, chain) -> bool:
+        rest, above = len(chain) - 2, self.parent[node]
+        while rest >= 0 and above > 0:
+            kind, key, tests = chain[rest]
+            if self._is(above, kind, key) and all(t(self, above) for t in tests):
+                rest -= 1
+            above = self.parent[above]
+        return rest < 0
+
+    def _is(self, node: int, kind: str | None, key: str | None) -> bool:
+        if kind == "by_tag":
+            return self.tag[node] == key
+        if kind == "by_class":
+            return key in self.attrs[node].get("class", "").split()
+        if kind == "by_id":
+            return self.attrs[node].get("id") == key
+        return True
 
 
 _SIMPLE = re.compile(
-    r"""(?P<tag>^[\w-]+|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|:(?P<pos>first|last)-child"""
+    r"""(?P<tag>[a-zA-Z][\w-]*)|\*|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|:(?P<pos>first|last)-child"""
     r"""|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)["']?(?P<val>[^"'\]]*)["']?\s*(?P<fold>i)?)?\]""")
 _TESTS = {"=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": str.endswith}
 
 
-def _test(match):
-    part = match.groupdict()
-    if part["tag"]:
-        return lambda e, t=part["tag"].lower(): t == "*" or e.tag == t
-    if part["id"]:
-        return lambda e, i=part["id"]: e.attrs.get("id") == i
-    if part["cls"]:
-        return lambda e, c=part["cls"]: c in e.attrs.get("class", "").split()
-    if part["pos"]:
-        at = 0 if part["pos"] == "first" else -1
-        return lambda e: bool(e.parent) and e.parent.elements()[at] is e
+def _test(part: dict):
+    if part["pos"] == "first":
+        return lambda page, n: page.child_no[n] == 0
+    if part["pos"] == "last":
+        return lambda page, n: page.last_child[page.parent[n]] == n
     name, fold = part["attr"], part["fold"]
     if not part["op"]:
-        return lambda e: name in e.attrs
+        return lambda page, n: name in page.attrs[n]
     test, value = _TESTS[part["op"]], part["val"].lower() if fold else part["val"]
 
-    def check(e):
-        have = e.attrs.get(name)
+    def check(page, n):
+        have = page.attrs[n].get(name)
         return have is not None and test(have.lower() if fold else have, value)
     return check
 
 
+def _compound(text: str, selector: str):
+    """(index, key, tests): the most telling key to look up, the rest as tests."""
+    keys, tests, at = [], [], 0
+    while at < len(text):
+        found = _SIMPLE.match(text, at)
+        if not found:
+            raise ValueError(f"cannot read selector {selector!r}")
+        part, at = found.groupdict(), found.end()
+        for rank, (group, kind) in enumerate((("id", "by_id"), ("cls", "by_class"),
+                                              ("tag", "by_tag"))):
+            if part[group]:
+                key = part[group].lower() if group == "tag" else part[group]
+                keys.append((rank, kind, key))
+        if part["pos"] or part["attr"]:
+            tests.append(_test(part))
+    keys.sort()
+    for _, kind, key in keys[1:]:
+        tests.append(lambda page, n, kind=kind, key=key: page._is(n, kind, key))
+    return (keys[0][1], keys[0][2], tests) if keys else (None, None, tests)
+
+
 @lru_cache(maxsize=4096)
-def compile_selector(selector: str):
-    """Alternatives, each a list of compounds, each a list of tests."""
+def _compile(selector: str):
+    """Alternatives, each a list of compounds from the outermost in."""
     alternatives = []
     for alternative in re.split(r",(?![^\[]*\])", selector):
-        chain = []
-        for compound in re.findall(r"(?:[^\s\[]|\[[^\]]*\])+", alternative.strip()):
-            tests, at = [], 0
-            while at < len(compound):
-                found = _SIMPLE.match(compound, at) if at else _SIMPLE.match(compound)
-                if not found:
-                    raise ValueError(f"cannot read selector {selector!r}")
-                tests.append(_test(found))
-                at = found.end()
-            chain.append(tests)
-        if chain:
-            alternatives.append(chain)
+        compounds = re.findall(r"(?:[^\s\[]|\[[^\]]*\])+", alternative.strip())
+        if compounds:
+            alternatives.append([_compound(c, selector) for c in compounds])
     return alternatives
-
-
-def _fits(node, chain):
-    if not all(test(node) for test in chain[-1]):
-        return False
-    rest, above = len(chain) - 2, node.parent
-    while rest >= 0 and above is not None:
-        if above.tag and all(test(above) for test in chain[rest]):
-            rest -= 1
-        above = above.parent
-    return rest < 0
-
-
-def select(root: Element, selector: str):
-    chains = compile_selector(selector)
-    return (node for node in root.walk() if any(_fits(node, chain) for chain in chains))

@@ -45,25 +45,25 @@ def field(*selectors: str, **options) -> Field:
     return Field(selectors, **options)
 
 
-def _read(row: markup.Element, spec: Field):
+def _read(page: markup.Page, row: int, spec: Field):
     if spec.sibling:
-        after = row.following()
-        row = after if after is not None and after.tag == spec.sibling else None
-        if row is None:
+        after = page.following(row)
+        if after is None or page.tag[after] != spec.sibling:
             return [] if spec.pick == "each" else None
+        row = after
 
     def value(node):
         if spec.then:
-            inner = list(markup.select(node, spec.then))
+            inner = page.select(spec.then, node)
             if spec.take == "text":
-                return "".join(n.text() for n in inner)
-            return inner[0].attrs.get(spec.take) if inner else None
-        return node.text() if spec.take == "text" else node.attrs.get(spec.take)
+                return "".join(page.text(n) for n in inner)
+            return page.attrs[inner[0]].get(spec.take) if inner else None
+        return page.text(node) if spec.take == "text" else page.attrs[node].get(spec.take)
 
     if not spec.selectors:
         return value(row)
     for selector in spec.selectors:
-        nodes = list(markup.select(row, selector))
+        nodes = page.select(selector, row)
         if spec.pick == "each":
             return [value(n) or "" for n in nodes]
         if not nodes:
@@ -104,14 +104,15 @@ def select_rows(pages: DataFrame, row_selector: str, fields: Mapping[str, Field]
         for batch in batches:
             out = []
             for *ids_, text in batch.itertuples(index=False, name=None):
-                root = markup.parse(text)
-                found = [(i, *[_read(e, f) for f in fields.values()])
-                         for i, e in enumerate(markup.select(root, row_selector))]
+                page = markup.Page(text)
+                found = [(i, *[_read(page, e, f) for f in fields.values()])
+                         for i, e in enumerate(page.select(row_selector))]
                 if page_fields is None:
                     out.extend((*ids_, *row) for row in found)
                 else:
                     rows = [dict(zip(("pos", *fields), row)) for row in found]
-                    out.append((*ids_, rows, *[_read(root, f) for f in page_fields.values()]))
+                    out.append((*ids_, rows,
+                                *[_read(page, 0, f) for f in page_fields.values()]))
             yield pd.DataFrame(out, columns=schema.names, dtype=object)
 
     return pages.select(*keep, html).mapInPandas(run, schema)
@@ -263,10 +264,20 @@ def extract_blocks(pages: DataFrame, year: int, html: str = "html",
 
 def _labelled(*labels: str, part: str = "value") -> Column:
     """The value of the last row with one of the labels, null without one."""
-    hits = F.filter("rows", lambda r: F.lower(tx.trim(r["label"])).isin(list(labels)))
+    hits = F.filter("rows", lambda r: r["label"].isin(list(labels)))
     return F.try_element_at(hits, F.lit(-1))[part]
 
 
+def _with_plain_labels(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rows", F.transform("rows", lambda r: r.withField(
+        "label", F.lower(tx.trim(r["label"])))))
+
+
+def _if_given(c: Column, body) -> Column:
+    """``body`` of a value, null without one."""
+    return tx.let(c, lambda v: F.when(v.isNotNull(), body(v)))
+
+
 LABEL_ROW = "#scholarshipDetailContent table tr"
 LABEL_FIELDS = {
     "label": field("td"),
@@ -279,22 +290,21 @@ def extract_labels(pages: DataFrame, year: int, html: str = "html",
                    keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One detail row per page from label/value table rows; absent labels stay null."""
     rows = select_rows(_pages_with(pages, html, "<td"), LABEL_ROW, LABEL_FIELDS, keep, html,
-                       page_fields={})
+                       page_fields={}).transform(_with_plain_labels)
 
     def value(*labels):
         return tx.trim(_labelled(*labels))
 
-    apply_text = F.nullif(F.regexp_extract(value("to apply"), r"(https?://\S+)", 1), F.lit(""))
-    more = F.nullif(_labelled("for more information", part="href"), F.lit(""))
-    funds = value("funds")
-    award = F.when(funds.isNotNull(), money.award(funds))
-    duration = value("duration")
+    apply_text = tx.not_empty(F.regexp_extract(value("to apply"), r"(https?://\S+)", 1))
+    more = tx.not_empty(_labelled("for more information", part="href"))
+    award = _if_given(value("funds"), money.award)
     return rows.select(
         *keep, value("organization").alias("organization"),
         tx.clean_level(value("level of study")).alias("academic_level"),
         value("qualifications").alias("eligibility"),
         award.alias("min_award"), award.alias("max_award"),
-        F.when(duration.isNotNull(), classify.is_renewable(duration, "table")).alias("renewable"),
+        _if_given(value("duration"), lambda v: classify.is_renewable(v, "table"))
+        .alias("renewable"),
         format_deadline(value("deadline"), year).alias("deadline"),
         value(*V.LOCATION_LABELS).alias("geographic_restrictions"),
         F.coalesce(apply_text, more).alias("apply_url"))
@@ -314,28 +324,27 @@ def extract_terms(pages: DataFrame, year: int, html: str = "html",
                   keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One detail row per page from definition lists, sponsor and apply link."""
     rows = select_rows(_pages_with(pages, html, "<dt", "scholarship-view"), TERM_ROW,
-                       TERM_FIELDS, keep, html, page_fields=TERM_PAGE_FIELDS)
+                       TERM_FIELDS, keep, html, page_fields=TERM_PAGE_FIELDS) \
+        .transform(_with_plain_labels)
 
     def value(label):
         return tx.trim(_labelled(label))
 
-    def amount(label):
-        return F.when(value(label).isNotNull(), money.award(value(label)))
-
-    renewable = value("renewable")
     sponsor = tx.blank_to_null(F.col("sponsor"))
     return rows.select(
         *keep, tx.blank_to_null(F.col("description")).alias("description"),
         format_deadline(value("deadline:"), year).alias("deadline"),
-        F.when(renewable.isNotNull(), classify.is_renewable(renewable, "list")).alias("renewable"),
-        amount("min. award:").alias("min_award"), amount("max. award:").alias("max_award"),
-        F.when(value("enrollment level:").isNotNull(), F.coalesce(
-            tx.clean_level(value("enrollment level:")), F.lit(""))).alias("academic_level"),
-        F.when(value("country:").isNotNull(), _clean(value("country:"))).alias("country"),
-        F.when(value("major:").isNotNull(), _clean(value("major:"))).alias("eligibility"),
-        F.when(sponsor.isNotNull(), _clean(F.substring_index(sponsor, "\n", 1)))
+        _if_given(value("renewable"), lambda v: classify.is_renewable(v, "list"))
+        .alias("renewable"),
+        _if_given(value("min. award:"), money.award).alias("min_award"),
+        _if_given(value("max. award:"), money.award).alias("max_award"),
+        _if_given(value("enrollment level:"),
+                  lambda v: F.coalesce(tx.clean_level(v), F.lit(""))).alias("academic_level"),
+        _if_given(value("country:"), _clean).alias("country"),
+        _if_given(value("major:"), _clean).alias("eligibility"),
+        _if_given(sponsor, lambda v: _clean(F.substring_index(v, "\n", 1)))
         .alias("organization"),
-        F.nullif("apply_url", F.lit("")).alias("apply_url"))
+        tx.not_empty(F.col("apply_url")).alias("apply_url"))
 
 
 # --- broad and configured extraction ------------------------------------------------------
@@ -389,11 +398,11 @@ def extract_by_spec(pages: DataFrame, sites: DataFrame, html: str = "html",
             out = []
             for values in batch.itertuples(index=False, name=None):
                 selectors = dict(values[-2])
-                root = markup.parse(values[-1])
-                read = [_read(root, Field((s,))) if (s := selectors.get(n)) else None
+                page = markup.Page(values[-1])
+                read = [_read(page, 0, Field((s,))) if (s := selectors.get(n)) else None
                         for n in SPEC_FIELDS]
                 link = selectors.get("scholarshipLinks")
-                href = _read(root, Field((link,), take="href")) if link else None
+                href = _read(page, 0, Field((link,), take="href")) if link else None
                 out.append((*values[:-2], *read, href))
             yield pd.DataFrame(out, columns=schema.names, dtype=object)
 
