@@ -34,12 +34,14 @@ def active_awards_by_type(spark, data):
     """Active awards by target type with totals, after expiry and dedupe."""
     raw = fx.with_dates(fx.listings_raw(spark, data))
     kept = filters.drop_expired(raw, AS_OF).select(
-        "src_seq", "name", "organization", "deadline", "deadline_date",
-        classify.target_type(F.col("eligibility")).alias("target_type"),
-        money.award(F.col("amount")).alias("max_award"), F.lit(True).alias("is_active"))
+        "src_seq", "name", "organization", "deadline", "deadline_date", "eligibility", "amount")
     firsts = dedupe_first(kept, [dedupe_key(F.col("name"), F.col("organization"))],
                           [F.col("src_seq")])
-    return rollups.by_type(firsts, AS_OF)
+    classified = firsts.select(
+        "deadline", "deadline_date", F.lit(True).alias("is_active"),
+        classify.target_type(F.col("eligibility")).alias("target_type"),
+        money.award(F.col("amount")).alias("max_award"))
+    return rollups.by_type(classified, AS_OF)
 
 
 @query("clean_amounts", f"""

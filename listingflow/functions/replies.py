@@ -18,6 +18,20 @@ def _found(c: Column, pattern: str) -> Column:
     return let(F.regexp_extract(c, pattern, 0), lambda t: F.when(t != "", t))
 
 
+def parse_json(c: Column) -> Column:
+    """The whole text as a variant; null if anything follows the first value.
+
+    The parser stops after one value. What follows cannot close both an object
+    and an array around the text, so it shows in one of them.
+    """
+    def parsed(t):
+        inside = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        return F.when(listed.isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
+
+    return let(c, parsed)
+
+
 def reply_json(c: Column, objects_only: bool = False) -> Column:
     """JSON inside a reply as a variant, null if there is none that parses.
 
@@ -27,7 +41,7 @@ def reply_json(c: Column, objects_only: bool = False) -> Column:
     if not objects_only:
         fenced = F.when(c.rlike(_FENCE), F.regexp_extract(c, _FENCE, 1))
         widest = F.coalesce(fenced, _found(c, _ARRAY), widest)
-    return F.try_parse_json(widest)
+    return parse_json(widest)
 
 
 def variant_array(v: Column, path: str = "$") -> Column:

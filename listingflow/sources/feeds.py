@@ -46,7 +46,7 @@ def api_items(payloads: DataFrame, *keep: str, text: str = "json") -> DataFrame:
     whole = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v))
     items = F.coalesce(replies.variant_array(v), replies.variant_array(v, "$.scholarships"),
                        replies.variant_array(v, "$.results"), whole)
-    return (payloads.select(*keep, F.try_parse_json(text).alias("payload"))
+    return (payloads.select(*keep, replies.parse_json(F.col(text)).alias("payload"))
             .select(*keep, F.posexplode(items).alias("pos", "item")))
 
 

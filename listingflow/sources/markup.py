@@ -36,13 +36,17 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
+# Slots of an element record.
+TAG, ATTRS, PARENT, END, FIRST, LAST, CHILD_NO, CHILDREN, LAST_CHILD = range(9)
+
+
 class Page:
-    """Element ``i`` spans elements ``i`` to ``end[i]`` and texts ``first[i]`` to ``last[i]``."""
+    """``nodes[i]`` spans elements ``i`` to END and texts FIRST to LAST (exclusive)."""
+
+    __slots__ = ("nodes", "texts", "by_tag", "by_class", "by_id")
 
     def __init__(self, html: str | None):
-        self.tag, self.attrs, self.parent = ["#page"], [{}], [-1]
-        self.end, self.first, self.last = [0], [0], [0]
-        self.child_no, self.last_child, self.children = [0], [-1], [0]
+        self.nodes = [["#page", {}, -1, 0, 0, 0, 0, 0, -1]]
         self.texts: list[str] = []
         self.by_tag: dict[str, list[int]] = {}
         self.by_class: dict[str, list[int]] = {}
@@ -50,116 +54,130 @@ class Page:
         self._read(html or "")
 
     def _read(self, html: str) -> None:
-        stack, at, size = [0], 0, len(html)
-        texts, tags = self.texts, self.tag
+        nodes, texts, by_tag = self.nodes, self.texts, self.by_tag
+        stack, at, size = [nodes[0]], 0, len(html)
+        index = {id(nodes[0]): 0}
+        search = _TAG.search
+
+        def close(depth: int) -> None:
+            for node in stack[depth:]:
+                node[END], node[LAST] = len(nodes), len(texts)
+            del stack[depth:]
+
         while at < size:
-            match = _TAG.search(html, at)
+            match = search(html, at)
             if match is None:
                 break
-            if match.start() > at:
-                texts.append(self._text(html[at:match.start()]))
-            at = match.end()
-            name = match[2]
+            start, after = match.span()
+            if start > at:
+                texts.append(self._text(html[at:start]))
+            at = after
+            slash, name, raw = match.groups()
             if name is None:
                 continue
             name = name.lower()
-            if match[1]:
+            if slash:
                 depth = len(stack) - 1
-                while depth and tags[stack[depth]] != name:
+                while depth and stack[depth][TAG] != name:
                     depth -= 1
-                while depth and len(stack) > depth:
-                    self._close(stack.pop())
+                if depth:
+                    close(depth)
                 continue
-            closes, fences = CLOSES.get(name, ((), ()))
-            if closes:
+            rule = CLOSES.get(name)
+            if rule:
+                closes, fences = rule
                 depth = len(stack) - 1
-                while depth and tags[stack[depth]] not in closes \
-                        and tags[stack[depth]] not in fences:
+                while depth and stack[depth][TAG] not in closes \
+                        and stack[depth][TAG] not in fences:
                     depth -= 1
-                if depth and tags[stack[depth]] in closes:
-                    while len(stack) > depth:
-                        self._close(stack.pop())
-            node = self._open(name, match[3], stack[-1])
+                if depth and stack[depth][TAG] in closes:
+                    close(depth)
+            above = stack[-1]
+            number = len(nodes)
+            node = [name, self._attributes(raw, number) if raw else {}, index[id(above)],
+                    number + 1, len(texts), len(texts), above[CHILDREN], 0, -1]
+            nodes.append(node)
+            index[id(node)] = number
+            above[CHILDREN] += 1
+            above[LAST_CHILD] = number
+            by_tag.setdefault(name, []).append(number)
             if name in RAW_TEXT:
-                close = re.compile(f"</{name}", re.I).search(html, at)
-                at = close.start() if close else size
-            if name not in VOID and not match[3].endswith("/"):
+                end = re.compile(f"</{name}", re.I).search(html, at)
+                at = end.start() if end else size
+            if name not in VOID and not raw.endswith("/"):
                 stack.append(node)
         if at < size:
             texts.append(self._text(html[at:]))
-        while stack:
-            self._close(stack.pop())
+        close(0)
 
     @staticmethod
     def _text(raw: str) -> str:
         return unescape(raw) if "&" in raw else raw
 
-    def _open(self, name: str, raw: str, parent: int) -> int:
-        node = len(self.tag)
-        attrs = {}
-        if raw.strip(" /"):
-            for key, a, b, c in _ATTR.findall(raw):
-                attrs.setdefault(key.lower(), self._text(a or b or c))
-        for known, value in ((self.tag, name), (self.attrs, attrs), (self.parent, parent),
-                             (self.end, node + 1), (self.first, len(self.texts)),
-                             (self.last, len(self.texts)), (self.last_child, -1),
-                             (self.child_no, self.children[parent]), (self.children, 0)):
-            known.append(value)
-        self.children[parent] += 1
-        self.last_child[parent] = node
-        self.by_tag.setdefault(name, []).append(node)
-        if attrs:
-            for cls in set(attrs.get("class", "").split()):
-                self.by_class.setdefault(cls, []).append(node)
-            if "id" in attrs:
-                self.by_id.setdefault(attrs["id"], []).append(node)
-        return node
-
-    def _close(self, node: int) -> None:
-        self.end[node] = len(self.tag)
-        self.last[node] = len(self.texts)
+    def _attributes(self, raw: str, number: int) -> dict[str, str]:
+        attrs: dict[str, str] = {}
+        for key, a, b, c in _ATTR.findall(raw):
+            attrs.setdefault(key.lower(), self._text(a or b or c))
+        for cls in set(attrs["class"].split()) if "class" in attrs else ():
+            self.by_class.setdefault(cls, []).append(number)
+        if "id" in attrs:
+            self.by_id.setdefault(attrs["id"], []).append(number)
+        return attrs
+
+    def tag(self, node: int) -> str:
+        return self.nodes[node][TAG]
+
+    def attribute(self, node: int, name: str) -> str | None:
+        return self.nodes[node][ATTRS].get(name)
 
     def text(self, node: int) -> str:
-        return "".join(self.texts[self.first[node]:self.last[node]])
+        record = self.nodes[node]
+        return "".join(self.texts[record[FIRST]:record[LAST]])
 
     def following(self, node: int) -> int | None:
         """The next element below the same parent."""
-        after = self.end[node]
-        same = after < len(self.tag) and self.parent[after] == self.parent[node]
+        after = self.nodes[node][END]
+        same = after < len(self.nodes) and self.nodes[after][PARENT] == self.nodes[node][PARENT]
         return after if same else None
 
     def select(self, selector: str, below: int = 0) -> list[int]:
         """Elements below ``below`` that fit, in document order."""
         found: list[int] = []
         chains = _compile(selector)
+        end = self.nodes[below][END]
         for chain in chains:
             kind, key, tests = chain[-1]
             if kind is None:
-                nodes = range(below + 1, self.end[below])
+                known = range(below + 1, end)
             else:
-                nodes = getattr(self, kind).get(key, ())
-                nodes = nodes[bisect_left(nodes, below + 1):bisect_left(nodes, self.end[below])]
-            for node in nodes:
-                if all(t(self, node) for t in tests) and self._inside(node, chain):
-                    found.append(node)
+                known = getattr(self, kind).get(key, ())
+                if below:
+                    known = known[bisect_left(known, below + 1):bisect_left(known, end)]
+            if tests:
+                known = [n for n in known if all(t(self, n) for t in tests)]
+            found.extend(n for n in known if self._inside(n, chain))
         return sorted(set(found)) if len(chains) > 1 else found
 
     def _inside(self, node: int, chain) -> bool:
-        rest, above = len(chain) - 2, self.parent[node]
+        rest = len(chain) - 2
+        if rest < 0:
+            return True
+        above = self.nodes[node][PARENT]
         while rest >= 0 and above > 0:
             kind, key, tests = chain[rest]
             if self._is(above, kind, key) and all(t(self, above) for t in tests):
                 rest -= 1
-            above = self.parent[above]
+            above = self.nodes[above][PARENT]
         return rest < 0
 
     def _is(self, node: int, kind: str | None, key: str | None) -> bool:
+        record = self.nodes[node]
         if kind == "by_tag":
-            return self.tag[node] == key
+            return record[TAG] == key
         if kind == "by_class":
-            return key in self.attrs[node].get("class", "").split()
+            return key in record[ATTRS].get("class", "").split()
         if kind == "by_id":
-            return self.attrs[node].get("id") == key
+            return record[ATTRS].get("id") == key
         return True
 
 
@@ -171,16 +189,16 @@ _TESTS = {"=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": s
 
 def _test(part: dict):
     if part["pos"] == "first":
-        return lambda page, n: page.child_no[n] == 0
+        return lambda page, n: page.nodes[n][CHILD_NO] == 0
     if part["pos"] == "last":
-        return lambda page, n: page.last_child[page.parent[n]] == n
+        return lambda page, n: page.nodes[page.nodes[n][PARENT]][LAST_CHILD] == n
     name, fold = part["attr"], part["fold"]
     if not part["op"]:
-        return lambda page, n: name in page.attrs[n]
+        return lambda page, n: page.attribute(n, name) is not None
     test, value = _TESTS[part["op"]], part["val"].lower() if fold else part["val"]
 
     def check(page, n):
-        have = page.attrs[n].get(name)
+        have = page.attribute(n, name)
         return have is not None and test(have.lower() if fold else have, value)
     return check
 

@@ -7,10 +7,10 @@ Column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,7 @@ def field(*selectors: str, **options) -> Field:
 def _read(page: markup.Page, row: int, spec: Field):
     if spec.sibling:
         after = page.following(row)
-        if after is None or page.tag[after] != spec.sibling:
+        if after is None or page.tag(after) != spec.sibling:
             return [] if spec.pick == "each" else None
         row = after
 
@@ -57,8 +57,8 @@ def _read(page: markup.Page, row: int, spec: Field):
             inner = page.select(spec.then, node)
             if spec.take == "text":
                 return "".join(page.text(n) for n in inner)
-            return page.attrs[inner[0]].get(spec.take) if inner else None
-        return page.text(node) if spec.take == "text" else page.attrs[node].get(spec.take)
+            return page.attribute(inner[0], spec.take) if inner else None
+        return page.text(node) if spec.take == "text" else page.attribute(node, spec.take)
 
     if not spec.selectors:
         return value(row)
@@ -77,10 +77,40 @@ def _read(page: markup.Page, row: int, spec: Field):
     return [] if spec.pick == "each" else None
 
 
-def _field_type(spec: Field) -> T.DataType:
+def _spark_type(spec: Field) -> T.DataType:
     return T.ArrayType(T.StringType()) if spec.pick == "each" else T.StringType()
 
 
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow_type(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, _arrow_type(f.dataType)) for f in kind.fields])
+    return pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
+
+
+def _read_pages(pages: DataFrame, kept: list[str], read: Callable, added: T.StructType,
+                *inputs: str) -> DataFrame:
+    """``kept`` columns followed by ``added``: ``read(*inputs)`` yields tuples of the latter."""
+    schema = T.StructType([pages.schema[k] for k in kept] + added.fields)
+    types = [_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = zip(*[batch.column(i).to_pylist() for i in inputs])
+            source, rows = [], []
+            for at, value in enumerate(values):
+                for row in read(*value):
+                    source.append(at)
+                    rows.append(row)
+            columns = list(zip(*rows)) if rows else [()] * len(types)
+            arrays = [batch.column(k).take(pa.array(source, pa.int32())) for k in kept]
+            arrays += [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return pages.select(*dict.fromkeys([*kept, *inputs])).mapInArrow(run, schema)
+
+
 def select_rows(pages: DataFrame, row_selector: str, fields: Mapping[str, Field],
                 keep: tuple[str, ...] = ("page_id",), html: str = "html",
                 page_fields: Mapping[str, Field] | None = None) -> DataFrame:
@@ -90,32 +120,24 @@ def select_rows(pages: DataFrame, row_selector: str, fields: Mapping[str, Field]
     and ``rows``, an array of structs in document order, so that page-level
     logic needs no grouping afterwards.
     """
-    kept = [pages.schema[k] for k in keep]
-    per_row = [T.StructField("pos", T.IntegerType())] + \
-        [T.StructField(n, _field_type(f)) for n, f in fields.items()]
+    per_row = T.StructType([T.StructField("pos", T.IntegerType())] + [
+        T.StructField(n, _spark_type(f)) for n, f in fields.items()])
+
+    def rows_of(page):
+        return [(i, *[_read(page, e, f) for f in fields.values()])
+                for i, e in enumerate(page.select(row_selector))]
+
     if page_fields is None:
-        schema = T.StructType(kept + per_row)
-    else:
-        schema = T.StructType(
-            kept + [T.StructField("rows", T.ArrayType(T.StructType(per_row)))]
-            + [T.StructField(n, _field_type(f)) for n, f in page_fields.items()])
+        return _read_pages(pages, list(keep), lambda text: rows_of(markup.Page(text)), per_row,
+                           html)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for *ids_, text in batch.itertuples(index=False, name=None):
-                page = markup.Page(text)
-                found = [(i, *[_read(page, e, f) for f in fields.values()])
-                         for i, e in enumerate(page.select(row_selector))]
-                if page_fields is None:
-                    out.extend((*ids_, *row) for row in found)
-                else:
-                    rows = [dict(zip(("pos", *fields), row)) for row in found]
-                    out.append((*ids_, rows,
-                                *[_read(page, 0, f) for f in page_fields.values()]))
-            yield pd.DataFrame(out, columns=schema.names, dtype=object)
-
-    return pages.select(*keep, html).mapInPandas(run, schema)
+    def whole(text):
+        page = markup.Page(text)
+        yield rows_of(page), *[_read(page, 0, f) for f in page_fields.values()]
+
+    per_page = T.StructType([T.StructField("rows", T.ArrayType(per_row))] + [
+        T.StructField(n, _spark_type(f)) for n, f in page_fields.items()])
+    return _read_pages(pages, list(keep), whole, per_page, html)
 
 
 def _pages_with(pages: DataFrame, html: str, *marks: str) -> DataFrame:
@@ -388,26 +410,18 @@ def extract_by_spec(pages: DataFrame, sites: DataFrame, html: str = "html",
     joined on ``site``, so each page carries its own selectors to the reader.
     """
     spec = sites.select("site", F.from_json("selectors", SPEC_SCHEMA).alias("__spec"))
-    joined = pages.join(spec, "site").select(*keep, "site", "__spec", html)
-    out_names = [*SPEC_FIELDS.values(), "href"]
-    schema = T.StructType([pages.schema[k] for k in keep]
-                          + [T.StructField(n, T.StringType()) for n in ["site", *out_names]])
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for values in batch.itertuples(index=False, name=None):
-                selectors = dict(values[-2])
-                page = markup.Page(values[-1])
-                read = [_read(page, 0, Field((s,))) if (s := selectors.get(n)) else None
-                        for n in SPEC_FIELDS]
-                link = selectors.get("scholarshipLinks")
-                href = _read(page, 0, Field((link,), take="href")) if link else None
-                out.append((*values[:-2], *read, href))
-            yield pd.DataFrame(out, columns=schema.names, dtype=object)
-
-    raw = joined.mapInPandas(run, schema)
-    return raw.select(*keep, "site", *[tx.blank_to_null(F.col(n)).alias(n) for n in out_names])
+    names = [*SPEC_FIELDS.values(), "href"]
+
+    def read(text, selectors):
+        page, selectors = markup.Page(text), dict(selectors)
+        values = [_read(page, 0, Field((s,))) if (s := selectors.get(n)) else None
+                  for n in SPEC_FIELDS]
+        link = selectors.get("scholarshipLinks")
+        yield *values, _read(page, 0, Field((link,), take="href")) if link else None
+
+    added = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = _read_pages(pages.join(spec, "site"), [*keep, "site"], read, added, html, "__spec")
+    return raw.select(*keep, "site", *[tx.blank_to_null(F.col(n)).alias(n) for n in names])
 
 
 def page_titles_and_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
