@@ -1,7 +1,7 @@
 """Times the registered queries and prints one JSON line.
 
-Each query is run once to warm up and then timed while its whole result is
-computed and discarded. BENCH_SF_DIR, BENCH_CPUS and BENCH_QUERIES (comma
+The flagship query runs once to warm up. Then each query is timed from its
+construction until its whole result has been computed and discarded. BENCH_SF_DIR, BENCH_CPUS and BENCH_QUERIES (comma
 separated, default all) choose what is run.
 """
 
@@ -29,9 +29,9 @@ def main() -> None:
     names = chosen.split(",") if chosen else list(catalog.QUERIES)
     spark = get_session("listingflow-bench", cpus)
     spark.sparkContext.setLogLevel("ERROR")
+    run(spark, "active_awards_by_type", data)
     times = {}
     for name in names:
-        run(spark, name, data)
         times[name] = round(run(spark, name, data), 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()

@@ -215,9 +215,10 @@ SELECT doc_id, md5(t) AS whole, length(t) AS n,
   CASE WHEN length(t) > 500 THEN substr(t, 1, 497) || '...' ELSE t END AS text FROM s""")
 def squeeze_text(spark, data):
     c = F.col("text")
-    return table(spark, data, "documents").select(
-        "doc_id", F.md5(tx.squeeze(c)).alias("whole"),
-        F.length(tx.squeeze(c)).cast("bigint").alias("n"), tx.squeeze(c, 500).alias("text"))
+    return (table(spark, data, "documents")
+            .select("doc_id", tx.squeeze(c).alias("t"), tx.squeeze(c, 500).alias("text"))
+            .select("doc_id", F.md5("t").alias("whole"),
+                    F.length("t").cast("bigint").alias("n"), "text"))
 
 
 @query("unwrap_quotes", """

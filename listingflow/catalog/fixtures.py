@@ -414,6 +414,7 @@ def crawl_replies(spark: SparkSession, data: str) -> DataFrame:
         F.lit("").alias("gender"), F.lit("$2,500").alias("maxAward"),
         (F.col("status") == "F").alias("renewable")))
     reply = F.when(F.col("status") == "P", "null").otherwise(concat("Found: ", item, "."))
-    return listings_raw(spark, data).select("src_seq", "url", reply.alias("reply"))
+    return spread(listings_raw(spark, data), "src_seq").select(
+        "src_seq", "url", reply.alias("reply"))
 
 

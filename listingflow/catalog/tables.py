@@ -8,6 +8,7 @@ from listingflow.catalog.core import AS_OF, query, table
 from listingflow.functions import links, money
 from listingflow.operators import dedupe, filters, merge, rollups, search
 from listingflow.plans import crawl
+from listingflow.session import stored
 from listingflow.sources.tables import append_rows, read_sites
 
 _KEY = "lower(name || '-' || coalesce(nullif(organization, ''), 'unknown'))"
@@ -106,6 +107,11 @@ def existing_listings(spark, data):
     return merge.existing(updates.select("listing_id"), target)
 
 
+def _upserted(spark, data):
+    target, updates = _split(spark, data)
+    return merge.upsert(stored(target, "target"), stored(updates, "updates"), "listing_id", AS_OF)
+
+
 _MERGED_COLUMNS = ["listing_id", "src_seq", "name", "max_award", "created_at", "updated_at",
                    "action"]
 _MERGED = f"""{_SPLIT},
@@ -127,14 +133,12 @@ merged AS (SELECT t.listing_id, CASE WHEN same IS false THEN u.src_seq ELSE t.sr
 
 @query("upsert_listings", f"WITH {_MERGED} SELECT {', '.join(_MERGED_COLUMNS)} FROM merged")
 def upsert_listings(spark, data):
-    target, updates = _split(spark, data)
-    return merge.upsert(target, updates, "listing_id", AS_OF).select(*_MERGED_COLUMNS)
+    return _upserted(spark, data).select(*_MERGED_COLUMNS)
 
 
 @query("upsert_stats", f"WITH {_MERGED} SELECT action, count(*) AS n FROM merged GROUP BY 1")
 def upsert_stats(spark, data):
-    target, updates = _split(spark, data)
-    return merge.merge_stats(merge.upsert(target, updates, "listing_id", AS_OF))
+    return merge.merge_stats(_upserted(spark, data))
 
 
 @query("insert_ignore", f"""

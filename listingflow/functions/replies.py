@@ -9,13 +9,23 @@ from pyspark.sql import Column, functions as F
 from listingflow import vocabulary as V
 from listingflow.functions.text import PY_SPACE, PY_SPACES, let, trim
 
-_FENCE = r"```json\s*([\s\S]*?)\s*```"
-_ARRAY = r"\[[\s\S]*\]"
-_OBJECT = r"\{[\s\S]*\}"
+_FENCE = "```json"
 
 
-def _found(c: Column, pattern: str) -> Column:
-    return let(F.regexp_extract(c, pattern, 0), lambda t: F.when(t != "", t))
+def _fenced(t: Column) -> Column:
+    """Text of the first fenced JSON block, null without one or if it is empty."""
+    after = F.substring(t, F.position(F.lit(_FENCE), t) + len(_FENCE), F.length(t))
+    block = let(after, lambda rest: F.substring(
+        rest, F.lit(1), F.position(F.lit("```"), rest) - 1))
+    return F.when(t.contains(_FENCE) & after.contains("```"), trim(block))
+
+
+def _widest(t: Column, opening: str, closing: str) -> Column:
+    """From the first opening to the last closing character, null without both."""
+    start = F.position(F.lit(opening), t)
+    tail = F.length(F.substring_index(t, closing, -1))      # all of it without a closing
+    size = F.length(t) - tail - start + 1
+    return F.when((start > 0) & (size > 1), F.substring(t, start, size))
 
 
 def parse_json(c: Column) -> Column:
@@ -37,11 +47,15 @@ def reply_json(c: Column, objects_only: bool = False) -> Column:
 
     A fenced block is tried first, then the widest array, then the widest object.
     """
-    widest = _found(c, _OBJECT)
-    if not objects_only:
-        fenced = F.when(c.rlike(_FENCE), F.regexp_extract(c, _FENCE, 1))
-        widest = F.coalesce(fenced, _found(c, _ARRAY), widest)
-    return parse_json(widest)
+    def found(t):
+        widest = _widest(t, "{", "}")
+        if objects_only:
+            return widest
+        return F.when(t.contains(_FENCE), F.coalesce(
+            _fenced(t), _widest(t, "[", "]"), widest)).otherwise(
+            F.coalesce(_widest(t, "[", "]"), widest))
+
+    return parse_json(let(c, found))
 
 
 def variant_array(v: Column, path: str = "$") -> Column:

@@ -14,8 +14,9 @@ _WIDE_SPACES = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 JS_SPACES = "\t\n\x0b\f\r " + _WIDE_SPACES + "\ufeff"
 PY_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85" + _WIDE_SPACES
-JS_SPACE = f"[{JS_SPACES}]"
-PY_SPACE = f"[{PY_SPACES}]"
+_WIDE = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+JS_SPACE = rf"[\t-\r {_WIDE}\ufeff]"
+PY_SPACE = rf"[\t-\r\x1c-\x1f \x85{_WIDE}]"
 QUOTES = "'\""
 
 
@@ -43,7 +44,9 @@ def not_empty(c: Column) -> Column:
 
 
 def squeeze_spaces(c: Column, space: str = JS_SPACE, spaces: str = JS_SPACES) -> Column:
-    return trim(F.regexp_replace(c, f"{space}+", " "), spaces)
+    """Runs of white space to one space, trimmed. A lone space is not a match."""
+    runs = f"(?:(?! ){space}| (?={space})){space}*"
+    return trim(F.regexp_replace(c, runs, " "), spaces)
 
 
 def clean_text(c: Column, quotes: bool = False, commas: bool = False,

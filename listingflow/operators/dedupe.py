@@ -66,16 +66,18 @@ def number_rows(df: DataFrame, order: str, by: list[str], name: str = "row_no",
     high = df.agg(F.max(order).cast("double")).scalar()
     width = F.greatest((high - low + 1) / slices, F.lit(1.0))
     sliced = df.withColumn("__slice", F.floor((F.col(order) - low) / width))
-    sizes = sliced.groupBy(*by, "__slice").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*by, "__slice",
-                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*by, "__slice").orderBy(order)
     keys = [*by, "__slice"]
+    sizes = sliced.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        *[F.col(c).alias(f"__{c}") for c in keys],
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys).orderBy(order)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]      # a group may be null
     return (sliced.withColumn("__at", F.row_number().over(inside))
-            .join(shifts, keys)
+            .join(shifts, same)
             .withColumn(name, F.col("__before") + F.col("__at"))
-            .drop("__slice", "__at", "__before"))
+            .select(*df.columns, name))
 
 
 def batch_numbers(df: DataFrame, order: str, by: list[str], size: int,

@@ -54,7 +54,8 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, now: str,
            ignore: Iterable[str] = ("src_seq", "job_id")) -> DataFrame:
     """``target`` after an upsert, with an ``action`` per row.
 
-    Keys are unique on both sides. Every non-key column is replaced,
+    Keys are unique on both sides; both sides are used more than once, so they
+    should be stored tables. Every non-key column is replaced,
     ``created_at`` is kept, ``updated_at`` becomes ``now`` where a row changed.
     Actions: 'insert', 'update', 'unchanged' (same content) and 'keep' (no
     update for the key).

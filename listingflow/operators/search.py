@@ -75,8 +75,7 @@ def search(df: DataFrame, key: str, columns: list[str], query: list[str], k: int
     """
     terms = F.array(*[F.lit(t.lower()) for t in dict.fromkeys(query)])
     hits = (df.select(key, _tokens(F.concat_ws(" ", *columns)).alias("tokens"))
-            .select(key, F.filter("tokens", lambda t: F.array_contains(terms, t)).alias("tokens"))
-            .filter(F.size("tokens") > 0))
+            .select(key, F.filter("tokens", lambda t: F.array_contains(terms, t)).alias("tokens")))
     counted = (hits.select(key, "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
                .select(key, "term", F.size(F.filter(
                    "tokens", lambda t: t == F.col("term"))).alias("tf")))

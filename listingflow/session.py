@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "listingflow", cpus: int | str = "*") -> SparkSession:
@@ -37,3 +37,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix=f"listingflow-{name}-")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder and read back.
+
+    For a result that a plan uses several times: it is computed once, its size is
+    known to the joins that follow, and a lost executor costs no recomputation.
+    """
+    path = scratch_dir(df.sparkSession, name) + "/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

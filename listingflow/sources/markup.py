@@ -14,7 +14,7 @@ from functools import lru_cache
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset(("script", "style"))
+RAW_TEXT = {name: re.compile(f"</{name}", re.I) for name in ("script", "style")}
 _BLOCKS = ("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article form blockquote pre hr "
            "header footer nav").split()
 # An opening tag ends these open elements, unless one of the fences lies between.
@@ -30,9 +30,10 @@ CLOSES = {
                                       "body"})),
 }
 
+# A tag, or something to pass over.
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"""
-    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+    r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+    r"""|!--.*?(?:-->|\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -55,19 +56,16 @@ class Page:
 
     def _read(self, html: str) -> None:
         nodes, texts, by_tag = self.nodes, self.texts, self.by_tag
-        stack, at, size = [nodes[0]], 0, len(html)
-        index = {id(nodes[0]): 0}
-        search = _TAG.search
+        stack, numbers = [nodes[0]], [0]
+        at = 0
 
         def close(depth: int) -> None:
             for node in stack[depth:]:
                 node[END], node[LAST] = len(nodes), len(texts)
-            del stack[depth:]
+            del stack[depth:], numbers[depth:]
 
-        while at < size:
-            match = search(html, at)
-            if match is None:
-                break
+        tags = _TAG.finditer(html)
+        while (match := next(tags, None)) is not None:
             start, after = match.span()
             if start > at:
                 texts.append(self._text(html[at:start]))
@@ -92,21 +90,24 @@ class Page:
                     depth -= 1
                 if depth and stack[depth][TAG] in closes:
                     close(depth)
-            above = stack[-1]
-            number = len(nodes)
-            node = [name, self._attributes(raw, number) if raw else {}, index[id(above)],
-                    number + 1, len(texts), len(texts), above[CHILDREN], 0, -1]
+            above, number, seen = stack[-1], len(nodes), len(texts)
+            node = [name, self._attributes(raw, number) if raw else {}, numbers[-1],
+                    number + 1, seen, seen, above[CHILDREN], 0, -1]
             nodes.append(node)
-            index[id(node)] = number
             above[CHILDREN] += 1
             above[LAST_CHILD] = number
-            by_tag.setdefault(name, []).append(number)
+            if name in by_tag:
+                by_tag[name].append(number)
+            else:
+                by_tag[name] = [number]
             if name in RAW_TEXT:
-                end = re.compile(f"</{name}", re.I).search(html, at)
-                at = end.start() if end else size
+                end = RAW_TEXT[name].search(html, at)
+                at = end.start() if end else len(html)
+                tags = _TAG.finditer(html, at)
             if name not in VOID and not raw.endswith("/"):
                 stack.append(node)
-        if at < size:
+                numbers.append(number)
+        if at < len(html):
             texts.append(self._text(html[at:]))
         close(0)
 

@@ -55,6 +55,9 @@ def test_numbering_of_a_hot_group(hot):
         seen[key] = seen.get(key, 0) + 1
         want.append((seq, key, seen[key]))
     assert sorted((r.seq, r.key, r.row_no) for r in got.collect()) == sorted(want)
+    nulls = dedupe.number_rows(df.select("seq", F.lit(None).cast("string").alias("key")), "seq",
+                               ["key"], slices=16)
+    assert [r.row_no for r in nulls.orderBy("seq").collect()] == list(range(1, len(rows) + 1))
     batches = dedupe.batch_numbers(df.select("seq", "key"), "seq", ["key"], 5)
     assert batches.groupBy("key", "batch").count().agg(F.max("count")).first()[0] == 5
 
@@ -147,7 +150,7 @@ def test_registry_isolates_failures(spark, data):
 
 
 MARKUP = """<div id=m class="a b"><p>one<p>two<ul><li>x<li class='k'>y &amp; z</ul>
-<script>var t = "<p>no</p>";</script><table><tr><td>1<td>2<tr><td>3</table><br/>
+<script>if (1 <b) t = "<p>no</p>" + '</b';</script><table><tr><td>1<td>2<tr><td>3</table><br/>
 <a href="/q?x=1&amp;y=2">go</a><!-- <p>no</p> --></div>"""
 
 
