@@ -124,7 +124,8 @@ def cleanup_expired(spark, data):
 
 @query("cleanup_summary", f"""
 WITH {_CLEANUP} SELECT count(*) AS scanned, count(*) FILTER (WHERE expired) AS expired,
-  count(*) FILTER (WHERE expired) AS deleted, 0 AS failed FROM flagged""")
+  count(*) FILTER (WHERE expired) AS deleted, CAST(0 AS BIGINT) AS failed
+FROM flagged""")
 def cleanup_summary(spark, data):
     flagged = jobs.cleanup(fx.listings_raw(spark, data, organization=False), AS_OF)
     return rollups.cleanup_summary(flagged.withColumn("deleted", F.col("expired")))

@@ -244,5 +244,7 @@ def defaults(profile: str, kinds: dict[str, str]) -> str:
             value = f"coalesce(nullif({name}, 0), {value})"
         elif kind == "flag":
             value = f"coalesce({name}, {value})"
+        if name.endswith("_award"):
+            value = f"CAST({value} AS DOUBLE)"
         out.append(f"{value} AS {name}")
     return ", ".join(out)

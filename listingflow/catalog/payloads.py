@@ -64,7 +64,7 @@ def label_details(spark, data):
 @query("dl_details", f"""
 WITH {sql.RAW} SELECT src_seq AS page_id, {sql.PURPOSES} AS description,
   {sql.format_deadline('deadline')} AS deadline, status = 'F' AS renewable,
-  1000.0 AS min_award, {sql.award('amount')} AS max_award, 'college' AS academic_level,
+  CAST(1000 AS DOUBLE) AS min_award, {sql.award('amount')} AS max_award, 'college' AS academic_level,
   'US' AS country, eligibility, coalesce(nullif(organization, ''), 'Second line') AS organization,
   'https://listings.example.org/apply/' || src_seq AS apply_url FROM raw""")
 def dl_details(spark, data):
@@ -223,7 +223,8 @@ def reply_texts(spark, data):
 @query("crawl_reply_items", f"""
 WITH {sql.RAW} SELECT src_seq, name, deadline, url, {sql.PROSE} AS description, eligibility,
   organization, 'phd' AS academic_level, '' AS geographic_restrictions, 'merit' AS target_type,
-  'unspecified' AS ethnicity, 'unspecified' AS gender, 0.0 AS min_award, 2500.0 AS max_award,
+  'unspecified' AS ethnicity, 'unspecified' AS gender, CAST(0 AS DOUBLE) AS min_award,
+  CAST(2500 AS DOUBLE) AS max_award,
   status = 'F' AS renewable, 'US' AS country FROM raw WHERE status <> 'P'""")
 def crawl_reply_items(spark, data):
     return feeds.read_crawl_replies(fx.crawl_replies(spark, data), "src_seq")
