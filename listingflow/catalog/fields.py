@@ -114,9 +114,9 @@ def active_listings(spark, data):
 
 @query("active_listings_simple", f"""
 WITH {sql.LISTINGS} SELECT {', '.join(filters.ACTIVE_COLUMNS)} FROM listings WHERE is_active
-ORDER BY created_at DESC""")
+ORDER BY created_at DESC, src_seq""")
 def active_listings_simple(spark, data):
-    return filters.active_simple(fx.listings(spark, data)).orderBy(F.desc("created_at"))
+    return filters.active_simple(fx.listings(spark, data))
 
 
 @query("target_types", f"""

@@ -132,20 +132,25 @@ def cleanup_summary(spark, data):
 
 
 @query("crawl_items", """
-WITH p AS (SELECT 'crawl-' || regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS crawl,
-  page_id, url, html FROM pages)
+WITH p AS (SELECT 'crawl-' || regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) || '-' ||
+  (page_id // 50) AS crawl, page_id, url, html FROM pages)
 SELECT crawl, CAST(row_number() OVER (PARTITION BY crawl ORDER BY page_id) - 1 AS INT) AS pos, url,
   md5(html) AS digest, 200 AS status_code FROM p""")
 def crawl_results(spark, data):
-    """Pages written as nested crawl jobs and read back with an explicit schema."""
+    """Pages written as nested crawl jobs and read back with an explicit schema.
+
+    A job covers a host within a range of 50 page numbers, so that a host with
+    much of the table makes many jobs of bounded size.
+    """
     page = F.struct(
         "url", F.lit("t").alias("title"), F.col("html").alias("content"),
         F.array("url").alias("links"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
         F.struct(F.lit(200).alias("statusCode"), F.lit(0.5).alias("loadTime"),
                  F.length("html").alias("wordCount")).alias("metadata"))
     host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    part = fx.text(F.floor(F.col("page_id") / 50))
     crawls = (table(spark, data, "pages")
-              .groupBy(fx.concat("crawl-", host).alias("crawl"))
+              .groupBy(fx.concat("crawl-", host, "-", part).alias("crawl"))
               .agg(F.array_sort(F.collect_list(F.struct("page_id", page.alias("p")))).alias("r"))
               .select("crawl", F.col("r.p").alias("results")))
     path = scratch_dir(spark, "crawl") + "/jobs"

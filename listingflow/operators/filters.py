@@ -29,9 +29,14 @@ ACTIVE_COLUMNS = [
 ]
 
 
-def active_simple(df: DataFrame) -> DataFrame:
-    """The short active view; sort with ``newest_first`` where order matters."""
-    return df.filter(F.col("is_active")).select(*ACTIVE_COLUMNS)
+def active_simple(df: DataFrame, tie: str = "src_seq") -> DataFrame:
+    """The short active view, newest first.
+
+    ``tie`` is unique, so that the sort can split a day that holds much of the
+    table over several tasks.
+    """
+    return (df.filter(F.col("is_active")).orderBy(F.desc("created_at"), tie)
+            .select(*ACTIVE_COLUMNS))
 
 
 def enabled(sites: DataFrame, type_: str | None = None) -> DataFrame:
