@@ -44,7 +44,7 @@ TAG, ATTRS, PARENT, END, FIRST, LAST, CHILD_NO, CHILDREN, LAST_CHILD = range(9)
 class Page:
     """``nodes[i]`` spans elements ``i`` to END and texts FIRST to LAST (exclusive)."""
 
-    __slots__ = ("nodes", "texts", "by_tag", "by_class", "by_id")
+    __slots__ = ("nodes", "texts", "by_tag", "by_class", "by_id", "_found")
 
     def __init__(self, html: str | None):
         self.nodes = [["#page", {}, -1, 0, 0, 0, 0, 0, -1]]
@@ -52,6 +52,7 @@ class Page:
         self.by_tag: dict[str, list[int]] = {}
         self.by_class: dict[str, list[int]] = {}
         self.by_id: dict[str, list[int]] = {}
+        self._found: dict[tuple[str, int], list[int]] = {}
         self._read(html or "")
 
     def _read(self, html: str) -> None:
@@ -143,6 +144,12 @@ class Page:
 
     def select(self, selector: str, below: int = 0) -> list[int]:
         """Elements below ``below`` that fit, in document order."""
+        key = (selector, below)
+        if key not in self._found:
+            self._found[key] = self._search(selector, below)
+        return self._found[key]
+
+    def _search(self, selector: str, below: int) -> list[int]:
         found: list[int] = []
         chains = _compile(selector)
         end = self.nodes[below][END]
@@ -156,7 +163,9 @@ class Page:
                     known = known[bisect_left(known, below + 1):bisect_left(known, end)]
             if tests:
                 known = [n for n in known if all(t(self, n) for t in tests)]
-            found.extend(n for n in known if self._inside(n, chain))
+            if len(chain) > 1:
+                known = [n for n in known if self._inside(n, chain)]
+            found.extend(known)
         return sorted(set(found)) if len(chains) > 1 else found
 
     def _inside(self, node: int, chain) -> bool:
