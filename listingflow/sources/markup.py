@@ -38,7 +38,7 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))
 
 
 # Slots of an element record.
-TAG, ATTRS, PARENT, END, FIRST, LAST, CHILD_NO, CHILDREN, LAST_CHILD = range(9)
+TAG, ATTRS, PARENT, END, FIRST, LAST, CHILD_NO, CHILDREN, LAST_CHILD, CLASSES = range(10)
 
 
 class Page:
@@ -47,7 +47,7 @@ class Page:
     __slots__ = ("nodes", "texts", "by_tag", "by_class", "by_id", "_found")
 
     def __init__(self, html: str | None):
-        self.nodes = [["#page", {}, -1, 0, 0, 0, 0, 0, -1]]
+        self.nodes = [["#page", {}, -1, 0, 0, 0, 0, 0, -1, ()]]
         self.texts: list[str] = []
         self.by_tag: dict[str, list[int]] = {}
         self.by_class: dict[str, list[int]] = {}
@@ -92,8 +92,9 @@ class Page:
                 if depth and stack[depth][TAG] in closes:
                     close(depth)
             above, number, seen = stack[-1], len(nodes), len(texts)
-            node = [name, self._attributes(raw, number) if raw else {}, numbers[-1],
-                    number + 1, seen, seen, above[CHILDREN], 0, -1]
+            attrs = self._attributes(raw, number) if raw else {}
+            node = [name, attrs, numbers[-1], number + 1, seen, seen, above[CHILDREN], 0, -1,
+                    attrs["class"].split() if "class" in attrs else ()]
             nodes.append(node)
             above[CHILDREN] += 1
             above[LAST_CHILD] = number
@@ -185,7 +186,7 @@ class Page:
         if kind == "by_tag":
             return record[TAG] == key
         if kind == "by_class":
-            return key in record[ATTRS].get("class", "").split()
+            return key in record[CLASSES]
         if kind == "by_id":
             return record[ATTRS].get("id") == key
         return True
