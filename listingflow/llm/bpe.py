@@ -9,6 +9,7 @@ one that fits; following the table back from the word's end gives the ids.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listingflow.llm.common import bundles
-from listingflow.llm.wordpieces import WordPieces, compiled, known, read_vocabulary
+from listingflow.llm.wordpieces import WordCache, WordPieces, compiled, read_vocabulary
 
 _NEVER = 2**31
 
@@ -57,8 +58,9 @@ class PrefixEncoder:
         for i in usable:
             self._automaton.add_word(spelled[i], (len(spelled[i]), i))
         self._automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._fits: dict[int, bool] = {}
+        #: The ids of a word as bytes of 32-bit numbers, a fraction of what a tuple takes.
+        self.cache = WordCache()
 
     def _borders(self, left: int, right: int, until: int) -> bool:
         """Whether no merge crosses the border before rank ``until``.
@@ -75,17 +77,15 @@ class PrefixEncoder:
         return True
 
     def _compatible(self, left: int, right: int) -> bool:
-        found = self._fits.get((left, right))
-        if found is None:
-            if len(self._fits) >= 1_000_000:
-                self._fits.clear()
-            found = self._fits[left, right] = self._borders(left, right, _NEVER)
+        if len(self._fits) >= 300_000:
+            self._fits.clear()
+        found = self._fits[left << 32 | right] = self._borders(left, right, _NEVER)
         return found
 
-    def encode(self, word: str) -> tuple[int, ...]:
+    def encode(self, word: str) -> list[int]:
         """The ids of one word."""
         if word in self.pieces.special:
-            return (self.pieces.special[word],)
+            return [self.pieces.special[word]]
         spelled = word.encode("utf-8", "replace").decode("latin-1")
         spelled = spelled[:-1] + chr(256 + ord(spelled[-1]))
         last = [-1] * len(spelled)
@@ -96,16 +96,30 @@ class PrefixEncoder:
                 if before < 0:
                     last[end] = token
                 elif (prior := last[before]) >= 0 and \
-                        (ok if (ok := fits.get((prior, token))) is not None else test(prior, token)):
+                        (ok if (ok := fits.get(prior << 32 | token)) is not None else test(prior, token)):
                     last[end] = token
         ids, at = [], len(spelled) - 1
         while at >= 0:
             ids.append(last[at])
             at -= self._length[last[at]]
-        return tuple(reversed(ids))
+        return ids[::-1]
 
-    def encode_all(self, words: list[str]) -> list[tuple[int, ...]]:
-        return list(map(self.encode, words))
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        return [array("i", self.encode(word)).tobytes() for word in words]
+
+    def encode_texts(self, texts: list[str]) -> pa.ListArray:
+        """The ids of whole texts."""
+        words = [self.pieces.words(text) for text in texts]
+        self.cache.fill(words, self.encode_all)
+        lists = [b"".join(map(self.cache.__getitem__, found)) for found in words]
+        offsets = np.cumsum([0, *(len(x) // 4 for x in lists)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(lists), dtype=np.int32)))
+
+
+def decode_ids(strings: dict[int, str], column: pa.Array) -> pa.Array:
+    """Texts of lists of ids: the tokens joined by one space, ids that are not listed left out."""
+    lists = (row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else () for row in column)
+    return pa.array([" ".join([s for i in ids if (s := strings.get(i))]) for ids in lists], pa.string())
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -122,12 +136,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...]
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = compiled(shared.value, PrefixEncoder)
         for rows, texts in bundles(batches):
-            words = [encoder.pieces.words(text) for text in texts]
-            known(encoder.cache, words, encoder.encode_all)
-            lists = [np.fromiter((i for w in found for i in encoder.cache[w]), dtype=np.int32)
-                     for found in words]
-            offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+            ids = encoder.encode_texts(texts)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), ids], names=[*keep, "ids"])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
@@ -147,21 +156,33 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, keep: tuple[str, .
         strings = dict(enumerate(pieces.strings))
         for batch in batches:
             # A few rows at a time: a batch of long texts would be held several times over.
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
-                texts = [" ".join([s for i in ids or () if (s := strings.get(i))])
-                         for ids in (row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else ()
-                                     for row in rows.column("ids"))]
+            for start in range(0, batch.num_rows, 64):
+                rows = batch.slice(start, 64)
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+                    [*(rows.column(c) for c in keep), decode_ids(strings, rows.column("ids"))], names=[*keep, "text"])
 
     return encoded.select(*keep, "ids").mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass: the columns ``keep``, ``ids`` and ``decoded``."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        encoder = compiled(shared.value, PrefixEncoder)
+        strings = dict(enumerate(encoder.pieces.strings))
+        for rows, texts in bundles(batches):
+            ids = encoder.encode_texts(texts)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), ids, decode_ids(strings, ids)],
+                                             names=[*keep, "ids", "decoded"])
+
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text, for every row."""
-    encoded = encode(docs, vocabulary).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
-    return decode(encoded, vocabulary, keep=("doc_id", "n_tokens", "ids_sha256")).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return encode_and_decode(docs, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

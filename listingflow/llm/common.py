@@ -37,7 +37,7 @@ def word_count(text: Column) -> Column:
         .otherwise(F.size(F.split(trimmed, BLANK_RUN))).cast("long")
 
 
-def bundles(batches, size: int = 4_000_000) -> Iterator[tuple]:
+def bundles(batches, size: int = 1_000_000) -> Iterator[tuple]:
     """(record batch, texts) for slices of at most ``size`` bytes of text, one row at least.
 
     The text is the column ``text``; null becomes the empty text. A slice is what

@@ -126,12 +126,13 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, clusters: int = CLUSTERS,
         present = np.zeros(dimensions, dtype=np.int64)
         n = 0
         for rows, texts in bundles(batches):
-            found = [features(t, dimensions) for t in texts]
-            for counts in found:
+            picked = []
+            for text, lang, pick in zip(texts, rows.column("lang").to_pylist(), rows.column("taken").to_pylist(), strict=True):
+                counts = features(text, dimensions)
                 present += counts > 0
                 n += 1
-            picked = [(lang, f) for lang, pick, f in zip(rows.column("lang").to_pylist(), rows.column("taken").to_pylist(),
-                                                         found, strict=True) if pick]
+                if pick:
+                    picked.append((lang, counts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang for lang, _ in picked], pa.string()), pa.array([None] * len(picked), pa.int32()),
                  pa.array([None] * len(picked), pa.int64()),

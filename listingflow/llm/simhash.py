@@ -27,7 +27,7 @@ from listingflow.llm.graph import components
 TILE = 2048
 
 
-def simhash(text: str, shingle: int = 3, block: int = 100_000) -> int:
+def simhash(text: str, shingle: int = 3, block: int = 50_000) -> int:
     """The unsigned fingerprint of a text; 0 if it has no word."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
@@ -129,7 +129,7 @@ def _stars(group: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int)
     upto = np.cumsum(width)
     at = 0
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 500_000, "right")))
         w = width[at:to]
         x = np.repeat(rows[at:to], w)
         y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(first[at:to], w)
@@ -177,7 +177,7 @@ def link_stars(fps: DataFrame, threshold: int = 3, tile: int = TILE) -> DataFram
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) < 200_000:
+            if sum(b.num_rows for b in held) < 100_000:
                 continue
             table = pa.Table.from_batches(held)
             anchor, place = table.column("anchor").to_numpy(), table.column("tile").to_numpy()

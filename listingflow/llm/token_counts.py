@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.llm.common import bundles
-from listingflow.llm.wordpieces import WordPieces, compiled, known, read_vocabulary
+from listingflow.llm.wordpieces import WordCache, WordPieces, compiled, read_vocabulary
 
 _NONE = np.int32(2**31 - 1)
 
@@ -32,7 +32,7 @@ class RankMerger:
         self._ranks = order.astype(np.int32)
         self._merged = np.array([vocab[a + b] for a, b in self.pieces.merges], dtype=np.int32)
         self._size = np.int64(size)
-        self.cache: dict[str, int] = {}
+        self.cache = WordCache()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left * self._size + right
@@ -42,7 +42,7 @@ class RankMerger:
         ranks[hit] = self._ranks[at[hit]]
         return ranks
 
-    def count(self, words: list[str], size: int = 1_000_000) -> list[int]:
+    def count(self, words: list[str], size: int = 200_000) -> list[int]:
         """Tokens of each word, in arrays of about ``size`` symbols or one word."""
         counts: list[int] = []
         chunk: list[bytes] = []
@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
         merger = compiled(shared.value, RankMerger)
         for rows, texts in bundles(batches):
             words = [merger.pieces.words(text) for text in texts]
-            known(merger.cache, words, merger.count)
+            merger.cache.fill(words, merger.count)
             sizes = [sum(map(merger.cache.__getitem__, found)) for found in words]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("n_bytes"), pa.array(sizes, pa.int64())],

@@ -115,16 +115,29 @@ def read_vocabulary(path: str | None) -> bytes:
         return file.read()
 
 
-def known(cache: dict, words: list[list[str]], compute, limit: int = 400_000) -> None:
-    """Makes ``cache`` hold every word of ``words``, by one call of ``compute`` for the new ones.
+class WordCache(dict):
+    """What was computed for words; a worker keeps it between slices and tasks.
 
-    A worker keeps the cache between slices and tasks. Beyond ``limit`` words it
-    starts afresh, which costs time only.
+    The first ``core`` words stay, which are mostly the frequent ones; beyond, words
+    are held until there are ``limit`` in all. A word that was let go is computed again.
     """
-    fresh = set().union(*words).difference(cache)
-    if len(cache) + len(fresh) > limit:
-        cache.clear()
-        fresh = set().union(*words)
-    if fresh:
-        fresh = list(fresh)
-        cache.update(zip(fresh, compute(fresh), strict=True))
+
+    def __init__(self, core: int = 150_000, limit: int = 220_000) -> None:
+        super().__init__()
+        self._core, self._limit = core, limit
+        self._passing: list[str] = []
+
+    def fill(self, words: list[list[str]], compute) -> None:
+        """Makes the cache hold every word of ``words``, by one call of ``compute`` for those it lacks."""
+        wanted = set().union(*words)
+        fresh = wanted.difference(self)
+        if len(self) + len(fresh) > self._limit:
+            for word in self._passing:
+                del self[word]
+            self._passing.clear()
+            fresh = wanted.difference(self)
+        if fresh:
+            found = list(fresh)
+            if len(self) >= self._core:
+                self._passing += found
+            self.update(zip(found, compute(found), strict=True))
