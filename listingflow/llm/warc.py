@@ -41,8 +41,10 @@ def records(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     read = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"),
                         F.octet_length(payload).alias("n"))
-    first = read.where(F.col("n") >= LEAST_REVISIT).groupBy("digest") \
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    # Written, so that its size is known: where it is small the payloads are joined without a shuffle.
+    first = stored(read.where(F.col("n") >= LEAST_REVISIT).groupBy("digest")
+                   .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+                   .where("copies > 1").select("digest", "first"), "originals")
     again = F.col("first").isNotNull() & F.coalesce(F.col("page_id") > F.col("first"), F.lit(True))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20")
@@ -76,7 +78,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     are written each. White space and control characters in a URL become %20; a null URL
     has no target line. Other columns are ignored.
     """
-    records(pages).write.mode("errorifexists").option("lineSep", _END).option("maxRecordsPerFile", 50_000).text(path)
+    records(pages).write.mode("errorifexists").option("lineSep", _END).option("maxRecordsPerFile", 10_000).text(path)
 
 
 def _parse(data: memoryview) -> Iterator[tuple]:
