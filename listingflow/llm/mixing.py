@@ -71,15 +71,11 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     for i, n in enumerate(quotas):  # conditional draws, source by source
         rest -= int(n)
         if wanted and n:
-            drawn[i] = n if not rest else _hypergeometric(rng, int(n), rest, wanted)
+            drawn[i] = rng.hypergeometric(int(n), rest, wanted) if rest else wanted
             wanted -= int(drawn[i])
     return np.concatenate([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, shards - left, rng)])
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    return min(sample, good + bad) if not bad else int(rng.hypergeometric(good, bad, min(sample, good + bad)))
-
-
 def _hash(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(2**62))
 
