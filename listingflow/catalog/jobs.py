@@ -215,7 +215,8 @@ def _run(started):
 
 
 def _order_stream(spark, data):
-    return stream.read_new(spark, data, table(spark, data, "orders").schema, "orders.parquet")
+    """New files of the table's own path, one file or a folder of parts."""
+    return stream.read_new(spark, f"{data}/orders.parquet", table(spark, data, "orders").schema)
 
 
 def _listing_stream(spark, data):
@@ -242,33 +243,34 @@ def stream_ingest(spark, data):
     return spark.read.parquet(f"{work}/out").select(*columns)
 
 
-@query("stream_dedupe", f"SELECT DISTINCT {_STREAM_ID} AS listing_id FROM orders")
+@query("stream_dedupe", f"""
+WITH seen AS (SELECT DISTINCT {_STREAM_ID} AS listing_id, o_orderdate AS seen_at FROM orders),
+lagged AS (SELECT *, lag(seen_at) OVER (PARTITION BY listing_id ORDER BY seen_at) AS before FROM seen)
+SELECT listing_id, seen_at FROM lagged WHERE before IS NULL OR seen_at > before + INTERVAL 30 DAY""")
 def stream_dedupe(spark, data):
-    """Keys kept by the 30-day dedupe; the orders arrive in one batch."""
+    """Sightings kept by the 30-day dedupe."""
     work = scratch_dir(spark, "dedupe")
-    rows = _listing_stream(spark, data).withColumn(
-        "created_at", F.col("created_at").cast("timestamp"))
-    kept = stream.dedupe_stream(rows, ["listing_id"], "created_at")
-    _run(stream.write_batches(kept.select("listing_id"), f"{work}/out", f"{work}/checkpoint"))
-    return spark.read.schema("listing_id string, batch_id bigint").parquet(f"{work}/out") \
-        .select("listing_id")
+    rows = _listing_stream(spark, data)
+    _run(stream.sighting_sink(rows, f"{work}/out", f"{work}/checkpoint", ["listing_id"], "created_at"))
+    kept = stream.first_sightings(spark, f"{work}/out", rows.schema, ["listing_id"])
+    return kept.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
 
 
 @query("stream_upsert", f"""
-SELECT {_STREAM_ID} AS listing_id, 'Award ' || arg_min(o_custkey, o_orderkey) AS name,
-  floor(arg_min(o_totalprice, o_orderkey)) AS max_award, min(o_orderkey) AS src_seq
-FROM orders GROUP BY 1""")
+SELECT {_STREAM_ID} AS listing_id, 'Award ' || arg_max(o_custkey, o_orderkey) AS name,
+  floor(arg_max(o_totalprice, o_orderkey)) AS max_award, max(o_orderkey) AS src_seq,
+  min(o_orderdate) AS created_at FROM orders GROUP BY 1""")
 def stream_upsert(spark, data):
     work = scratch_dir(spark, "upsert")
     rows = _listing_stream(spark, data)
     _run(stream.upsert_sink(rows, f"{work}/out", f"{work}/checkpoint", "listing_id"))
     return stream.current(spark, f"{work}/out", rows.schema, "listing_id").select(
-        "listing_id", "name", "max_award", "src_seq")
+        "listing_id", "name", "max_award", "src_seq", "created_at")
 
 
 def _event_stream(spark, data):
     """Job events off the events file, by the same rules as the batch table."""
-    raw = stream.read_new(spark, data, table(spark, data, "events").schema, "events.parquet")
+    raw = stream.read_new(spark, f"{data}/events.parquet", table(spark, data, "events").schema)
     return fx.job_events_from(raw).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
 
 
@@ -278,9 +280,8 @@ WITH {sql.JOB_EVENTS} SELECT date_trunc('hour', event_ts) AS hour, count(*) AS e
 FROM job_events GROUP BY 1""")
 def hourly_job_metrics(spark, data):
     work = scratch_dir(spark, "hourly")
-    metrics = stream.hourly_metrics(_event_stream(spark, data), rollups.COUNTERS)
-    _run(stream.write_batches(metrics, f"{work}/out", f"{work}/checkpoint", "update"))
-    rows = stream.latest_by_batch(spark, f"{work}/out", metrics.schema, "hour")
+    _run(stream.hourly_sink(_event_stream(spark, data), f"{work}/out", f"{work}/checkpoint", rollups.COUNTERS))
+    rows = stream.hourly_metrics(spark, f"{work}/out", rollups.COUNTERS)
     return rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
@@ -289,7 +290,7 @@ WITH {sql.JOB_EVENTS} SELECT job_id, arg_max(status, (event_ts, event_id)) AS st
   max(event_ts) AS event_ts FROM job_events GROUP BY 1""")
 def stream_job_state(spark, data):
     work = scratch_dir(spark, "state")
-    states = stream.job_state(_event_stream(spark, data))
-    _run(stream.write_batches(states, f"{work}/out", f"{work}/checkpoint", "update"))
-    rows = stream.latest_by_batch(spark, f"{work}/out", states.schema, "job_id")
+    events = _event_stream(spark, data)
+    _run(stream.state_sink(events, f"{work}/out", f"{work}/checkpoint"))
+    rows = stream.job_state(spark, f"{work}/out", events.schema["job_id"].dataType.simpleString())
     return rows.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))

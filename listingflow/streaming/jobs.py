@@ -2,7 +2,9 @@
 
 Every job runs over what is new with ``availableNow`` and stops. Sinks write one
 folder per micro-batch, replaced if a batch runs again, so a restart after a
-lost executor or driver leaves no row twice.
+lost executor or driver leaves no row twice. Batches hold changes, sightings or partial sums, never
+results: what they add up to is read from all of them, so it does not depend on how
+the input was split into batches or in which order it came, and no state is kept.
 """
 
 from __future__ import annotations
@@ -11,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from listingflow.operators.dedupe import dedupe_first
-
 
 def read_new(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
              files_per_batch: int = 1000) -> DataFrame:
-    """New parquet files of a folder."""
+    """New parquet files of a folder; ``folder`` may also be a table stored as one file.
+
+    A stream's path must be a folder unless it is a pattern, so the path is given as one that fits only itself.
+    """
+    path = folder.rstrip("/")
     return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+            .option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]"))
 
 
 def write_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -39,22 +43,34 @@ def ingest(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
-def dedupe_stream(df: DataFrame, keys: list[str], event_time: str,
-                  window: str = "30 days") -> DataFrame:
-    """The first row of each key within ``window``; state older than that is dropped."""
-    return df.withWatermark(event_time, window).dropDuplicatesWithinWatermark(keys)
+def sighting_sink(df: DataFrame, path: str, checkpoint: str, keys: list[str],
+                  event_time: str) -> StreamingQuery:
+    """Each batch's keys with the times they were seen, once each."""
+    def seen(batch: DataFrame) -> DataFrame:
+        return batch.select(*keys, F.col(event_time).cast("timestamp").alias("seen_at")).distinct()
+
+    return write_batches(df, path, checkpoint, prepare=seen)
+
+
+def first_sightings(spark: SparkSession, path: str, schema: T.StructType, keys: list[str],
+                    window: str = "30 days") -> DataFrame:
+    """The rows a dedupe keeps: a key's sighting unless it was seen at most ``window`` before.
+
+    A key is compared with its own last sighting, in order of event time, as a session whose gap is
+    the window.
+    """
+    full = T.StructType([*(schema[k] for k in keys), T.StructField("seen_at", T.TimestampType())])
+    return (_read_log(spark, path, full).groupBy(*keys, F.session_window("seen_at", window))
+            .agg(F.min("seen_at").alias("seen_at")).select(*keys, "seen_at"))
 
 
 def upsert_sink(df: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append the batch's rows, one per key, as a change log.
+    """Append the batch's rows as a change log, for each key the last version and the first time.
 
     A batch costs what it holds: the table itself is never rewritten.
     ``current`` reads the table, ``compact`` folds the log from time to time.
     """
-    def firsts(batch: DataFrame) -> DataFrame:
-        return dedupe_first(batch, [F.col(key)], [F.col("src_seq")])
-
-    return write_batches(df, path, checkpoint, prepare=firsts)
+    return write_batches(df, path, checkpoint, prepare=lambda batch: _fold(batch, key))
 
 
 def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,11 +79,11 @@ def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def _fold(log: DataFrame, key: str) -> DataFrame:
-    """Each key's last batch, with the first ``created_at`` it was seen with."""
+    """Each key's version of greatest ``src_seq``, with the least ``created_at`` it was seen with."""
     columns = [c for c in log.columns if c not in ("batch_id", "created_at")]
     last = log.groupBy(F.col(key).alias("__key")).agg(
-        F.max_by(F.struct(*columns), "batch_id").alias("row"),
-        F.min_by("created_at", "batch_id").alias("created_at"))
+        F.max_by(F.struct(*columns), "src_seq").alias("row"),
+        F.min("created_at").alias("created_at"))
     return last.select("row.*", "created_at")
 
 
@@ -78,30 +94,46 @@ def current(spark: SparkSession, path: str, schema: T.StructType, key: str) -> D
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, out: str,
             upto: int) -> None:
-    """Fold the batches up to ``upto`` into the first batch of a new log at ``out``."""
-    log = _read_log(spark, path, schema).filter(F.col("batch_id") <= upto)
-    _fold(log, key).write.mode("overwrite").parquet(f"{out}/batch_id={upto}")
+    """A new log at ``out``: batches up to ``upto`` folded into one, later ones carried over.
+
+    ``current`` of the new log is that of the old one. Stop the stream meanwhile and let it go on at ``out``.
+    """
+    log = _read_log(spark, path, schema)
+    _fold(log.filter(F.col("batch_id") <= upto), key).write.mode("overwrite").parquet(f"{out}/batch_id={upto}")
+    log.filter(F.col("batch_id") > upto).write.mode("append").partitionBy("batch_id").parquet(out)
 
 
-def hourly_metrics(events: DataFrame, counters: list[str], delay: str = "1 hour") -> DataFrame:
-    """Job counters per tumbling hour; events later than ``delay`` are left out."""
-    return (events.withWatermark("event_ts", delay)
-            .groupBy(F.window("event_ts", "1 hour").alias("hour"))
-            .agg(F.count("*").alias("events"), *[F.sum(c).alias(c) for c in counters])
-            .select(F.col("hour.start").alias("hour"), "events", *counters))
+def hourly_sink(events: DataFrame, path: str, checkpoint: str, counters: list[str]) -> StreamingQuery:
+    """Each batch's job counters per tumbling hour; a late event is counted in the batch it comes with."""
+    def sums(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.window("event_ts", "1 hour").start.alias("hour")).agg(
+            F.count("*").alias("events"), *[F.sum(c).cast("long").alias(c) for c in counters])
 
+    return write_batches(events, path, checkpoint, prepare=sums)
 
-def job_state(events: DataFrame) -> DataFrame:
-    """Last status of each job so far; run in update mode."""
-    order = F.struct("event_ts", "event_id")
-    return events.groupBy("job_id").agg(
-        F.max_by("status", order).alias("status"), F.max("event_ts").alias("event_ts"))
 
+def hourly_metrics(spark: SparkSession, path: str, counters: list[str]) -> DataFrame:
+    """Job counters per hour over all batches."""
+    schema = T.StructType([T.StructField("hour", T.TimestampType()),
+                           *(T.StructField(c, T.LongType()) for c in ("events", *counters))])
+    return _read_log(spark, path, schema).groupBy("hour").agg(
+        *[F.sum(c).alias(c) for c in ("events", *counters)])
 
-def latest_by_batch(spark: SparkSession, path: str, schema: T.StructType,
-                    key: str) -> DataFrame:
-    """What an update-mode sink holds last for each key."""
-    log = _read_log(spark, path, schema)
-    columns = [c for c in log.columns if c != "batch_id"]
-    return (log.groupBy(F.col(key).alias("__key"))
-            .agg(F.max_by(F.struct(*columns), "batch_id").alias("row")).select("row.*"))
+
+_STATE = "job_id {kind}, event_ts timestamp, event_id bigint, status string"
+
+
+def _last_state(events: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("event_ts", "event_id", "status"), F.struct("event_ts", "event_id"))
+    return events.groupBy("job_id").agg(last.alias("last")).select("job_id", "last.*")
+
+
+def state_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each batch's last status of the jobs it mentions."""
+    return write_batches(events, path, checkpoint, prepare=_last_state)
+
+
+def job_state(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """Last status of each job over all batches, by event time and id."""
+    schema = T.StructType.fromDDL(_STATE.format(kind=kind))
+    return _last_state(_read_log(spark, path, schema)).select("job_id", "status", "event_ts")
