@@ -41,27 +41,37 @@ def read_feed(payloads: DataFrame, *keep: str, text: str = "xml") -> DataFrame:
 
 
 def api_items(payloads: DataFrame, *keep: str, text: str = "json") -> DataFrame:
-    """One variant per item of a list, {scholarships}, {results} or single object."""
+    """One variant per item of a list, {scholarships}, {results} or single object.
+
+    A key that is there decides, even if it holds no list: then there is no item.
+    """
     v = F.col("payload")
+    has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
     whole = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v))
-    items = F.coalesce(replies.variant_array(v), replies.variant_array(v, "$.scholarships"),
-                       replies.variant_array(v, "$.results"), whole)
+    items = F.when(replies.variant_array(v).isNotNull(), replies.variant_array(v)) \
+        .when(has("scholarships"), replies.variant_array(v, "$.scholarships")) \
+        .when(has("results"), replies.variant_array(v, "$.results")).otherwise(whole)
     return (payloads.select(*keep, replies.parse_json(F.col(text)).alias("payload"))
             .select(*keep, F.posexplode(items).alias("pos", "item")))
 
 
 def read_api(payloads: DataFrame, *keep: str, text: str = "json") -> DataFrame:
-    """API items as listings; an amount is a number or {min, max}."""
+    """API items as listings; an amount is a number or {min, max}, both read from the first alias set."""
     v = F.col("item")
     fields = {c: replies.first_value(v, names) for c, names in V.API_ALIASES.items()
               if c != "amount"}
     limits = {}
     for end in ("min", "max"):
-        by_alias = []
-        for alias in V.API_ALIASES["amount"]:
-            by_alias += [F.try_variant_get(v, f"$.{alias}.{end}", "double"),
-                         replies.first_value(v, [alias]).try_cast("double")]
-        limits[end] = F.coalesce(*by_alias)
+        chosen = F.lit(None).cast("double")
+        for alias in reversed(V.API_ALIASES["amount"]):
+            plain = replies.first_value(v, [alias])
+            kind = F.schema_of_variant(F.try_variant_get(v, f"$.{alias}", "variant"))
+            is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+            value = F.when(is_object, F.try_variant_get(v, f"$.{alias}.{end}", "double")) \
+                .otherwise(plain.try_cast("double"))
+            is_set = F.when(is_object, kind != "OBJECT<>").otherwise(plain.isNotNull())
+            chosen = F.when(is_set, value).otherwise(chosen)
+        limits[end] = chosen
     return api_items(payloads, *keep, text=text).select(
         *keep, "pos", F.coalesce(fields["name"], F.lit(V.UNKNOWN_TITLE)).alias("title"),
         fields["description"].alias("about"), fields["url"].alias("url"),

@@ -10,6 +10,7 @@ from listingflow.operators import dedupe, filters, merge, quality
 from listingflow.session import scratch_dir
 from listingflow.sources import archive, markup, tables
 from listingflow import catalog
+from listingflow.sources import feeds
 from listingflow.streaming import jobs as stream
 
 
@@ -230,3 +231,14 @@ def test_streams_do_not_depend_on_batches(spark, data, name, monkeypatch):
     read_new = stream.read_new
     monkeypatch.setattr(stream, "read_new", lambda *a, **b: read_new(*a, **b | {"files_per_batch": 1}))
     assert sorted(map(tuple, catalog.QUERIES[name](spark, folder).collect())) == want
+
+
+def test_api_payload_keys_and_amount_aliases(spark):
+    """A key without a list gives no item; min and max come from one alias."""
+    texts = ['{"scholarships": null}', '{"scholarships": null, "results": [{"title": "no"}]}',
+             '{"results": [{"title": "a", "amount": {"min": 100}, "award_amount": 500}]}',
+             '[{"title": "b", "amount": 0, "award_amount": 70}, {"title": "c", "amount": {}, "award_amount": {"max": 9}}]',
+             '{"title": "d", "amount": 5}']
+    payloads = spark.createDataFrame([(t,) for t in texts], "json string")
+    got = {r.name: (r.min_award, r.max_award) for r in feeds.read_api(payloads).collect()}
+    assert got == {"a": (100, None), "b": (70, 70), "c": (None, 9), "d": (5, 5)}
