@@ -18,6 +18,13 @@ _SLASH = r"^(\d{1,2})/(\d{1,2})\z"
 _NAMED_DATE = rf"(?i)^({_NAMES})\.?(?: +(\d{{1,2}}))?(?:,| ) *(\d{{4}})\z"
 _SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})\z"
 _ISO_DATE = r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?\z"
+_DAY_FIRST = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)? +({_NAMES})\.?,? +(\d{{4}})\z"
+_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})\z"
+_SHORT_YEAR = r"^(\d{1,2})/(\d{1,2})/(\d{2})\z"
+_YEAR_ONLY = r"^\d{4}\z"
+#: What may stand before and after a date: a weekday, a time of day.
+_AROUND = (r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? +"
+           r"|(?:,| at)? +\d{1,2}(?::\d{2}){1,2}(?: ?[ap]\.?m\.?)?(?: [a-z]{2,4})?\z")
 _ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 _SHORT_MONTHS = "".join(m[:3].lower() for m in V.MONTHS)
 
@@ -63,18 +70,36 @@ def _month_and_day(numbers: Column) -> Column:
 
 
 def parse_deadline(c: Column) -> Column:
-    """The date a deadline names, or null. Month names may be short or long."""
+    """The date a deadline names, or null. Month names may be short or long.
+
+    Read are '2025-03-05' with or without a time, 'March 5, 2025', 'March 2025', '5 March 2025',
+    '3/5/2025', '3/5/25' (years from 50 on are of the last century), '2025/3/5' and '2025', each
+    with a weekday before it or a time of day after it. What names no day is its first.
+    """
     return let(trim(c), _date)
 
 
-def _date(t: Column) -> Column:
+def _date(text: Column) -> Column:
+    return let(F.regexp_replace(text, _AROUND, ""), _bare_date)
+
+
+def _bare_date(t: Column) -> Column:
     day = _part(t, _NAMED_DATE, 2)
     named = F.when(t.rlike(_NAMED_DATE), F.concat_ws(
         "-", _part(t, _NAMED_DATE, 3), _month_number(t).cast("string"),
         F.when(day == "", "1").otherwise(day)))
     slash = F.when(t.rlike(_SLASH_DATE), F.regexp_replace(t, _SLASH_DATE, "$3-$1-$2"))
     iso = F.when(t.rlike(_ISO_DATE), F.substring(t, 1, 10))
-    return F.coalesce(iso, named, slash).try_cast("date")
+    day_first = F.when(t.rlike(_DAY_FIRST), F.concat_ws(
+        "-", _part(t, _DAY_FIRST, 3), _month_number(_part(t, _DAY_FIRST, 2)).cast("string"),
+        _part(t, _DAY_FIRST, 1)))
+    year_first = F.when(t.rlike(_YEAR_FIRST), F.regexp_replace(t, _YEAR_FIRST, "$1-$2-$3"))
+    century = F.when(_part(t, _SHORT_YEAR, 3) >= "50", "19").otherwise("20")
+    short_year = F.when(t.rlike(_SHORT_YEAR), F.concat(
+        century, F.regexp_replace(t, _SHORT_YEAR, "$3-$1-$2")))
+    year_only = F.when(t.rlike(_YEAR_ONLY), F.concat(t, F.lit("-1-1")))
+    return F.coalesce(iso, named, slash, day_first, year_first, short_year, year_only) \
+        .try_cast("date")
 
 
 def parse_instant(c: Column) -> Column:

@@ -89,7 +89,11 @@ def test_parse_deadline(spark):
         ("mar 5, 1998", d(1998, 3, 5)), ("Sept 9, 1998", d(1998, 9, 9)),
         ("3/5/1998", d(1998, 3, 5)), ("May, 1998", d(1998, 5, 1)),
         ("1998-03-05T10:00:00Z", d(1998, 3, 5)), ("February 30, 1998", None),
-        ("Rolling", None), ("", None), (None, None), ("Marsh 5, 1998", None)])
+        ("Rolling", None), ("", None), (None, None), ("Marsh 5, 1998", None),
+        ("5 March 1990", d(1990, 3, 5)), ("1990/03/05", d(1990, 3, 5)),
+        ("Friday, March 5, 1990", d(1990, 3, 5)), ("3/5/90", d(1990, 3, 5)), ("3/5/25", d(2025, 3, 5)),
+        ("March 5, 1990 11:59 PM", d(1990, 3, 5)), ("March 5, 1990 at 11:59 pm EST", d(1990, 3, 5)),
+        ("1990", d(1990, 1, 1)), ("Monthly 1990", None), ("31 February 1990", None), ("at 11:59", None)])
 
 
 def test_expiry_modes(spark):
