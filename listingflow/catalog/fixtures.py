@@ -177,7 +177,9 @@ def fetched_pages(spark: SparkSession, data: str) -> DataFrame:
     day = F.make_interval(days=(F.col("page_id") % 120).cast("int"))
     return table(spark, data, "pages").select(
         "page_id", F.concat(F.lit("scraper-"), text(F.col("page_id") % 3)).alias("scraper"),
-        "url", (F.lit("2024-01-01").cast("timestamp_ntz") + day).alias("fetched_at"), "html")
+        "url", (F.lit("2024-01-01").cast("timestamp_ntz") + day).alias("fetched_at"), "html",
+        F.when(F.col("page_id") % 7 == 3, "HTTP 503").alias("error"),
+        F.when(F.col("page_id") % 5 == 1, "application/xhtml+xml").alias("content_type"))
 
 
 # --- rendered payloads ---------------------------------------------------------------------
@@ -218,11 +220,14 @@ def page_number(size: int) -> Column:
 
 
 def row_pages(spark: SparkSession, data: str) -> DataFrame:
-    kind = F.when(F.col("status") == "P", "Loan").otherwise("Scholarship")
+    kind = F.when(F.col("status") == "P", "Loan") \
+        .otherwise('Scholarship <b class="table-Numeric">77</b>')
+    start = F.when(F.col("src_seq") % 3 == 0, '<tr><th scope="row">1</th><td>').otherwise("<tr><td>")
     level = F.when(F.col("status") == "O", "Undergraduate  Study").otherwise("High School")
     row = concat(
-        '<tr><td><a class="detailPageLink" href="/detail/', text(F.col("src_seq")), '">',
-        escape(F.col("name")), "</a>\nOrganization: ", escape(F.col("organization")),
+        start, '<a class="detailPageLink" href="/detail/', text(F.col("src_seq")), '">',
+        escape(F.substring("name", 1, 2)), '</a><a href="/more">',
+        escape(F.substring("name", 3, 10_000)), "</a>\nOrganization: ", escape(F.col("organization")),
         "\nPurposes: ", escape(purposes()), "</td><td> ", level, "</td><td>", kind,
         '</td><td><div class="table-Numeric">', F.col("amount"), "</div></td><td>",
         F.col("deadline"), "</td></tr>")
@@ -354,6 +359,8 @@ def feed_payloads(spark: SparkSession, data: str) -> DataFrame:
         .otherwise(F.col("eligibility"))
     item = concat("<item><title>", escape(F.col("name")), "</title><description>", escape(about),
                   "</description><link>", F.col("url"), "</link></item>")
+    item = F.when(F.col("src_seq") % 5 == 0, concat("<group><part>", item, "</part></group>")) \
+        .otherwise(item)
     rows = grouped(listings_raw(spark, data).withColumn("row", item), page_number(25), "row", "")
     xml = concat('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed</title>',
                  F.col("body"), "</channel></rss>")

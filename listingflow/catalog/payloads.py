@@ -255,7 +255,9 @@ def archive_tiers(spark, data):
 @query("archive_metadata", f"""
 WITH {sql.FETCHED} SELECT url, '{{"url":"' || url || '","timestamp":"' ||
   strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') || '.000Z","scraperName":"' || scraper ||
-  '","status":"success","contentType":"text/html","size":' || octet_length(encode(html)) || '}}'
+  '","status":"' || CASE WHEN page_id % 7 = 3 THEN 'error' ELSE 'success' END || '","contentType":"' ||
+  CASE WHEN page_id % 5 = 1 THEN 'application/xhtml+xml' ELSE 'text/html' END || '","size":' ||
+  octet_length(encode(html)) || CASE WHEN page_id % 7 = 3 THEN ',"errorMessage":"HTTP 503"' ELSE '' END || '}}'
   AS metadata FROM fetched""")
 def archive_metadata(spark, data):
     return archive.archive_rows(fx.fetched_pages(spark, data)).select("url", "metadata")
@@ -279,6 +281,14 @@ def archive_pruned_read(spark, data):
                        F.md5("content").alias("digest"))
 
 
+@query("archive_by_key", f"""
+WITH {sql.FETCHED} SELECT url, md5(html) AS digest FROM fetched WHERE contains(url, '/de/')""")
+def archive_by_key(spark, data):
+    rows = archive.read_archive(spark, _written_archive(spark, data))
+    wanted = rows.filter(F.contains("url", F.lit("/de/"))).select("key")
+    return archive.read_by_keys(rows, wanted).select("url", F.md5("content").alias("digest"))
+
+
 @query("archive_delete", f"""
 WITH {sql.FETCHED} SELECT url, md5(html) AS digest FROM fetched WHERE NOT contains(url, '/fr/')""")
 def archive_delete(spark, data):

@@ -11,17 +11,28 @@ PARTITIONS = ["scraper", "year", "month", "day"]
 
 
 def archive_rows(fetched: DataFrame, content: str = "html") -> DataFrame:
-    """Adds the key, date parts and metadata to scraper, url, fetched_at, content."""
-    at = F.col("fetched_at")
+    """Adds the key, date parts and metadata to scraper, url, fetched_at, content.
+
+    ``content_type`` and ``error`` are read where the table has them: a fetch with an error
+    message is archived as 'error', with the message and whatever content came.
+    """
+    def given(name: str, default: str | None = None):
+        found = F.col(name) if name in fetched.columns else F.lit(None)
+        return F.coalesce(found.cast("string"), F.lit(default))
+
+    at, error = F.col("fetched_at"), given("error")
+    size = F.coalesce(F.octet_length(content), F.lit(0))
     metadata = F.struct(
         F.col("url"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
-        F.col("scraper").alias("scraperName"), F.lit("success").alias("status"),
-        F.lit("text/html").alias("contentType"), F.octet_length(content).alias("size"))
+        F.col("scraper").alias("scraperName"),
+        F.when(error.isNull(), "success").otherwise("error").alias("status"),
+        given("content_type", "text/html").alias("contentType"), size.alias("size"),
+        error.alias("errorMessage"))
     return fetched.select(
         archive_key(F.col("scraper"), F.col("url"), at).alias("key"), "scraper",
         F.date_format(at, "yyyy").alias("year"), F.date_format(at, "MM").alias("month"),
         F.date_format(at, "dd").alias("day"), "url", at.alias("fetched_at"),
-        F.octet_length(content).alias("size"), F.to_json(metadata).alias("metadata"),
+        size.alias("size"), F.to_json(metadata).alias("metadata"),
         F.col(content).alias("content"))
 
 
@@ -37,7 +48,7 @@ def write_archive(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_archive(spark: SparkSession, path: str, scraper: str | None = None,
                  first: str | None = None, last: str | None = None) -> DataFrame:
-    """Payloads of one source and a range of days; other folders are not listed."""
+    """Payloads of one source and a range of days; files of other folders are not read."""
     schema = ("key string, url string, fetched_at timestamp_ntz, size int, metadata string,"
               "content string, scraper string, year string, month string, day string")
     rows = spark.read.schema(schema).parquet(path)
@@ -51,13 +62,30 @@ def read_archive(spark: SparkSession, path: str, scraper: str | None = None,
     return rows
 
 
+def _placed(keys: DataFrame) -> DataFrame:
+    """Keys with the folder that each names."""
+    pattern = r"^(.*)/(\d{4})/(\d{2})/(\d{2})/[^/]*\z"
+    return keys.filter(F.col("key").rlike(pattern)).select("key", *[
+        F.regexp_extract("key", pattern, i + 1).alias(name) for i, name in enumerate(PARTITIONS)])
+
+
 def read_by_keys(archive: DataFrame, keys: DataFrame) -> DataFrame:
-    return archive.join(keys.select("key"), "key", "left_semi")
+    """Payloads by key. A key names its folder, so others are pruned when the query runs."""
+    return archive.join(_placed(keys), ["key", *PARTITIONS], "left_semi")
+
+
+def touched_folders(archive: DataFrame, keys: DataFrame) -> DataFrame:
+    """The part of the archive in folders that hold one of the keys."""
+    return archive.join(_placed(keys).select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
 
 
 def delete_keys(archive: DataFrame, keys: DataFrame) -> DataFrame:
-    """The archive without the keys. Write it to a new path, then switch readers over."""
-    return archive.join(keys.select("key"), "key", "left_anti")
+    """The archive without the keys. Write it to a new path, then switch readers over.
+
+    To rewrite no more than needed, give ``touched_folders`` as the archive and put what
+    is left in the place of those folders.
+    """
+    return archive.join(_placed(keys), ["key", *PARTITIONS], "left_anti")
 
 
 def tier_report(archive: DataFrame, as_of: str) -> DataFrame:

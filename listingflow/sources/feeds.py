@@ -13,8 +13,8 @@ from listingflow import vocabulary as V
 from listingflow.functions import classify, ids, money, replies
 from listingflow.functions import text as tx
 
-_FEED = ("channel struct<item array<struct<title:string,description:string,link:string>>>,"
-         "item array<struct<title:string,description:string,link:string>>")
+_FEED_ITEM = "title string, description string, link string"
+_BROKEN = "_corrupt_record"
 
 
 def _clip(c: Column, column: str) -> Column:
@@ -22,10 +22,16 @@ def _clip(c: Column, column: str) -> Column:
 
 
 def read_feed(payloads: DataFrame, *keep: str, text: str = "xml") -> DataFrame:
-    """RSS items as listings; items below the channel or the root are read."""
-    feed = F.from_xml(text, _FEED, {"mode": "PERMISSIVE"})
-    items = payloads.select(*keep, feed.alias("feed")).select(
-        *keep, F.posexplode(F.coalesce("feed.channel.item", "feed.item")).alias("pos", "item"))
+    """RSS items as listings, at any depth of the feed; a feed that is not XML has none.
+
+    Items are cut out as text first, since a schema would name every level above them.
+    """
+    sound = F.from_xml(text, f"{_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+    plain = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(plain, F.lit(r"(?s)<item(?:\s[^>]*)?>.*?</item\s*>"), F.lit(0))
+    items = (payloads.filter(sound.isNotNull() & sound[_BROKEN].isNull())
+             .select(*keep, F.posexplode(found).alias("pos", "item"))
+             .select(*keep, "pos", F.from_xml("item", _FEED_ITEM).alias("item")))
     name = F.coalesce("item.title", F.lit(V.UNKNOWN_TITLE))
     about = F.col("item.description")
     org = replies.organization_from_text(F.coalesce(F.nullif(about, F.lit("")), name))

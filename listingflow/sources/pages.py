@@ -170,10 +170,10 @@ def _audience(text: Column) -> dict[str, Column]:
 
 ROW_FIELDS = {
     "cells": field("td", pick="each"),
-    "name_link": field("td:first-child a"),
-    "name_mark": field("td:first-child .detailPageLink"),
-    "href": field("td:first-child a", take="href"),
-    "amount_mark": field(".table-Numeric"),
+    "links": field("td", pick="each", then="a"),
+    "name_marks": field("td", pick="each", then=".detailPageLink"),
+    "hrefs": field("td", pick="each", then="a", take="href"),
+    "amount_marks": field("td", pick="each", then=".table-Numeric"),
 }
 
 
@@ -181,12 +181,15 @@ def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
                  html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Listings from table rows of five cells: name, level, type, amount, deadline.
 
-    The name cell may go on with 'Organization: ...' and 'Purposes: ...'. Rows
-    of other award types and header rows are left out.
+    Cells count by their place among the row's ``td``, whatever else the row has. All
+    links of the name cell make the name, the first gives the address. The name
+    cell may go on with 'Organization: ...' and 'Purposes: ...'. Rows of other
+    award types and header rows are left out.
     """
     rows = select_rows(_pages_with(pages, html, "<td"), "table tr", ROW_FIELDS, keep, html)
     cell = [F.get("cells", F.lit(i)) for i in range(5)]
-    name = F.coalesce(tx.blank_to_null(F.col("name_link")), tx.trim(F.col("name_mark")))
+    name = F.coalesce(tx.blank_to_null(F.get("links", F.lit(0))),
+                      tx.trim(F.get("name_marks", F.lit(0))))
     listed = (rows.filter(F.size("cells") >= 5)
               .withColumn("raw_name", name)
               .filter(F.lower(cell[2]).contains(V.AWARD_TYPE_WORD)
@@ -197,7 +200,7 @@ def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
     parsed = listed.withColumns({
         "organization": _clean(org),
         "purposes": purposes,
-        "amount": _text_or(F.col("amount_mark"), _text_or(cell[3], V.MISSING_AMOUNT_TABLE)),
+        "amount": _text_or(F.get("amount_marks", F.lit(3)), _text_or(cell[3], V.MISSING_AMOUNT_TABLE)),
         "raw_deadline": _text_or(cell[4], V.MISSING_DEADLINE),
     })
     offered = F.concat(F.lit("Scholarship offered by "),
@@ -206,7 +209,7 @@ def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
         F.col("purposes") != "", tx.truncate(_clean(F.col("purposes")))).otherwise(offered))
     award = money.award(F.col("amount"))
     audience = F.concat_ws(" ", "raw_name", "description", "purposes")
-    href = F.col("href")
+    href = F.get("hrefs", F.lit(0))
     link = F.when(F.coalesce(href, F.lit("")) == "", "").when(href.startswith("http"), href) \
         .otherwise(F.concat(F.lit(base), href))
     return described.select(
@@ -400,6 +403,20 @@ def extract_broad(pages: DataFrame, base: Column, terms=tuple(V.BROAD_CLASS_TERM
 SPEC_FIELDS = {"title": "name", "amount": "amount", "deadline": "deadline",
                "description": "description", "organization": "organization"}
 SPEC_SCHEMA = "map<string,string>"
+#: Up to so many sites with so many bytes of selectors are sent to every executor.
+BROADCAST_SITES, BROADCAST_BYTES = 10_000, 32 << 20
+_SALTS = 64
+
+
+def _with_spec(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """Pages with their site's selectors; a large table of sites is joined with hot sites split."""
+    spec = sites.select("site", F.from_json("selectors", SPEC_SCHEMA).alias("__spec"))
+    size = sites.agg(F.count("*").alias("n"), F.sum(F.octet_length("selectors")).alias("bytes")).first()
+    if size["n"] <= BROADCAST_SITES and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(spec), "site")
+    salted = pages.withColumn("__salt", F.pmod(F.xxhash64(*pages.columns), F.lit(_SALTS)).cast("int"))
+    copies = spec.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(copies, ["site", "__salt"]).drop("__salt")
 
 
 def extract_by_spec(pages: DataFrame, sites: DataFrame, html: str = "html",
@@ -407,9 +424,9 @@ def extract_by_spec(pages: DataFrame, sites: DataFrame, html: str = "html",
     """Page fields by the selectors of the page's site.
 
     ``sites`` has one row per ``site`` with ``selectors``, a JSON object; it is
-    joined on ``site``, so each page carries its own selectors to the reader.
+    joined on ``site``, so each page carries its own selectors to the reader. The
+    pages are not shuffled where the table of sites is small, by its measured size.
     """
-    spec = sites.select("site", F.from_json("selectors", SPEC_SCHEMA).alias("__spec"))
     names = [*SPEC_FIELDS.values(), "href"]
 
     def read(text, selectors):
@@ -420,7 +437,7 @@ def extract_by_spec(pages: DataFrame, sites: DataFrame, html: str = "html",
         yield *values, _read(page, 0, Field((link,), take="href")) if link else None
 
     added = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = _read_pages(pages.join(spec, "site"), [*keep, "site"], read, added, html, "__spec")
+    raw = _read_pages(_with_spec(pages, sites), [*keep, "site"], read, added, html, "__spec")
     return raw.select(*keep, "site", *[tx.blank_to_null(F.col(n)).alias(n) for n in names])
 
 
