@@ -8,7 +8,7 @@ from listingflow.catalog.core import AS_OF, query, table
 from listingflow.functions import links, money
 from listingflow.operators import dedupe, filters, merge, rollups, search
 from listingflow.plans import crawl
-from listingflow.session import stored
+from listingflow.session import scratch_dir, stored
 from listingflow.sources.tables import append_rows, read_sites
 
 _KEY = "lower(name || '-' || coalesce(nullif(organization, ''), 'unknown'))"
@@ -370,7 +370,7 @@ SELECT listing_id, status, count(*) AS n, any_value(name) AS name
 FROM applications JOIN firsts USING (listing_id) GROUP BY 1, 2""")
 def application_listings(spark, data):
     rows = fx.listings(spark, data).select("listing_id", "name", "src_seq")
-    firsts = dedupe.dedupe_first(rows, [F.col("listing_id")], [F.col("src_seq")])
+    firsts = dedupe.dedupe_first(rows, ["listing_id"], [F.col("src_seq")])
     return rollups.listing_applications(fx.applications(spark, data), firsts)
 
 
@@ -416,8 +416,12 @@ weights AS (SELECT t, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS w
 SELECT doc_id, round(sum(tf * w), 4) AS score FROM hits JOIN weights USING (t)
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def text_search(spark, data):
-    """Top 20 documents for five terms."""
-    return search.search(table(spark, data, "documents"), "doc_id", ["text"], _TERMS, 20)
+    """Top 20 documents for five terms, from stored postings."""
+    documents = table(spark, data, "documents")
+    path = scratch_dir(spark, "postings") + "/terms"
+    search.write_postings(search.build_postings(documents, "doc_id", ["text"]), path)
+    return search.search(search.read_postings(spark, path, _TERMS), "doc_id", _TERMS, 20,
+                         documents.count())
 
 
 @query("text_postings", """

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listingflow import vocabulary as V
 from listingflow.functions.text import let
 
+#: Folders that stored postings are dealt to by a hash of the term.
+BUCKETS = 64
+
 
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -60,29 +63,60 @@ def keyword_union(text: Column, categories: Iterable[str],
     return _keywords_in(text, [w for c in categories for w in dictionary[c]])
 
 
+def _counted(words: Column) -> Column:
+    """Each word of a sorted array with how often it occurs."""
+    n = F.size(words)
+    starts = F.filter(F.sequence(F.lit(0), n - 1),
+                      lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+    def runs(at: Column) -> Column:
+        return F.transform(at, lambda i, j: F.struct(
+            F.get(words, i).alias("term"),
+            (F.coalesce(F.get(at, j + 1), n) - i).cast("bigint").alias("tf")))
+
+    return F.when(n > 0, let(starts, runs))
+
+
 def build_postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """term, key, tf over the text columns of a table."""
-    terms = df.select(key, F.explode(_tokens(F.concat_ws(" ", *columns))).alias("term"))
-    return terms.groupBy("term", key).agg(F.count("*").alias("tf"))
+    """term, key, tf over the text columns of a table whose ``key`` is unique.
+
+    All words of a key are in its row, so they are counted there and nothing is shuffled.
+    """
+    found = let(F.sort_array(_tokens(F.concat_ws(" ", *columns))), _counted)
+    return df.select(key, F.explode(found).alias("p")).select("p.term", key, "p.tf")
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Postings by hash of the term, sorted by it, so that a query reads few files and few row groups.
+
+    Rebalancing splits the bucket of a very common term over several files.
+    """
+    (postings.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket")
+     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path))
+
+
+def read_postings(spark: SparkSession, path: str, query: Iterable[str]) -> DataFrame:
+    """Stored postings of the query's terms; folders of other terms are not read."""
+    terms = list(dict.fromkeys(t.lower() for t in query))
+    return (spark.read.parquet(path)
+            .filter(F.col("bucket").isin([_bucket(F.lit(t)) for t in terms]) & F.col("term").isin(terms))
+            .drop("bucket"))
 
 
-def search(df: DataFrame, key: str, columns: list[str], query: list[str], k: int) -> DataFrame:
-    """The ``k`` rows with the highest sum of tf * ln(1 + N / df) over the query terms.
+def search(postings: DataFrame, key: str, query: Iterable[str], k: int, rows: int) -> DataFrame:
+    """The ``k`` keys with the highest sum of tf * ln(1 + N / df) over the query terms.
 
-    Only tokens of the query are exploded and counted, and they are counted
-    within their row first, so the shuffled postings are as small as the answer
-    needs. Document frequencies hold one row per query term.
+    ``rows`` is N, the size of the table the postings were built from. No text is
+    read; document frequencies hold one row per query term.
     """
-    terms = F.array(*[F.lit(t.lower()) for t in dict.fromkeys(query)])
-    hits = (df.select(key, _tokens(F.concat_ws(" ", *columns)).alias("tokens"))
-            .select(key, F.filter("tokens", lambda t: F.array_contains(terms, t)).alias("tokens")))
-    counted = (hits.select(key, "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-               .select(key, "term", F.size(F.filter(
-                   "tokens", lambda t: t == F.col("term"))).alias("tf")))
-    spread = counted.groupBy("term").agg(F.count("*").alias("df"))
-    rows = df.agg(F.count("*")).scalar()
+    hits = postings.filter(F.col("term").isin(list(dict.fromkeys(t.lower() for t in query))))
+    spread = hits.groupBy("term").agg(F.count("*").alias("df"))
     weights = spread.select("term", F.log1p(rows / F.col("df")).alias("weight"))
-    scored = (counted.join(F.broadcast(weights), "term")   # one row per query term
+    scored = (hits.join(F.broadcast(weights), "term")   # one row per query term
               .groupBy(key).agg(F.sum(F.col("tf") * F.col("weight")).alias("score")))
     return (scored.select(key, F.round("score", 4).alias("score"))
             .orderBy(F.desc("score"), key).limit(k))
