@@ -22,7 +22,7 @@ grouped AS (SELECT listing_id, min(src_seq) AS src_seq, count(*) AS n FROM kept
 def _target(spark, data):
     rows = fx.listings(spark, data)
     old = rows.filter(F.col("created_at") < F.lit("1997-01-01").cast("timestamp_ntz"))
-    return dedupe_first(old, [F.col("listing_id")], [F.col("src_seq")])
+    return dedupe_first(old, ["listing_id"], [F.col("src_seq")])
 
 
 @query("curate_batch", f"""

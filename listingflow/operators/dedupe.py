@@ -2,7 +2,7 @@
 
 A key may hold a third of all rows, so rows are reduced before they are
 shuffled: aggregates combine map-side, rank filters become group limits, and
-numbering splits a group into order ranges first.
+numbering splits rows into even order ranges first.
 """
 
 from __future__ import annotations
@@ -19,24 +19,28 @@ def dedupe_key(name: Column, organization: Column) -> Column:
 
 def _pick(df: DataFrame, keys: list, order: list, pick, **extra: Column) -> DataFrame:
     order_by = F.struct(*order) if len(order) > 1 else order[0]
-    names = [f"__k{i}" for i in range(len(keys))]
-    best = (df.groupBy(*[k.alias(n) for k, n in zip(keys, names)])
-            .agg(pick(F.struct(*df.columns), order_by).alias(_ROW),
-                 *[c.alias(n) for n, c in extra.items()]))
-    return best.select(f"{_ROW}.*", *extra)
+    named = {k for k in keys if isinstance(k, str)}
+    grouping = [F.col(k) if isinstance(k, str) else k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*[c for c in df.columns if c not in named] or [F.lit(True)])
+    best = df.groupBy(*grouping).agg(pick(row, order_by).alias(_ROW),
+                                     *[c.alias(n) for n, c in extra.items()])
+    columns = [F.col(c) if c in named else F.col(_ROW).getField(c).alias(c) for c in df.columns]
+    return best.select(*columns, *extra)
 
 
-def dedupe_first(df: DataFrame, keys: list[Column], order: list[Column],
+def dedupe_first(df: DataFrame, keys: list[Column | str], order: list[Column],
                  **extra: Column) -> DataFrame:
     """The row with the least ``order`` of each key; ``extra`` adds aggregates.
 
     One aggregation with map-side combine: a hot key leaves each map task as a
     single row. ``order`` must tell rows of a key apart for a repeatable result.
+    A key that is a column of ``df`` should be given by its name: it stays the
+    grouping column then, so a join on it that follows needs no second shuffle.
     """
     return _pick(df, keys, order, F.min_by, **extra)
 
 
-def keep_latest(df: DataFrame, keys: list[Column], order: list[Column],
+def keep_latest(df: DataFrame, keys: list[Column | str], order: list[Column],
                 **extra: Column) -> DataFrame:
     return _pick(df, keys, order, F.max_by, **extra)
 
@@ -53,19 +57,28 @@ def cap(df: DataFrame, n: int, order: list[Column], by: list[Column] | None = No
     return ranked.filter(F.col("__rank") <= n).drop("__rank")
 
 
+def _slice_of(df: DataFrame, order: str, slices: int) -> Column:
+    """How many of the quantiles of ``order`` lie below a row, by binary search."""
+    shares = [i / slices for i in range(1, slices)] or [0.5]
+    limits = sorted(set(df.agg(F.percentile_approx(order, shares, 10 * slices)).first()[0] or ()))
+    steps = max(1, len(limits).bit_length())
+    padded = F.array(*map(F.lit, limits + [None] * (2 ** steps - 1 - len(limits))))
+    halves = F.array(*[F.lit(2 ** k) for k in reversed(range(steps))])
+    return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(
+        F.get(padded, at + step - 1) < F.col(order), step).otherwise(0))
+
+
 def number_rows(df: DataFrame, order: str, by: list[str], name: str = "row_no",
                 slices: int = 1024) -> DataFrame:
     """1, 2, 3 ... within each group by a unique numeric ``order`` column.
 
-    A group is cut into up to ``slices`` equal ranges of ``order``. Rows are
-    numbered per range and shifted by the size of the ranges before it, so no
-    task ever sorts a whole hot group. Range limits come from exact minima and
-    maxima: both branches of the plan compute the same ranges.
+    Rows are cut into ``slices`` ranges at quantiles of ``order`` over all groups,
+    so a range has about an equal share of the rows, however the values lie, and
+    no group has more of it. Rows are numbered per group and range and shifted by
+    the size of the ranges before. The limits, at most ``slices`` numbers, are
+    fetched first: both branches of the plan use the same ones.
     """
-    low = df.agg(F.min(order).cast("double")).scalar()
-    high = df.agg(F.max(order).cast("double")).scalar()
-    width = F.greatest((high - low + 1) / slices, F.lit(1.0))
-    sliced = df.withColumn("__slice", F.floor((F.col(order) - low) / width))
+    sliced = df.withColumn("__slice", _slice_of(df, order, slices))
     keys = [*by, "__slice"]
     sizes = sliced.groupBy(*keys).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

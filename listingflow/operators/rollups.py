@@ -73,7 +73,7 @@ def error_classes(jobs: DataFrame) -> DataFrame:
 
 def latest_status(events: DataFrame) -> DataFrame:
     """The last event of each job, with its end time once it has ended."""
-    last = keep_latest(events, [F.col("job_id")], [F.col("event_ts"), F.col("event_id")])
+    last = keep_latest(events, ["job_id"], [F.col("event_ts"), F.col("event_id")])
     ended = F.col("status").isin("completed", "failed")
     return last.select("job_id", "status", "event_ts",
                        F.when(ended, F.col("event_ts")).alias("completed_at"))

@@ -19,14 +19,15 @@ def curate(df: DataFrame, target: DataFrame, as_of: str, job_id: str) -> DataFra
 
     One row per listing id. ``inserted`` is 1 where the first row of the id is
     new to ``target``; every further row of the id, or all of them where it was
-    known, count as ``updated``. One shuffle by id: copies combine map-side, so
-    an id with a third of the batch costs one row per task.
+    known, count as ``updated``. The batch is shuffled once, by id, for both the
+    copies and the lookup: copies combine map-side, so an id with a third of the
+    batch costs one row per task.
     """
     kept = drop_expired(df, as_of)
     identified = kept.withColumn("listing_id", ids.listing_id(
         F.col("name"), F.col("organization"), F.col("deadline")))
     filled = fill_defaults(identified, "curate").withColumn("job_id", F.lit(job_id))
-    firsts = dedupe_first(filled, [F.col("listing_id")], [F.col("src_seq")],
+    firsts = dedupe_first(filled, ["listing_id"], [F.col("src_seq")],
                           rows=F.count("*"))
     known = target.select("listing_id", F.lit(1).alias("__known"))
     inserted = F.when(F.col("__known").isNull(), 1).otherwise(0)

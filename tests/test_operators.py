@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingflow.operators import dedupe, filters, merge, quality
-from listingflow.session import scratch_dir
-from listingflow.sources import archive, markup, tables
+from listingflow.session import scratch_dir, stored
+from listingflow.sources import archive, markup, pages, tables
 from listingflow import catalog
+from listingflow.plans.curate import curate
 from listingflow.sources import feeds
 from listingflow.streaming import jobs as stream
 
@@ -38,6 +39,51 @@ def test_dedupe_first_keeps_least_order(hot):
     assert sorted(tuple(r) for r in again.collect()) == sorted(want.values())
 
 
+def test_dedupe_keeps_the_partitioning_of_its_key(spark, data):
+    from listingflow.catalog import fixtures
+    from listingflow.session import stored
+    batch = stored(fixtures.listings(spark, data), "batch")
+    target = stored(batch.select("listing_id").distinct(), "target")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(curate(batch, target, "1998-06-15", "job"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.count("Exchange hashpartitioning") == 2      # the batch and the table
+
+
+def test_row_cells_go_by_their_place(spark):
+    html = ('<table><tr><th>1</th><td><a href="/x">Be</a><a href="/y">ta</a></td><td>High School</td>'
+            '<td>Scholarship <i class="table-Numeric">77</i></td><td>$500</td><td>May 1, 2025</td></tr></table>')
+    rows = pages.extract_rows(spark.createDataFrame([(1, html)], "page_id int, html string"),
+                              "https://a.example", 2025, "x").collect()
+    assert [(r.name, r.url, r.min_award) for r in rows] == [("Beta", "https://a.example/x", 500.0)]
+
+
+def test_selectors_of_a_hot_site(spark, monkeypatch):
+    rows = [(i, "hot" if i % 10 else "other", f"<h1>T{i}</h1><h2>S{i}</h2>") for i in range(200)]
+    table = spark.createDataFrame(rows, "page_id int, site string, html string")
+    sites = spark.createDataFrame([("hot", '{"title": "h1"}'), ("other", '{"title": "h2"}')],
+                                  "site string, selectors string")
+    want = sorted((i, f"T{i}" if i % 10 else f"S{i}") for i in range(200))
+    small = pages.extract_by_spec(table, sites)
+    assert "hashpartitioning" not in plan(small)
+    assert sorted((r.page_id, r.name) for r in small.collect()) == want
+    monkeypatch.setattr(pages, "BROADCAST_SITES", 1)
+    large = pages.extract_by_spec(table, sites)
+    assert sorted((r.page_id, r.name) for r in large.collect()) == want
+
+
+def test_feed_items_at_any_depth(spark):
+    item = "<item><title>T{}</title><dc:creator>c</dc:creator><description>d</description></item>"
+    head = '<rss xmlns:dc="urn:dc"><channel><title>F</title>'
+    feeds_ = [head + item.format(1) + "<g><h>" + item.format(2) + "</h></g><!-- " + item.format(9)
+              + " --></channel></rss>",
+              head + item.format(3) + "</channel>", "", None, "<rss/>", '<item id="4"><title>T4</title></item>']
+    got = feeds.read_feed(spark.createDataFrame(list(enumerate(feeds_)), "n int, xml string"), "n")
+    assert sorted((r.n, r.pos, r.name) for r in got.collect()) == [(0, 0, "T1"), (0, 1, "T2"), (5, 0, "T4")]
+
+
 def test_cap_limits_before_the_shuffle(hot):
     df, rows = hot
     got = dedupe.cap(df, 3, [F.col("seq")], by=[F.col("key")])
@@ -60,6 +106,12 @@ def test_numbering_of_a_hot_group(hot):
     nulls = dedupe.number_rows(df.select("seq", F.lit(None).cast("string").alias("key")), "seq",
                                ["key"], slices=16)
     assert [r.row_no for r in nulls.orderBy("seq").collect()] == list(range(1, len(rows) + 1))
+    # One far value does not put the rest into one range.
+    far = df.select(F.when(F.col("seq") == rows[0][0], 10 ** 15).otherwise(F.col("seq")).alias("seq"))
+    sizes = far.groupBy(dedupe._slice_of(far, "seq", 16)).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * len(rows) / 16
+    empty = dedupe.number_rows(df.select("seq", "key").limit(0), "seq", ["key"])
+    assert empty.count() == 0
     batches = dedupe.batch_numbers(df.select("seq", "key"), "seq", ["key"], 5)
     assert batches.groupBy("key", "batch").count().agg(F.max("count")).first()[0] == 5
 
@@ -140,6 +192,10 @@ def test_archive_prunes_folders(spark, data):
     assert folders == {("scraper-1", "01"), ("scraper-1", "02")}
     some = back.limit(3).select("key")
     assert archive.read_by_keys(back, some).count() == 3
+    kept = stored(some, "keys")
+    assert "dynamicpruning" in plan(archive.read_by_keys(back, kept))
+    touched = archive.touched_folders(back, kept)
+    assert archive.delete_keys(touched, kept).count() == touched.count() - 3
 
 
 def test_registry_isolates_failures(spark, data):
