@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from listingflow.catalog import fixtures as fx, oracle as sql
-from listingflow.catalog.core import AS_OF, query, table
+from listingflow.catalog import fixtures as fx, oracle as sql, payloads  # noqa: F401 (its SQL is used)
+from listingflow.catalog.core import AS_OF, ORACLE, YEAR, query, table
 from listingflow.operators import rollups
 from listingflow.operators.dedupe import dedupe_first
 from listingflow.plans import curate as jobs
 from listingflow.schema import CRAWL_RESULT
 from listingflow.session import scratch_dir
+from listingflow.sources import feeds, pages
 from listingflow.sources.feeds import crawl_items
 from listingflow.sources.tables import Registry, read_export
 from listingflow.streaming import jobs as stream
@@ -206,6 +207,66 @@ def run_all_sources(spark, data):
     return counts.unionAll(failed)
 
 
+# --- from pages and payloads to the table ----------------------------------------------------------
+
+def _corrupt(spark, data):
+    """Fails only when its rows are read: the stored addresses are no lists."""
+    return spark.read.schema("url array<string>").parquet(f"{data}/pages.parquet")
+
+
+def readers() -> Registry:
+    """Listings out of table rows, feeds and API payloads, and a source that breaks while it is read."""
+    out = Registry()
+
+    def add(name, place, read):
+        def numbered(spark, data):
+            at = (F.col("page_id") * 1000 + F.col("pos")) * 10 + place
+            return read(spark, data).withColumn("src_seq", at)
+        out.register(name, numbered)
+
+    add("rows", 0, lambda spark, data: pages.extract_rows(
+        fx.row_pages(spark, data), "https://awards.example.org", YEAR, "the awards database"))
+    add("feeds", 1, lambda spark, data: feeds.read_feed(fx.feed_payloads(spark, data), "page_id"))
+    add("apis", 2, lambda spark, data: feeds.read_api(fx.api_payloads(spark, data), "page_id"))
+    out.register("corrupt", _corrupt)
+    return out
+
+
+_INGESTED = f"""{_FIRSTS}, row_items AS ({ORACLE['row_listings']}), feed_items AS ({ORACLE['rss_items']}),
+api AS ({ORACLE['api_items']}),
+got AS (SELECT 'rows' AS source, (page_id * 1000 + pos) * 10 AS src_seq, name, organization, deadline FROM row_items
+  UNION ALL SELECT 'feeds', (page_id * 1000 + pos) * 10 + 1, name, organization, NULL FROM feed_items
+  UNION ALL SELECT 'apis', (page_id * 1000 + pos) * 10 + 2, name, organization, NULL FROM api),
+named AS (SELECT *, md5(name || '-' || coalesce(organization, 'undefined') || '-' ||
+    coalesce(deadline, 'undefined')) AS listing_id FROM got
+  WHERE coalesce(NOT {sql.expired('deadline')}, true)),
+found AS (SELECT listing_id, min(src_seq) AS src_seq, min_by(name, src_seq) AS name,
+  min_by(source, src_seq) AS source, count(*) AS n FROM named GROUP BY 1)"""
+
+
+@query("ingest_all", f"""
+WITH {_INGESTED} SELECT f.listing_id, f.name, f.source, f.src_seq,
+  CASE WHEN t.listing_id IS NULL THEN 'insert' ELSE 'update' END AS action
+FROM found f LEFT JOIN target t USING (listing_id)
+UNION ALL SELECT listing_id, name, source, src_seq, 'keep' FROM target
+WHERE listing_id NOT IN (SELECT listing_id FROM found)""")
+def ingest_all(spark, data):
+    """Pages, feeds and API payloads read, curated and upserted."""
+    merged, _ = jobs.ingest(spark, readers(), data, _target(spark, data), AS_OF, "job-1")
+    return merged.select("listing_id", "name", "source", "src_seq", "action")
+
+
+@query("ingest_counts", f"""
+WITH {_INGESTED} SELECT f.source, 'completed' AS status,
+  count(*) FILTER (WHERE t.listing_id IS NULL) AS inserted,
+  CAST(sum(n) AS BIGINT) - count(*) FILTER (WHERE t.listing_id IS NULL) AS updated
+FROM found f LEFT JOIN target t USING (listing_id) GROUP BY 1
+UNION ALL SELECT 'corrupt', 'failed', 0, 0""")
+def ingest_counts(spark, data):
+    """What each source added; one fails while it is read and the others go on."""
+    return jobs.ingest(spark, readers(), data, _target(spark, data), AS_OF, "job-1")[1]
+
+
 # --- incremental jobs -----------------------------------------------------------------------------------
 
 def _run(started):

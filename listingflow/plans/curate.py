@@ -10,8 +10,9 @@ from listingflow.functions import ids
 from listingflow.functions.deadlines import is_expired
 from listingflow.operators.dedupe import dedupe_first
 from listingflow.operators.filters import drop_expired, fill_defaults
-from listingflow.operators.merge import new_only
-from listingflow.sources.tables import Registry, union_sources
+from listingflow.operators.merge import new_only, upsert
+from listingflow.session import stored
+from listingflow.sources.tables import Registry, conform, union_sources
 
 
 def curate(df: DataFrame, target: DataFrame, as_of: str, job_id: str) -> DataFrame:
@@ -72,3 +73,25 @@ def run_all(spark: SparkSession, registry: Registry, data: str,
     """(listings of all sources that could be read, failures by name)."""
     listings, failures = registry.read_all(spark, data, names)
     return (union_sources(listings.values()) if listings else None), failures
+
+
+def ingest(spark: SparkSession, registry: Registry, data: str, target: DataFrame, as_of: str,
+           job_id: str) -> tuple[DataFrame, DataFrame]:
+    """All sources into the table: read, curate, upsert.
+
+    Returns the table with an ``action`` per row, and counts by source: 'completed' with
+    inserted and updated listings, or 'failed'. A source's copies of a listing that another
+    source gave first count as that one's updates. ``src_seq`` tells rows of all sources apart.
+    """
+    rows, failures = run_all(spark, registry, data)
+    failed = spark.createDataFrame([(name, "failed", 0, 0) for name in failures],
+                                   "source string, status string, inserted bigint, updated bigint")
+    known = stored(conform(target), "target")
+    if rows is None:
+        return known.withColumn("action", F.lit("keep")), failed
+    curated = stored(curate(rows, known, as_of, job_id), "curated")
+    counts = curated.groupBy("source").agg(
+        F.lit("completed").alias("status"), F.sum("inserted").cast("bigint").alias("inserted"),
+        F.sum("updated").alias("updated"))
+    merged = upsert(known, curated.select(*known.columns), "listing_id", as_of)
+    return merged, counts.unionByName(failed)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from listingflow.operators.filters import rename_fields
 from listingflow.schema import EXPORT_ITEM, LISTING, SEARCH_CONFIG
+from listingflow.session import stored
 
 Source = Callable[[SparkSession, str], DataFrame]
 
@@ -77,7 +78,11 @@ class Registry:
 
     def read_all(self, spark: SparkSession, data: str, names: Iterable[str] | None = None
                  ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-        """(listings, failures) by source name. One source failing leaves the others."""
+        """(listings, failures) by source name. One source failing leaves the others.
+
+        Each source is read into a written table of its own, since most failures show
+        only when the rows are read.
+        """
         listings, failures = {}, {}
         for asked in self.names() if names is None else names:
             name = self.resolve(asked)
@@ -87,8 +92,8 @@ class Registry:
             if name in listings or name in failures:
                 continue
             try:
-                listings[name] = conform(self._sources[name](spark, data)) \
-                    .withColumn("source", F.lit(name))
+                listings[name] = stored(conform(self._sources[name](spark, data))
+                                        .withColumn("source", F.lit(name)), f"source-{name}")
             except Exception as error:
                 failures[name] = str(error).splitlines()[0]
         return listings, failures
