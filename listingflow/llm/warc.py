@@ -25,6 +25,8 @@ from listingflow.session import scratch_dir
 LEAST_REVISIT = 100
 #: Seconds since 1970 of page 0 where pages carry no time of capture.
 FIRST_CAPTURE = 1_704_067_200
+#: Records of a file at most. Readers hold a file at a time, so this bounds their memory by the size of pages.
+FILE_RECORDS = 1000
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -78,7 +80,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     are written each. White space and control characters in a URL become %20; a null URL
     has no target line. Other columns are ignored.
     """
-    records(pages).write.mode("errorifexists").option("lineSep", _END).option("maxRecordsPerFile", 10_000).text(path)
+    records(pages).write.mode("errorifexists").option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _parse(data: memoryview) -> Iterator[tuple]:
