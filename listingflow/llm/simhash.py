@@ -218,15 +218,3 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3) -> Da
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id", "group_size", "copies")
-
-
-def keep_one(docs: DataFrame, threshold: int = 3, shingle: int = 3) -> DataFrame:
-    """``docs`` without all but the document of smallest id of each group; the columns stay.
-
-    Rows without an id belong to no document that could stand for another and stay. Rows
-    that share the id that stays are one document, of which one row stays.
-    """
-    found = near_duplicates(docs, threshold, shingle)
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
