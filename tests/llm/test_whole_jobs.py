@@ -41,3 +41,32 @@ def test_near_copies_are_what_five_word_shingles_say(spark):
     from listingflow.llm import near_copies
     # Clusters cut into chunks give the same.
     assert sorted(r.doc_id for r in near_copies.keep_one(docs, chunk=4).collect()) == got
+
+
+def brute_runs(docs, min_words=50):
+    """Lines of each document in a run of enough words that occurs at an earlier place."""
+    lines = [(d, k, x) for d, t in docs for k, x in enumerate(t.split("\n"))]
+    gone = set()
+    for at in range(len(lines)):
+        for before in range(at):
+            n, words = 0, 0
+            while at + n < len(lines) and lines[at + n][0] == lines[at][0] and lines[before + n][0] == lines[before][0] \
+                    and lines[at + n][2] == lines[before + n][2]:
+                words += len(lines[at + n][2].split())
+                n += 1
+            if words >= min_words:
+                gone |= {lines[at + k][:2] for k in range(n)}
+    return gone
+
+
+def test_repeated_runs_are_maximal(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(f"l{i}w{k}" for k in range(n)) for i, n in enumerate([60, 10, 45, 55, 20, 1, 1, 3, 30, 49, 50, 7])]
+    docs = [(1, "\n".join([pool[0], pool[1], "a"])), (2, "\n".join(["x", pool[0], pool[1], "y"])),
+            (3, "\n".join(["b", *pool[2:8]])), (4, "\n".join([*pool[2:8], "c"]))]
+    docs += [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), 9) // 3 * 3 + rng.integers(0, 2, 9))) for i in range(5, 25)]
+    docs += [(i, "\n".join(pool[(s + k) % 12] for k in range(8))) for i, s in enumerate(rng.integers(0, 12, 15), 25)]
+    gone = brute_runs(docs)
+    wanted = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in docs}
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, documents(spark, docs), "").collect()}
+    assert got == wanted and (got[2], got[4]) == ("x\ny", "c")
