@@ -70,3 +70,10 @@ def test_repeated_runs_are_maximal(spark):
     wanted = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in docs}
     got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, documents(spark, docs), "").collect()}
     assert got == wanted and (got[2], got[4]) == ("x\ny", "c")
+
+
+def test_every_group_keeps_a_document_if_ids_repeat(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = documents(spark, [(1, one), (1, one), (1, two), (2, one + " end"), (3, two + " end")])
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_near(spark, docs, "").collect())
+    assert got == [(1, one), (1, two)]
