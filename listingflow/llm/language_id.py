@@ -22,6 +22,8 @@ DIMENSIONS = 4096
 CLUSTERS = 4
 #: Training texts that centroids are clustered from, over all languages, as an expectation; every one gives document frequencies.
 SAMPLE = 1600
+#: Training texts of a language at least, as an expectation, however many languages there are; the text of the least hash is always one.
+LEAST = 16
 #: A text is rejected if its cosine is less than this share of what 99 % of the sampled texts of the language
 #: reach. For a text of fewer than ``FULL`` letters the bound falls with the root of their number,
 #: as the cosine of a short text does.
@@ -109,17 +111,19 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, clusters: int = CLUSTERS,
     """A model from the documents with text, lang and id that are not held out.
 
     Every one counts for document frequency. Centroids come from about ``sample`` texts, equally many per
-    language, chosen by a hash of the id; that is the bound on what reaches the driver.
+    language, or from about ``LEAST`` per language if that is more, chosen by a hash of the id; that is the bound on
+    what reaches the driver, besides rows that share an id.
     """
     train = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
-    quota = sample // max(1, len(languages))
     spread = 1 << 30
-    taken = F.lit(False)
-    for lang in languages:
-        taken = F.when(F.col("lang") == lang, F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(spread))
-                       < int(spread * min(1.0, quota / sizes[lang]))).otherwise(taken)
+    place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(spread))
+    found = train.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
+    languages = sorted(r["lang"] for r in found)
+    quota = max(LEAST, sample // max(1, len(languages)))
+    upto = docs.sparkSession.createDataFrame(
+        [(r["lang"], max(r["least"] + 1, int(spread * min(1.0, quota / r["n"])))) for r in found], "learned string, upto long")
+    train = train.join(F.broadcast(upto), F.col("lang") == F.col("learned"))
+    taken = place < F.col("upto")
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         """For each sampled text its counts; at the end the document frequencies of the partition."""

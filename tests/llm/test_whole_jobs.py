@@ -77,3 +77,14 @@ def test_every_group_keeps_a_document_if_ids_repeat(spark):
     docs = documents(spark, [(1, one), (1, one), (1, two), (2, one + " end"), (3, two + " end")])
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_near(spark, docs, "").collect())
     assert got == [(1, one), (1, two)]
+
+
+def test_every_language_is_learned_however_many_there_are(spark):
+    from listingflow.llm import language_id
+    n = 1700
+    texts = spark.range(3 * n).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id")).alias("text"),
+        F.concat(F.lit("l"), F.col("id") % n).alias("lang"))
+    learned = texts.where(~language_id.held_out(F.col("doc_id"))).select("lang").distinct().count()
+    model = language_id.fit(texts, dimensions=16)
+    assert len(set(model.owner.tolist())) == len(model.languages) == learned > 1600
