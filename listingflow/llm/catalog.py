@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingflow.llm import (
-    ann, bpe, language_id, line_dedup, mixing, quality_rules, simhash, token_counts, url_filter, warc,
+    ann, bpe, language_id, line_dedup, mixing, quality_rules, sharding, simhash, token_counts, url_filter, warc, whitening,
 )
 from listingflow.llm.common import read_table
 
@@ -75,9 +75,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the components that whiten all of them."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a shard, by the slot map edited for the bytes found."""
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup, op2_url_filter, op3_token_counts, op4_simhash, op5_quality_rules, op6_warc, op7_mixing,
-    op8_language_id, op9_ann, op10_bpe)}
+    op8_language_id, op9_ann, op10_bpe, op12_whitening, op13_sharding)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingflow.session import stored
+from listingflow.session import scratch_dir, stored
 
 #: What separates words, as a trim set and as a pattern.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -15,8 +15,8 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-__all__ = ["BLANKS", "BLANK_RUN", "DOCUMENT_COLUMNS", "bundles", "read_table", "stored",
-           "word_array", "word_count"]
+__all__ = ["BLANKS", "BLANK_RUN", "DOCUMENT_COLUMNS", "bundles", "read_table", "scratch_dir",
+           "stored", "word_array", "word_count"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
