@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingflow.llm import (
-    ann, bpe, language_id, line_dedup, mixing, quality_rules, sharding, simhash, token_counts, url_filter, warc, whitening,
+    ann, bpe, conversation_trie, language_id, line_dedup, mixing, quality_rules, sharding, simhash, token_counts, url_filter, warc,
+    whitening,
 )
 from listingflow.llm.common import read_table
 
@@ -75,6 +76,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector on the components that whiten all of them."""
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
@@ -87,7 +93,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup, op2_url_filter, op3_token_counts, op4_simhash, op5_quality_rules, op6_warc, op7_mixing,
-    op8_language_id, op9_ann, op10_bpe, op12_whitening, op13_sharding)}
+    op8_language_id, op9_ann, op10_bpe, op11_conversation_trie, op12_whitening, op13_sharding)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -159,5 +165,35 @@ select page_id, n as payload_bytes, digest as payload_digest,
                  || regexp_extract(uri, '://[^/?#]*(.*)$', 1)
             else coalesce(uri, '') end as url_key,
        strftime(timestamp '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') as captured_at
-from parts""",
+from parts""",    "op11_conversation_trie": """
+with plain as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+               where conv_id is not null),
+turns as (select c, words, digest, row_number() over (partition by c order by turn nulls first, digest) as place
+          from (select c, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) as digest,
+                       len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as words from plain)),
+sizes as (select c, count(*) as n from turns group by c),
+skips as (select c, c - c % 20 as base, xor(list_reduce(
+              list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ord(x)::bigint)),
+              lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                  lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)), 4294967295::bigint) % 4 as h
+          from sizes),
+rebuilt as (select t.c, t.place - s.h + least(s.h, coalesce(b.n, 0)) as pos, t.digest, t.words
+            from turns t join skips s using (c) left join sizes b on b.c = s.base where t.place > s.h
+            union all select s.c, t.place, t.digest, t.words from skips s join turns t on t.c = s.base and t.place <= s.h),
+prefixes as (select c, pos as depth, words, sha256(string_agg(digest, '') over (partition by c order by pos)) as node from rebuilt
+             union all select c, 0, 0, '' from sizes),
+nodes as (select depth, node, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(words) as saved
+          from prefixes group by depth, node),
+above as (select n.depth, n.node, u.node as parent, u.conv_id as parent_conv_id from nodes n
+          join prefixes p on p.c = n.conv_id and p.depth = n.depth - 1 join nodes u on u.depth = p.depth and u.node = p.node),
+kids as (select depth - 1 as depth, parent as node, count(*) as n from above group by all),
+totals as (select p.depth, p.node, sum(n.saved) as saved, count(*) filter (where k.n is null) as leaves
+           from nodes n join prefixes p on p.c = n.conv_id and p.depth <= n.depth
+           left join kids k on k.depth = n.depth and k.node = n.node group by p.depth, p.node),
+ends as (select depth, node, string_agg(c::varchar, ',' order by c) as members
+         from prefixes p where depth = (select max(depth) from prefixes q where q.c = p.c) group by depth, node)
+select n.conv_id, n.depth::bigint as depth, a.parent_conv_id, n.n_convs, coalesce(k.n, 0)::bigint as n_children,
+       t.leaves::bigint as n_leaves, t.saved::bigint as saved_tokens, sha256(coalesce(e.members, '')) as ends_sha256
+from nodes n left join above a using (depth, node) left join kids k using (depth, node) join totals t using (depth, node)
+left join ends e using (depth, node)""",
 }

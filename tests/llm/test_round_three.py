@@ -1,11 +1,13 @@
 """Whitening, sharding and the conversation trie against brute force and odd inputs."""
 
+import hashlib
 import zlib
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from listingflow.llm import sharding, whitening
+from listingflow.llm import conversation_trie, sharding, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -133,3 +135,91 @@ def test_maps_are_edited_little_and_kept(spark, tmp_path):
     sharding.write_map(spark, path, more, 2)
     assert sharding.read_map(spark, path, 1) == edited and sharding.read_map(spark, path, 2) == more
     assert sharding.rebalanced([0, 0, 0], [0, 0, 0], 2) == [0, 0, 0] and sharding.grown([0, 0], [0, 0], 1) == [0, 0]
+
+
+# --- conversations ------------------------------------------------------------------------------------
+
+def brute_trie(conversations):
+    """Every node's row, from (conv_id, turn, role, text) rows whose turns are unique in a conversation."""
+    turns = defaultdict(list)
+    for c, turn, role, text in conversations:
+        if c is not None:
+            turns[c].append((turn is not None, turn or 0, role or "", text or ""))
+    plain = {c: [t[2:] for t in sorted(found)] for c, found in turns.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, own in plain.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        whole = tuple(plain.get(c - c % 20, [])[:h] + own[h:])
+        for d in range(len(whole) + 1):
+            members[whole[:d]].append(c)
+        ends[whole].append(c)
+    kids = defaultdict(list)
+    for node in members:
+        if node:
+            kids[node[:-1]].append(node)
+    found = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = [found[k] for k in kids[node]]
+        words = len(node[-1][1].split()) if node else 0
+        found[node] = (min(members[node]), len(node), min(members[node[:-1]]) if node else None, len(members[node]), len(below),
+                       sum(b[5] for b in below) or 1, sum(b[6] for b in below) + (len(members[node]) - 1) * words,
+                       hashlib.sha256(",".join(map(str, sorted(ends[node]))).encode()).hexdigest())
+    return sorted(found.values(), key=str)
+
+
+def some_conversations(seed, n, longest, kinds):
+    rng = np.random.default_rng(seed)
+    return [(int(c), int(t) if t else None, ("user", None, "")[int(rng.integers(3))] if kinds > 2 else "user",
+             (f"word {k} of it" if k else None)) for c in rng.choice(5 * n, n, replace=False)
+            for t, k in enumerate(rng.integers(0, kinds, rng.integers(1, longest)))]
+
+
+def test_conversation_trie_equals_brute_force(spark):
+    real = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    same = [(c, t, "user", f"turn {t}") for c in range(100, 340) for t in range(1, 5)]
+    schema = "conv_id long, turn long, role string, text string"
+    for rows_, options in ((real, {}), (some_conversations(1, 150, 6, 2), {"segment": 3, "block": 40, "fan": 2}),
+                           (some_conversations(2, 60, 30, 2), {"segment": 4, "block": 10, "fan": 3}),
+                           (some_conversations(3, 200, 4, 4), {"block": 5}), (same, {"segment": 2, "block": 30, "fan": 2})):
+        table = spark.createDataFrame(rows_, schema).repartition(9)
+        got = rows(conversation_trie.trie(table, **options))
+        assert sorted(got, key=str) == brute_trie(rows_)
+
+
+def test_contracted_ranges_merge_to_the_same_trie():
+    rng = np.random.default_rng(5)
+    sequences = sorted((bytes(rng.integers(0, 2, rng.integers(0, 7)).repeat(16).astype(np.uint8)), c) for c in range(300))
+    items = [{"root": b"r", "keys": k, "words": [1] * (len(k) // 16), "next": None, "ends": True, "conv_id": c, "kids": 0,
+              "leaves": 0, "saved": 0} for k, c in sequences]
+
+    def read(rows_):
+        return [conversation_trie._read_row(r) for r in rows_]
+
+    def key(nodes):
+        return sorted((r["depth"], r["conv_id"], r["n_convs"], r["n_children"], r["n_leaves"], r["saved_tokens"]) for r in nodes)
+
+    whole, _, _ = conversation_trie.contract(read(items), 99, 0, False)
+    for cuts in ([150], [1, 2, 3], sorted(rng.choice(299, 60, replace=False) + 1)):
+        found, left = [], []
+        for part in np.split(np.arange(300), cuts):
+            nodes, _, paths = conversation_trie.contract(read([items[i] for i in part]), 99, 0, True)
+            found += nodes
+            left += [conversation_trie._read_path(conversation_trie._path_row(p, 0, 0)) for p in paths]
+        nodes, _, left = conversation_trie.contract(left, 99, 0, False)
+        assert key(found + nodes) == key(whole) and left == []
+
+
+def test_conversation_trie_of_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    odd = [(None, 0, "user", "no conversation"), (7, None, None, None), (7, 3, "user", "x " * 50_000), (9, 1, "", ""), (-5, 1, "a", "b"),
+           (27, 1, "user", "alone"), (60, 0, "user", "x"), (61, 0, "user", "x"), (62, 0, "user", "x"), (63, 0, "user", "x")]
+    table = spark.createDataFrame(odd, schema)
+    clash = table.withColumns({c: F.lit("clash") for c in ("digest", "words", "tie", "part", "n", "base", "skip", "borrowed", "total",
+                                                            "place", "at", "level", "root", "keys", "next", "ends", "id", "kind")})
+    wanted = [r for r in odd if r[0] != -5]
+    assert sorted(rows(conversation_trie.trie(clash.where("conv_id <> -5 or conv_id is null"))), key=str) == brute_trie(wanted)
+    twice = conversation_trie.trie(spark.createDataFrame([(1, 0, "u", "a"), (1, 0, "u", "a")], schema)).collect()
+    assert max(r.depth for r in twice) <= 2 and all(r.conv_id == 1 for r in twice)
+    below = {(r.depth, r.conv_id): r.n_convs for r in conversation_trie.trie(table).collect()}
+    assert below[0, -5] == 8  # ids below zero are members too
+    assert rows(conversation_trie.trie(table.limit(0))) == rows(conversation_trie.trie(table.where("conv_id is null"))) == []
