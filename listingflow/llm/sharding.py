@@ -20,7 +20,7 @@ SHARDS = 8
 #: Virtual slots. The map and the bytes by slot, which the driver holds, have so many rows, whatever the input.
 SLOTS = 4096
 #: Shares of a slot that are numbered apart, so that a slot with much of the table is not one task's.
-PARTS = 64
+PARTS = 16
 #: Rebalancing stops when no shard has more than its equal share by this part of it.
 TOLERANCE = 0.001
 
