@@ -17,10 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its later repeated windows of lines taken out, as its SQL has them; not extended to maximal runs."""
+    """Every document with its later repeated runs of lines taken out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
     runs = F.array_join(F.transform("removed_runs", lambda r: F.concat_ws("-", r["start"], r["stop"])), ",")
-    kept = line_dedup.dedup_lines(docs, maximal=False)
+    kept = line_dedup.dedup_lines(docs)
     return kept.select(
         "doc_id", F.size("removed_runs").cast("long").alias("n_runs"), runs.alias("removed_runs"),
         (F.char_length("whole") - F.char_length("text")).cast("long").alias("removed_chars"), "text")
@@ -104,16 +104,14 @@ raw as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos f
 lines as (select doc_id, pos, trim(line, {_BLANKS}) as line,
                  len(regexp_split_to_array(trim(line, {_BLANKS}), '[\\x20\\x09-\\x0D]+')) as words
           from raw where trim(line, {_BLANKS}) <> ''),
-placed as (select *, sum(words) over (partition by doc_id order by pos) - words as begins from lines),
-runs as (select doc_id, pos as start, max(pos) over ahead as stop, sum(words) over ahead as size,
-                string_agg(line, chr(10)) over ahead as content
-         from placed window ahead as (partition by doc_id order by begins range between current row and 49 following)),
-ranked as (select *, row_number() over (partition by content order by doc_id, start) as nth from runs where size >= 50),
-later as (select doc_id, start, stop from ranked where nth > 1),
-marked as (select *, case when start <= max(stop) over (partition by doc_id order by start
-                     rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from later),
-numbered as (select *, sum(fresh) over (partition by doc_id order by start) as island from marked),
-islands as (select doc_id, island, min(start) as start, max(stop) as stop from numbered group by doc_id, island),
+placed as (select *, row_number() over (partition by doc_id order by pos) as nth from lines),
+pairs as (select a.doc_id, a.nth, a.pos, a.words, b.doc_id as other, a.nth - b.nth as shift
+          from placed a join placed b on a.line = b.line and (b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.nth < a.nth)),
+chained as (select *, nth - row_number() over (partition by doc_id, other, shift order by nth) as chain from pairs),
+weighed as (select *, sum(words) over (partition by doc_id, other, shift, chain) as run_words from chained),
+repeats as (select distinct doc_id, nth, pos from weighed where run_words >= 50),
+numbered as (select *, nth - row_number() over (partition by doc_id order by nth) as island from repeats),
+islands as (select doc_id, island, min(pos) as start, max(pos) as stop from numbered group by doc_id, island),
 gone as (select doc_id, count(*) as n_runs, string_agg(start || '-' || stop, ',' order by start) as removed_runs
          from islands group by doc_id),
 kept as (select r.doc_id, string_agg(r.line, chr(10) order by r.pos) as text from raw r

@@ -33,21 +33,41 @@ FULL = 400
 _LETTER = regex.compile(r"\p{L}").search
 
 
-def features(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Counts of hashed 1- to 3-grams of the lower-cased text; each run of other than letters is one space."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-    letters = _is_letter(points)
-    points = np.where(letters, points, 32).astype(np.uint64)
-    points = np.concatenate([[32], points[np.append(True, letters[1:] | letters[:-1])] if len(points) else points, [32]]).astype(np.uint64)
+def features(text: str, dimensions: int = DIMENSIONS, block: int = 1 << 18) -> np.ndarray:
+    """Counts of hashed 1- to 3-grams of the lower-cased text; each run of other than letters is one space.
+
+    A text is taken ``block`` characters at a time, whatever its length; the last two points go on into the next block.
+    """
     counts = np.zeros(dimensions, dtype=np.float64)
-    h = np.zeros(len(points), dtype=np.uint64)
+    lowered = text.lower()
+    held, after_letter = np.array([32], dtype=np.uint64), True
+    _count(held, 0, counts)
+    for start in range(0, len(lowered), block):
+        points = np.frombuffer(lowered[start:start + block].encode("utf-32-le", "replace"), dtype="<u4")
+        letters = _is_letter(points)
+        kept = points[letters | np.append(after_letter, letters[:-1])]
+        after_letter = letters[-1]
+        held = np.concatenate([held, np.where(_is_letter(kept), kept, 32).astype(np.uint64)])
+        if len(kept):
+            _count(held, len(held) - len(kept), counts)
+        held = held[-2:]
+    _count(np.append(held, np.uint64(32)), len(held), counts)
+    return counts
+
+
+def _count(points: np.ndarray, first: int, counts: np.ndarray) -> None:
+    """Adds the 1- to 3-grams that end at index ``first`` or later."""
+    dimensions = len(counts)
+    h = points * np.uint64(0x9E3779B97F4A7C15)
     for n in range(3):
-        # The hash of a gram goes on from that of the gram without its last point.
-        h = (h[:len(points) - n] * np.uint64(0x100000001B3) + points[n:] + np.uint64(n + 1)) if n \
-            else points * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        if n:
+            if len(points) <= n:
+                return
+            # The hash of a gram goes on from that of the gram without its last point.
+            h = h[:len(points) - n] * np.uint64(0x100000001B3) + points[n:] + np.uint64(n + 1)
+        new = h[max(0, first - n):]
+        mixed = (new ^ (new >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         counts += np.bincount((mixed >> np.uint64(40)).astype(np.int64) % dimensions, minlength=dimensions)
-    return counts
 
 
 def _letter_table() -> np.ndarray:
@@ -114,7 +134,7 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, clusters: int = CLUSTERS,
     language, or from about ``LEAST`` per language if that is more, chosen by a hash of the id; that is the bound on
     what reaches the driver, besides rows that share an id.
     """
-    train = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
+    train = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
     spread = 1 << 30
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(spread))
     found = train.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
@@ -200,9 +220,13 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language is rejected; rows and columns stay as they are otherwise.
 
-    The text is judged beside its row, so no join is needed and rows without an id are judged too.
+    The text is judged beside its row, so no join is needed and rows without an id are judged too. If no row has a
+    language to learn from, nothing can be rejected and every row stays.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    model = fit(docs)
+    if not model.languages:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for rows, texts in bundles(batches):

@@ -169,11 +169,11 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, **opti
 
     Rows that share id and text are one document and are taken alike, each as often as the other.
     """
-    fate = mix(docs, shards, seed, **options).select(
-        F.col("doc_id").alias("of"), F.col("order").alias("at"), "shards").distinct()
-    keyed = docs.withColumn("mix_order", _hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")))
-    taken = keyed.join(fate, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mix_order") == F.col("at"))) \
-        .select(*keyed.columns, F.posexplode("shards").alias("mix_copy", "mix_shard"))
-    local = _hash(F.lit(seed + 2), F.col("mix_shard"), F.col("mix_order"), F.col("mix_copy"))
-    return taken.withColumn("mix_place", local).repartitionByRange("mix_shard", "mix_place") \
-        .sortWithinPartitions("mix_shard", "mix_place").select(*docs.columns)
+    fate = mix(docs, shards, seed, **options).select("doc_id", F.col("order").alias("mix_order"), "shards").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id",
+                        _hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("mix_order"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.mix_order") == F.col("f.mix_order"))
+    taken = keyed.alias("d").join(fate.alias("f"), same).select("row", "d.mix_order", F.posexplode("shards").alias("copy", "shard"))
+    local = _hash(F.lit(seed + 2), F.col("shard"), F.col("mix_order"), F.col("copy"))
+    return taken.withColumn("place", local).repartitionByRange("shard", "place") \
+        .sortWithinPartitions("shard", "place").select("row.*")

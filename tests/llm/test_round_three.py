@@ -1,13 +1,19 @@
 """Whitening, sharding and the conversation trie against brute force and odd inputs."""
 
 import hashlib
+import inspect
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from listingflow.llm import conversation_trie, sharding, whitening
+from listingflow.llm import (
+    ann, bpe, common, conversation_trie, graph, language_id, line_dedup, mixing, near_copies, quality_rules, sharding, simhash,
+    token_counts, url_filter, warc, whitening, wordpieces,
+)
 
 SF = "/root/testdata/sf0.001"
 
@@ -223,3 +229,63 @@ def test_conversation_trie_of_odd_rows(spark):
     below = {(r.depth, r.conv_id): r.n_convs for r in conversation_trie.trie(table).collect()}
     assert below[0, -5] == 8  # ids below zero are members too
     assert rows(conversation_trie.trie(table.limit(0))) == rows(conversation_trie.trie(table.where("conv_id is null"))) == []
+
+
+# --- extra columns, no labels, long texts -------------------------------------------------------------------
+
+def names_inside(*modules):
+    """Every name in quotes in the modules' code that may be a column's."""
+    found = set()
+    for module in modules:
+        found |= set(re.findall(r"[\"']([a-z][a-z_0-9]*)[\"'.]", inspect.getsource(module)))
+    return found
+
+
+OPERATORS = {
+    "op1": (line_dedup.dedup_lines, "documents", (line_dedup,), {"removed_runs"}),
+    "op2": (url_filter.judge, "pages", (url_filter,), set()),
+    "op3": (token_counts.token_counts, "documents", (token_counts, wordpieces), set()),
+    "op4": (simhash.near_duplicates, "documents", (simhash, graph), set()),
+    "op5": (quality_rules.ledger, "documents", (quality_rules,), set()),
+    "op6": (warc.archive, "pages", (warc,), set()),
+    "op7": (mixing.mix, "documents", (mixing,), set()),
+    "op8": (language_id.identify, "documents", (language_id,), set()),
+    "op9": (ann.nearest, "embeddings", (ann,), set()),
+    "op10": (bpe.round_trip, "documents", (bpe, wordpieces), set()),
+    "op11": (conversation_trie.trie, "conversations", (conversation_trie,), set()),
+    "op12": (whitening.whiten, "embeddings", (whitening,), set()),
+    "op13": (sharding.shard, "documents", (sharding,), set()),
+    "accepted": (language_id.accepted, "documents", (language_id,), set()),
+    "mixed": (mixing.mixed_documents, "documents", (mixing,), set()),
+    "near": (near_copies.keep_one, "documents", (near_copies, graph), set()),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_no_column_name_clashes(spark, name):
+    operator, table, modules, replaced = OPERATORS[name]
+    plain = spark.read.parquet(f"{SF}/{table}.parquet").limit(60).repartition(3).cache()
+    extra = sorted(names_inside(*modules, common) - set(plain.columns))
+    clash = plain.withColumns({c: F.lit("clash") for c in extra})
+    wanted, got = operator(plain), operator(clash)
+    # Where a record lies in an archive and the sign of a component may differ.
+    columns = [c for c in wanted.columns if c not in {"whitened", "identity_error"}][:6 if name == "op6" else None]
+    assert sorted(map(repr, rows(got.select(*columns)))) == sorted(map(repr, rows(wanted.select(*columns))))
+    if len(got.columns) > len(wanted.columns):  # those that give the rows back
+        assert set(extra) - replaced <= set(got.columns) and got.select("clash" if "clash" in extra else extra[0]).distinct().count() == 1
+
+
+def test_every_document_is_accepted_if_no_language_is_known(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.accepted(docs).count() == docs.count()
+    assert {(r.lang_pred, r.score) for r in language_id.identify(docs).collect()} == {("und", 0.0)}
+
+
+def test_features_do_not_depend_on_blocks():
+    rng = np.random.default_rng(0)
+    texts = ["", "a", "  a ", "..", "Ab cd!! ef", "x" * 99, "".join(map(chr, rng.choice([32, 65, 98, 233, 1055, 46, 10, 0x4E2D, 0x1F600], 3000)))]
+    for text in texts:
+        whole = language_id.features(text)
+        assert all((language_id.features(text, block=b) == whole).all() for b in (1, 2, 3, 50))
+    spaced = " " + re.sub(r"[^a-z]+", " ", "some text  of words") + " "
+    assert language_id.features("some text  of words").sum() == sum(len(spaced) - n for n in range(3))
