@@ -280,17 +280,21 @@ def _order_stream(spark, data):
     return stream.read_new(spark, f"{data}/orders.parquet", table(spark, data, "orders").schema)
 
 
-def _listing_stream(spark, data):
-    """New orders as listings with their key."""
-    orders = _order_stream(spark, data)
+def _keyed(orders, award):
+    """Orders as listings with their key."""
     return orders.select(
         F.md5(F.concat_ws("-", F.col("o_custkey").cast("string"), "o_orderpriority"))
         .alias("listing_id"),
         F.concat(F.lit("Award "), F.col("o_custkey").cast("string")).alias("name"),
-        F.floor("o_totalprice").cast("double").alias("max_award"),
+        F.floor(award).cast("double").alias("max_award"),
         F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("src_seq"))
 
 
+def _listing_stream(spark, data):
+    """New orders as listings."""
+    return _keyed(_order_stream(spark, data), F.col("o_totalprice"))
+
+
 _STREAM_ID = "md5(o_custkey || '-' || o_orderpriority)"
 
 
@@ -305,9 +309,11 @@ def stream_ingest(spark, data):
 
 
 @query("stream_dedupe", f"""
-WITH seen AS (SELECT DISTINCT {_STREAM_ID} AS listing_id, o_orderdate AS seen_at FROM orders),
-lagged AS (SELECT *, lag(seen_at) OVER (PARTITION BY listing_id ORDER BY seen_at) AS before FROM seen)
-SELECT listing_id, seen_at FROM lagged WHERE before IS NULL OR seen_at > before + INTERVAL 30 DAY""")
+WITH RECURSIVE seen AS (SELECT DISTINCT {_STREAM_ID} AS listing_id, o_orderdate AS seen_at FROM orders),
+kept AS (SELECT listing_id, min(seen_at) AS seen_at FROM seen GROUP BY 1
+  UNION ALL SELECT s.listing_id, min(s.seen_at) FROM kept k JOIN seen s
+  ON s.listing_id = k.listing_id AND s.seen_at > k.seen_at + INTERVAL 30 DAY GROUP BY s.listing_id, k.seen_at)
+SELECT listing_id, seen_at FROM kept""")
 def stream_dedupe(spark, data):
     """Sightings kept by the 30-day dedupe."""
     work = scratch_dir(spark, "dedupe")
@@ -320,13 +326,33 @@ def stream_dedupe(spark, data):
 @query("stream_upsert", f"""
 SELECT {_STREAM_ID} AS listing_id, 'Award ' || arg_max(o_custkey, o_orderkey) AS name,
   floor(arg_max(o_totalprice, o_orderkey)) AS max_award, max(o_orderkey) AS src_seq,
-  min(o_orderdate) AS created_at FROM orders GROUP BY 1""")
+  min(o_orderdate) AS created_at, arg_max(o_orderdate, o_orderkey) AS updated_at FROM orders GROUP BY 1""")
 def stream_upsert(spark, data):
     work = scratch_dir(spark, "upsert")
     rows = _listing_stream(spark, data)
     _run(stream.upsert_sink(rows, f"{work}/out", f"{work}/checkpoint", "listing_id"))
-    return stream.current(spark, f"{work}/out", rows.schema, "listing_id").select(
-        "listing_id", "name", "max_award", "src_seq", "created_at")
+    return stream.current(spark, f"{work}/out", rows.schema).select(
+        "listing_id", "name", "max_award", "src_seq", "created_at", "updated_at")
+
+
+@query("stream_upsert_counts", f"""
+WITH rows AS (SELECT {_STREAM_ID} AS id, o_orderkey AS seq, floor(o_totalprice / 100000) AS award, o_orderdate AS day FROM orders),
+held AS (SELECT id, max(seq) AS seq, arg_max(award, seq) AS award FROM rows WHERE day < TIMESTAMP '1996-01-01' GROUP BY 1),
+batch AS (SELECT id, max(seq) AS seq, arg_max(award, seq) AS award, count(*) AS n FROM rows
+  WHERE day >= TIMESTAMP '1996-01-01' GROUP BY 1),
+acted AS (SELECT n, CASE WHEN h.id IS NULL THEN 'insert' WHEN b.seq <= h.seq THEN 'stale'
+  WHEN b.award = h.award THEN 'unchanged' ELSE 'update' END AS action FROM batch b LEFT JOIN held h USING (id))
+SELECT action, count(*) AS n FROM acted GROUP BY 1 UNION ALL SELECT 'rows', CAST(sum(n) AS BIGINT) FROM acted""")
+def stream_upsert_counts(spark, data):
+    """What the manifest says that a batch did to a table that held the older orders; the batch runs twice, and counts once."""
+    rows = _keyed(table(spark, data, "orders"), F.col("o_totalprice") / 100000)
+    old = F.col("created_at") < F.lit("1996-01-01").cast("timestamp_ntz")
+    held = stream.upsert_table(spark, scratch_dir(spark, "upsert") + "/table", rows.schema)
+    stream.upsert_rows(held, rows.filter(old), "listing_id", 0, "load")
+    for _ in range(2):
+        stream.upsert_rows(held, rows.filter(~old), "listing_id", 0, "batch")
+    counts = [(action, n) for action, n in held.version().counts.items() if n]
+    return spark.createDataFrame(counts, "action string, n bigint")
 
 
 def _event_stream(spark, data):
@@ -346,12 +372,27 @@ def hourly_job_metrics(spark, data):
     return rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("stream_job_state", f"""
-WITH {sql.JOB_EVENTS} SELECT job_id, arg_max(status, (event_ts, event_id)) AS status,
-  max(event_ts) AS event_ts FROM job_events GROUP BY 1""")
+_JOB_STATE = f"""WITH {sql.JOB_EVENTS}, last AS (SELECT job_id, arg_max(status, (event_ts, event_id)) AS status,
+  max(event_ts) AS event_ts FROM job_events GROUP BY 1)"""
+
+
+@query("stream_job_state", f"{_JOB_STATE} SELECT job_id, status, event_ts FROM last")
 def stream_job_state(spark, data):
     work = scratch_dir(spark, "state")
     events = _event_stream(spark, data)
     _run(stream.state_sink(events, f"{work}/out", f"{work}/checkpoint"))
     rows = stream.job_state(spark, f"{work}/out", events.schema["job_id"].dataType.simpleString())
+    return rows.select("job_id", "status", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
+
+
+@query("job_state_expiry", f"""{_JOB_STATE} SELECT job_id, status, event_ts, status IN ('completed', 'failed')
+  AND event_ts < TIMESTAMP '2024-01-31' - INTERVAL 10 DAY AS expired FROM last""")
+def job_state_expiry(spark, data):
+    """The state of all jobs after those that ended long ago have left it."""
+    work = scratch_dir(spark, "state")
+    events = _event_stream(spark, data)
+    kind = events.schema["job_id"].dataType.simpleString()
+    _run(stream.state_sink(events, f"{work}/out", f"{work}/checkpoint"))
+    stream.expire_jobs(spark, f"{work}/out", "2024-01-31", "10 days", kind)
+    rows = stream.job_state(spark, f"{work}/out", kind)
     return rows.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))

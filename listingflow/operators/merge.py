@@ -87,6 +87,41 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, now: str,
     return known.unionByName(added)
 
 
+def fold_in(held: DataFrame, rows: DataFrame, keys: list[str], order: list[str],
+            ignore: Iterable[str] = ()) -> DataFrame:
+    """``held`` after an upsert of ``rows``, several of which may be of one key, with ``action`` and ``rows`` (of the key).
+
+    A key has the content of its row of greatest ``order``, whenever that came, and the least ``created_at`` if
+    there is one; so upserts in any number and order end up with the same table. ``keys`` are unique in
+    ``held``; null keys are one key. Actions: 'insert', 'update', 'unchanged' (a later row of the same content but
+    for ``ignore`` and the times), 'stale' (rows older than what is held) and 'keep'.
+    """
+    content = [c for c in held.columns if c not in (*keys, "created_at")]
+    times = ["created_at"] if "created_at" in held.columns else []
+    last = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*content), F.struct(*order)).alias("__new"), F.count("*").alias("rows"),
+        *[F.min(c).alias(f"__{c}") for c in times])
+    old = held.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*content, *times).alias("__old"))
+    same_key = None
+    for k in keys:
+        test = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same_key = test if same_key is None else same_key & test
+    new, was = F.col("__new"), F.col("__old")
+    later = F.struct(*[new[c] for c in order]) > F.struct(*[was[c] for c in order])
+    same = F.lit(True)
+    for c in content:
+        if c not in {*order, *ignore, "updated_at"}:
+            same = same & new[c].eqNullSafe(was[c])
+    action = (F.when(new.isNull(), "keep").when(was.isNull(), "insert").when(~later, "stale")
+              .when(same, "unchanged").otherwise("update"))
+    takes = F.col(ACTION).isin("insert", "update", "unchanged")
+    return old.join(last, same_key, "full_outer").withColumn(ACTION, action).select(
+        *[F.when(new.isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys],
+        *[F.when(takes, new[c]).otherwise(was[c]).alias(c) for c in content],
+        *[F.least(F.col(f"__{c}"), was[c]).alias(c) for c in times],
+        ACTION, F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def merge_stats(merged: DataFrame) -> DataFrame:
     return merged.groupBy(ACTION).agg(F.count("*").alias("n"))
 

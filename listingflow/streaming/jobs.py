@@ -1,28 +1,41 @@
 """The hourly batch as incremental jobs.
 
-Every job runs over what is new with ``availableNow`` and stops. Sinks write one
-folder per micro-batch, replaced if a batch runs again, so a restart after a
-lost executor or driver leaves no row twice. Batches hold changes, sightings or partial sums, never
-results: what they add up to is read from all of them, so it does not depend on how
-the input was split into batches or in which order it came, and no state is kept.
+Every job runs over what is new with ``availableNow`` and stops. Rows, counters and raw files go to sinks with
+one folder per micro-batch, replaced if a batch runs again. What depends on earlier rows of a key is kept in a table by hash
+buckets of the key (``sources.versioned``): a batch rewrites the buckets it touches and the manifest that names
+them carries the number of the batch, so a batch that runs again changes nothing and one that dies
+halfway leaves the table as it was. A key's row is a fold of all its rows that does not ask for their order, so results do
+not depend on how the input was split into batches or in which order it came, nothing is dropped as late,
+and a read takes the table as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from listingflow.operators.merge import ACTION, fold_in
+from listingflow.session import stored
+from listingflow.sources.versioned import VersionedTable, named
+
+BUCKETS = 32
+_BUCKET = "bucket"
 
-def read_new(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
+
+def read_new(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None,
              files_per_batch: int = 1000) -> DataFrame:
-    """New parquet files of a folder; ``folder`` may also be a table stored as one file.
+    """New parquet files of a folder, all or those whose names fit ``pattern``; ``folder`` may also be a table stored as one file.
 
     A stream's path must be a folder unless it is a pattern, so the path is given as one that fits only itself.
     """
     path = folder.rstrip("/")
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if pattern is not None:
+        stream = stream.option("pathGlobFilter", pattern)
+    return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def write_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -43,64 +56,118 @@ def ingest(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
-def sighting_sink(df: DataFrame, path: str, checkpoint: str, keys: list[str],
-                  event_time: str) -> StreamingQuery:
-    """Each batch's keys with the times they were seen, once each."""
-    def seen(batch: DataFrame) -> DataFrame:
-        return batch.select(*keys, F.col(event_time).cast("timestamp").alias("seen_at")).distinct()
+# --- tables by hash bucket ---------------------------------------------------------------------------------
 
-    return write_batches(df, path, checkpoint, prepare=seen)
+def bucketed(spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
+    """The table of ``schema`` by hash bucket of its key."""
+    full = T.StructType([*(f for f in schema.fields if f.name != _BUCKET), T.StructField(_BUCKET, T.IntegerType())])
+    return VersionedTable(spark, path, full, [_BUCKET])
 
 
-def first_sightings(spark: SparkSession, path: str, schema: T.StructType, keys: list[str],
-                    window: str = "30 days") -> DataFrame:
-    """The rows a dedupe keeps: a key's sighting unless it was seen at most ``window`` before.
+def apply_batch(table: VersionedTable, rows: DataFrame, keys: Sequence[str], fold: Callable[[DataFrame, DataFrame], DataFrame],
+                batch_id: int, source: str = "stream", counts: dict[str, Column] | None = None, buckets: int = BUCKETS) -> None:
+    """One batch into a bucketed table: ``fold`` makes the new rows of the touched buckets out of theirs and the batch's.
 
-    A key is compared with its own last sighting, in order of event time, as a session whose gap is
-    the window.
+    Does nothing if the table has this batch of ``source`` or a later one. ``counts`` are aggregates over the
+    folded rows, taken while they are written and kept in the manifest. The number of buckets is that which the
+    table was begun with.
     """
-    full = T.StructType([*(schema[k] for k in keys), T.StructField("seen_at", T.TimestampType())])
-    return (_read_log(spark, path, full).groupBy(*keys, F.session_window("seen_at", window))
-            .agg(F.min("seen_at").alias("seen_at")).select(*keys, "seen_at"))
+    now = table.version()
+    if now is not None and batch_id <= now.batches.get(source, -1):
+        return
+    buckets = int(now.properties.get("buckets", buckets)) if now else buckets
+    rows = rows.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = None
+    if now is not None:
+        rows = stored(rows, "batch")
+        touched = [f"{_BUCKET}={r[0]}" for r in rows.select(_BUCKET).distinct().collect()]
+    merged = fold(table.read(touched or []), rows)
+    seen = Observation()
+    if counts:
+        merged = merged.observe(seen, *[c.alias(name) for name, c in counts.items()])
+    table.put(merged.hint("rebalance", _BUCKET), touched, {source: batch_id},
+              (lambda: {k: v or 0 for k, v in seen.get.items()}) if counts else None, {"buckets": str(buckets)})
+
+
+def _sink(df: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    return (df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
-def upsert_sink(df: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append the batch's rows as a change log, for each key the last version and the first time.
+# --- dedupe by a window -----------------------------------------------------------------------------------
 
-    A batch costs what it holds: the table itself is never rewritten.
-    ``current`` reads the table, ``compact`` folds the log from time to time.
+def sighting_table(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> VersionedTable:
+    """Keys with the times they were seen and whether the dedupe keeps the sighting."""
+    return bucketed(spark, path, T.StructType([*(schema[k] for k in keys), T.StructField("seen_at", T.TimestampType()),
+                                               T.StructField("kept", T.BooleanType())]))
+
+
+def sighting_sink(df: DataFrame, path: str, checkpoint: str, keys: list[str], event_time: str,
+                  window: str = "30 days", buckets: int = BUCKETS, source: str = "stream") -> StreamingQuery:
+    """Each batch's sightings into the table of sightings, where the dedupe is made anew for the keys of the touched buckets.
+
+    A sighting is kept unless one was kept at most ``window`` before it, so the window counts from the kept sighting and a
+    key that is seen all the time comes back once per window. Sightings count once by key and time; a
+    key's times are what a task holds at once.
     """
-    return write_batches(df, path, checkpoint, prepare=lambda batch: _fold(batch, key))
+    schema = df.schema
 
+    def fold(held: DataFrame, rows: DataFrame) -> DataFrame:
+        times = F.array_sort(F.collect_set("seen_at"))
+        seen = held.drop("kept").unionByName(rows).groupBy(*keys, _BUCKET).agg(times.alias("times"))
+        kept = F.aggregate("times", F.array().cast("array<timestamp>"), lambda done, at: F.when(
+            (F.size(done) == 0) | (at > F.element_at(done, -1) + F.expr(f"interval {window}")), F.concat(done, F.array(at))).otherwise(done))
+        return seen.withColumn("chosen", kept).select(*keys, _BUCKET, "chosen", F.explode("times").alias("seen_at")) \
+            .withColumn("kept", F.array_contains("chosen", F.col("seen_at"))).drop("chosen")
 
-def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(with_batch).parquet(path)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.select(*keys, F.col(event_time).cast("timestamp").alias("seen_at")).distinct()
+        apply_batch(sighting_table(batch.sparkSession, path, schema, keys), seen, keys, fold, batch_id, source,
+                    buckets=buckets)
+
+    return _sink(df, checkpoint, apply)
+
+
+def first_sightings(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The sightings that the dedupe keeps."""
+    return sighting_table(spark, path, schema, keys).read().filter("kept").select(*keys, "seen_at")
+
+
+# --- upsert -----------------------------------------------------------------------------------------------
+
+def upsert_table(spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
+    """The upserted table: the stream's columns and updated_at."""
+    columns = [f for f in schema.fields if f.name != "updated_at"]
+    return bucketed(spark, path, T.StructType([*columns, T.StructField("updated_at", schema["created_at"].dataType)]))
 
 
-def _fold(log: DataFrame, key: str) -> DataFrame:
-    """Each key's version of greatest ``src_seq``, with the least ``created_at`` it was seen with."""
-    columns = [c for c in log.columns if c not in ("batch_id", "created_at")]
-    last = log.groupBy(F.col(key).alias("__key")).agg(
-        F.max_by(F.struct(*columns), "src_seq").alias("row"),
-        F.min("created_at").alias("created_at"))
-    return last.select("row.*", "created_at")
+def upsert_rows(table: VersionedTable, rows: DataFrame, key: str, batch_id: int, source: str = "stream",
+                buckets: int = BUCKETS) -> None:
+    """A batch of rows into the table; see ``merge.fold_in`` for what becomes of a key. Counts of actions go to the manifest."""
+    counts = {a: F.count_if(F.col(ACTION) == a) for a in ("insert", "update", "unchanged", "stale")} | {"rows": F.sum("rows")}
+    stamped = rows.withColumn("updated_at", F.col("created_at"))
+    apply_batch(table, stamped, [key], lambda held, new: fold_in(held, new, [key, _BUCKET], ["src_seq"], ["src_seq"]),
+                batch_id, source, counts, buckets)
 
 
-def current(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+def upsert_sink(df: DataFrame, path: str, checkpoint: str, key: str, buckets: int = BUCKETS,
+                source: str = "stream") -> StreamingQuery:
+    """Each batch upserted into the table at ``path``. Streams into one table need a ``source`` each: it numbers batches."""
+    schema = df.schema
+    return _sink(df, checkpoint, lambda batch, batch_id: upsert_rows(
+        upsert_table(batch.sparkSession, path, schema), batch, key, batch_id, source, buckets))
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The upserted table."""
-    return _fold(_read_log(spark, path, schema), key)
+    return upsert_table(spark, path, schema).read().drop(_BUCKET)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, out: str,
-            upto: int) -> None:
-    """A new log at ``out``: batches up to ``upto`` folded into one, later ones carried over.
+# --- counters by hour ---------------------------------------------------------------------------------------
 
-    ``current`` of the new log is that of the old one. Stop the stream meanwhile and let it go on at ``out``.
-    """
-    log = _read_log(spark, path, schema)
-    _fold(log.filter(F.col("batch_id") <= upto), key).write.mode("overwrite").parquet(f"{out}/batch_id={upto}")
-    log.filter(F.col("batch_id") > upto).write.mode("append").partitionBy("batch_id").parquet(out)
+def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(with_batch).parquet(path)
 
 
 def hourly_sink(events: DataFrame, path: str, checkpoint: str, counters: list[str]) -> StreamingQuery:
@@ -120,20 +187,66 @@ def hourly_metrics(spark: SparkSession, path: str, counters: list[str]) -> DataF
         *[F.sum(c).alias(c) for c in ("events", *counters)])
 
 
-_STATE = "job_id {kind}, event_ts timestamp, event_id bigint, status string"
+# --- job state ----------------------------------------------------------------------------------------------
+
+_ENDED = ("completed", "failed")
+
 
+def state_tables(spark: SparkSession, path: str, kind: str = "bigint") -> tuple[VersionedTable, VersionedTable]:
+    """The live jobs, and those that ended and have left the state, by month."""
+    columns = f"job_id {kind}, event_ts timestamp, event_id bigint, status string"
+    ended = T.StructType.fromDDL(f"{columns}, month string")
+    return (bucketed(spark, f"{path}/live", T.StructType.fromDDL(columns)), VersionedTable(spark, f"{path}/ended", ended, ["month"]))
 
-def _last_state(events: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("event_ts", "event_id", "status"), F.struct("event_ts", "event_id"))
-    return events.groupBy("job_id").agg(last.alias("last")).select("job_id", "last.*")
 
+def state_sink(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, source: str = "stream") -> StreamingQuery:
+    """Each batch's last status of the jobs it mentions into the state; by event time and id, whatever comes first."""
+    kind = events.schema["job_id"].dataType.simpleString()
+    order = ["event_ts", "event_id"]
 
-def state_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch's last status of the jobs it mentions."""
-    return write_batches(events, path, checkpoint, prepare=_last_state)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        live, _ = state_tables(batch.sparkSession, path, kind)
+        apply_batch(live, batch.select("job_id", *order, "status"), ["job_id"],
+                    lambda held, rows: fold_in(held, rows, ["job_id", _BUCKET], order), batch_id, source, buckets=buckets)
+
+    return _sink(events, checkpoint, apply)
+
+
+def expire_jobs(spark: SparkSession, path: str, as_of: str, after: str = "30 days", kind: str = "bigint") -> None:
+    """Moves jobs that ended more than ``after`` before ``as_of`` out of the state, to the folder of their month.
+
+    The state that a batch may have to rewrite is then that of jobs which run or ended lately. Jobs are added to the
+    ended ones before they leave the state; if this dies in between they are in both, which ``job_state`` takes as one.
+    """
+    live, ended = state_tables(spark, path, kind)
+    due = F.col("status").isin(*_ENDED) & (F.col("event_ts") < F.lit(as_of).cast("timestamp") - F.expr(f"interval {after}"))
+    leaving = stored(live.located().filter(due).withColumn("month", F.date_format("event_ts", "yyyy-MM")), "leaving")
+    months = [r[0] for r in leaving.select("month").distinct().collect()]
+    if not months:
+        return
+    touched = [f"month={m}" for m in months]
+    columns = ["job_id", "event_ts", "event_id", "status", "month"]
+    both = ended.read(touched).unionByName(leaving.select(*columns))
+    last = F.max_by(F.struct(*columns), F.struct("event_ts", "event_id"))
+    ended.put(both.groupBy("job_id", "month").agg(last.alias("row")).select("row.*").hint("rebalance", "month"), touched)
+    parts = [named(r[0]) for r in leaving.select("table_part").distinct().collect()]
+    live.put(live.read(parts).filter(~due).hint("rebalance", _BUCKET), parts)
 
 
 def job_state(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
-    """Last status of each job over all batches, by event time and id."""
-    schema = T.StructType.fromDDL(_STATE.format(kind=kind))
-    return _last_state(_read_log(spark, path, schema)).select("job_id", "status", "event_ts")
+    """Last status of each job by event time and id, and ``expired``, whether the job has left the state.
+
+    An event that comes for a job that left makes it live again; the later of its rows counts.
+    """
+    live, ended = state_tables(spark, path, kind)
+    columns = ["job_id", "event_ts", "event_id", "status"]
+    here = live.read().select(*columns)
+    if ended.version() is None:
+        return here.select("job_id", "status", "event_ts", F.lit(False).alias("expired"))
+    gone = ended.read().select(*columns)
+    again = gone.join(here.select("job_id"), "job_id", "left_semi").withColumn("expired", F.lit(True)) \
+        .unionByName(here.withColumn("expired", F.lit(False)))
+    row = F.struct("event_ts", "event_id", "status", "expired")
+    last = again.groupBy("job_id").agg(F.max_by(row, F.struct("event_ts", "event_id", "expired")).alias("row")).select("job_id", "row.*")
+    return gone.join(here.select("job_id"), "job_id", "left_anti").withColumn("expired", F.lit(True)).unionByName(last) \
+        .select("job_id", "status", "event_ts", "expired")

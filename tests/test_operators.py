@@ -12,6 +12,7 @@ from listingflow.sources import archive, markup, pages, tables
 from listingflow import catalog
 from listingflow.plans.curate import curate
 from listingflow.sources import feeds
+from listingflow.sources.versioned import VersionedTable
 from listingflow.streaming import jobs as stream
 
 
@@ -235,49 +236,129 @@ def _event(key, day, seq):
     return (key, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day), seq)
 
 
+def _add_files(spark, folder, schema, *files):
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
 def test_stream_upsert_over_batches_and_restart(spark):
-    """Two files in two runs; a re-run of the same files changes nothing."""
+    """Two files in two runs; a re-run of the same files changes nothing, and untouched buckets keep their files."""
     work = scratch_dir(spark, "stream")
-    schema = "listing_id string, created_at timestamp_ntz, src_seq bigint"
+    schema = spark.createDataFrame([], "listing_id string, created_at timestamp_ntz, src_seq bigint").schema
 
     def run():
-        rows = stream.read_new(spark, f"{work}/in", spark.createDataFrame([], schema).schema)
-        stream.upsert_sink(rows, f"{work}/out", f"{work}/cp", "listing_id").awaitTermination()
-        return sorted(tuple(r) for r in stream.current(
-            spark, f"{work}/out", rows.schema, "listing_id").select(
-                "listing_id", "src_seq", F.day("created_at")).collect())
-
-    first = [_event("a", 0, 1), _event("a", 1, 2), _event("b", 0, 3)]
-    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(f"{work}/in")
-    assert run() == [("a", 2, 1), ("b", 3, 1)]
-    spark.createDataFrame([_event("b", 5, 4), _event("c", 5, 5)], schema).coalesce(1) \
-        .write.mode("append").parquet(f"{work}/in")
-    want = [("a", 2, 1), ("b", 4, 1), ("c", 5, 6)]
+        rows = stream.read_new(spark, f"{work}/in", schema)
+        stream.upsert_sink(rows, f"{work}/out", f"{work}/cp", "listing_id", buckets=8).awaitTermination()
+        return sorted(tuple(r) for r in stream.current(spark, f"{work}/out", schema).select(
+            "listing_id", "src_seq", F.day("created_at"), F.day("updated_at")).collect())
+
+    table = stream.upsert_table(spark, f"{work}/out", schema)
+    _add_files(spark, f"{work}/in", schema, [_event("a", 0, 1), _event("a", 1, 2), _event("b", 0, 3)])
+    assert run() == [("a", 2, 1, 2), ("b", 3, 1, 1)]
+    first = table.version()
+    assert first.counts == {"insert": 2, "update": 0, "unchanged": 0, "stale": 0, "rows": 3}
+    _add_files(spark, f"{work}/in", schema, [_event("b", 5, 4), _event("c", 5, 5)])
+    want = [("a", 2, 1, 2), ("b", 4, 1, 6), ("c", 5, 6, 6)]
     assert run() == want
-    assert run() == want
-    fold = scratch_dir(spark, "fold")
-    full = spark.createDataFrame([], schema).schema
-    for upto in (0, 10):  # later batches are carried over
-        stream.compact(spark, f"{work}/out", full, "listing_id", f"{fold}/{upto}", upto)
-        assert stream.current(spark, f"{fold}/{upto}", full, "listing_id").count() == 3
+    second = table.version()
+    assert run() == want and table.version() == second and second.counts["unchanged"] == second.counts["insert"] == 1
+    kept = [p for p, f in first.folders.items() if second.folders[p] == f]
+    assert kept and all(second.folders[p].startswith("data/table_version=1/") for p in second.folders if p not in kept)
+    # Rows older than what is held, by another source: only the first time changes.
+    stream.upsert_rows(table, spark.createDataFrame([_event("b", 2, 1), _event("c", 0, 2)], schema), "listing_id", 0, "late")
+    assert table.version().counts["stale"] == 2 and run() == [("a", 2, 1, 2), ("b", 4, 1, 6), ("c", 5, 1, 6)]
+
+
+def test_upsert_in_any_batches_is_the_merge_of_all(spark):
+    """Batches in any order give what one does, and one does what the upsert of a table does."""
+    rng = random.Random(4)
+    schema = spark.createDataFrame([], "listing_id string, name string, created_at timestamp_ntz, src_seq bigint").schema
+    rows = [(rng.choice("abcdefgh"), rng.choice("xy"), datetime.datetime(2024, 1, 1 + rng.randrange(28)), i) for i in range(60)]
+
+    def fold(*batches):
+        table = stream.upsert_table(spark, scratch_dir(spark, "fold") + "/t", schema)
+        for i, batch in enumerate(batches):
+            stream.upsert_rows(table, spark.createDataFrame(batch, schema), "listing_id", i, buckets=4)
+        return sorted(map(tuple, table.read().drop("bucket").collect())), table.version().counts
+
+    whole, counts = fold(rows)
+    shuffled = rng.sample(rows, len(rows))
+    assert fold(*[shuffled[i::7] for i in range(7)])[0] == whole and counts["insert"] == len({r[0] for r in rows})
+    # The same actions as the batch upsert's, for one later row per key.
+    held, later = rows[:20], {r[0]: r for r in rows[20:]}
+    merged, counts = fold(held, list(later.values()))
+    target = spark.createDataFrame([r[:4] + (r[2],) for r in fold(held)[0]], "listing_id string, name string, "
+                                   "created_at timestamp_ntz, src_seq bigint, updated_at timestamp_ntz")
+    updates = spark.createDataFrame([r + (r[2],) for r in later.values()], target.schema)
+    stats = {r.action: r.n for r in merge.merge_stats(merge.upsert(target, updates, "listing_id", "2024-02-01")).collect()}
+    assert {k: counts[k] for k in ("insert", "update", "unchanged")} == {k: stats.get(k, 0) for k in ("insert", "update", "unchanged")}
+
+
+def test_a_change_that_dies_before_its_manifest_changes_nothing(spark, monkeypatch):
+    schema = spark.createDataFrame([], "listing_id string, created_at timestamp_ntz, src_seq bigint").schema
+    table = stream.upsert_table(spark, scratch_dir(spark, "dies") + "/t", schema)
+    stream.upsert_rows(table, spark.createDataFrame([_event("a", 0, 1), _event("b", 0, 1)], schema), "listing_id", 0)
+    before = (table.version(), sorted(map(tuple, table.read().collect())))
+    batch = spark.createDataFrame([_event("a", 3, 2), _event("z", 0, 3)], schema)
+    with monkeypatch.context() as patch:
+        patch.setattr(VersionedTable, "_switch", lambda self, now: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            stream.upsert_rows(table, batch, "listing_id", 1)
+    assert (table.version(), sorted(map(tuple, table.read().collect()))) == before
+    for _ in range(2):
+        stream.upsert_rows(table, batch, "listing_id", 1)
+    assert table.version().number == 1 and {r.listing_id: r.src_seq for r in table.read().collect()} == {"a": 2, "b": 1, "z": 3}
 
 
 def test_stream_dedupe_window(spark):
-    """A key comes back once it was not seen for the window, in whatever order its files come."""
+    """The window counts from the kept sighting, in whatever order files come."""
     work = scratch_dir(spark, "window")
     schema = spark.createDataFrame([], "k string, t timestamp").schema
     start = datetime.datetime(2024, 1, 1)
-    for n, day in enumerate((90, 0, 200, 10, 40, 231)):
-        spark.createDataFrame([(k, start + datetime.timedelta(days=day)) for k in ("a", f"b{n}")], schema) \
-            .coalesce(1).write.mode("append").parquet(f"{work}/in")
+    days = {"a": (84, 0, 50, 30), "b": (90, 0, 200, 10, 40, 231), "c": range(0, 200, 25), None: (0, 31, 62)}
+    sightings = [(k, start + datetime.timedelta(days=d)) for k, seen in days.items() for d in seen]
+    _add_files(spark, f"{work}/in", schema, *[random.Random(1).sample(sightings, len(sightings))[i::5] for i in range(5)])
     rows = stream.read_new(spark, f"{work}/in", schema, files_per_batch=1)
-    stream.sighting_sink(rows, f"{work}/out", f"{work}/cp", ["k"], "t").awaitTermination()
-    kept = stream.first_sightings(spark, f"{work}/out", schema, ["k"]).filter("k = 'a'").collect()
-    assert sorted((r.seen_at - start).days for r in kept) == [0, 90, 200, 231]
+    stream.sighting_sink(rows, f"{work}/out", f"{work}/cp", ["k"], "t", buckets=4).awaitTermination()
+    kept = {}
+    for r in stream.first_sightings(spark, f"{work}/out", schema, ["k"]).collect():
+        kept.setdefault(r.k, []).append((r.seen_at - start).days)
+    want = {}
+    for k, seen in days.items():
+        for d in sorted(seen):
+            if k not in want or d > want[k][-1] + 30:
+                want.setdefault(k, []).append(d)
+    assert {k: sorted(v) for k, v in kept.items()} == want and want["a"] == [0, 50, 84] and want["c"] == [0, 50, 100, 150]
+
+
+def test_ended_jobs_leave_the_state_and_may_come_back(spark):
+    path = scratch_dir(spark, "jobs") + "/state"
+    schema = spark.createDataFrame([], "job_id bigint, event_ts timestamp, event_id bigint, status string").schema
+
+    def event(job, day, status):
+        return (job, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day), day * 100 + job, status)
+
+    def add(*events):
+        folder = scratch_dir(spark, "events")
+        _add_files(spark, f"{folder}/in", schema, list(events))
+        rows = stream.read_new(spark, f"{folder}/in", schema)
+        stream.state_sink(rows, path, f"{folder}/cp", 4, source=folder).awaitTermination()
+
+    live, ended = stream.state_tables(spark, path)
+    add(*[event(j, j % 40, "completed") for j in range(80)], *[event(j, 1, "running") for j in range(80, 90)])
+    assert live.read().count() == 90
+    stream.expire_jobs(spark, path, "2024-02-15", "30 days")
+    assert live.read().count() == 10 + 2 * 25 and ended.read().count() == 30
+    stream.expire_jobs(spark, path, "2024-02-15", "30 days")
+    state = {r.job_id: r for r in stream.job_state(spark, path).collect()}
+    assert len(state) == 90 and state[3].expired and not state[85].expired
+    add(event(3, 2, "running"), event(4, 50, "failed"))
+    state = {r.job_id: r for r in stream.job_state(spark, path).collect()}
+    assert len(state) == 90 and state[3].status == "completed" and (state[4].status, state[4].expired) == ("failed", False)
 
 
 @pytest.mark.parametrize("name", ["stream_ingest", "stream_dedupe", "stream_upsert", "hourly_job_metrics",
-                                  "stream_job_state"])
+                                  "stream_job_state", "job_state_expiry"])
 def test_streams_do_not_depend_on_batches(spark, data, name, monkeypatch):
     """A table as a folder of parts, one part per batch in shuffled order, gives what its one file gives."""
     folder = scratch_dir(spark, "parts")
