@@ -8,7 +8,7 @@ from listingflow.catalog.core import YEAR, query, table
 from listingflow.functions import classify, links
 from listingflow.functions.replies import organization_from_text
 from listingflow.operators import filters
-from listingflow.session import scratch_dir
+from listingflow.session import scratch_dir, stored
 from listingflow.sources import archive, feeds, pages
 
 _PROSE = sql.strip_phrases(sql.PROSE)
@@ -292,6 +292,12 @@ def archive_by_key(spark, data):
 @query("archive_delete", f"""
 WITH {sql.FETCHED} SELECT url, md5(html) AS digest FROM fetched WHERE NOT contains(url, '/fr/')""")
 def archive_delete(spark, data):
-    rows = archive.read_archive(spark, _written_archive(spark, data))
+    """What a stored archive holds after keys were deleted from it."""
+    table = archive.archive_table(spark, scratch_dir(spark, "archive") + "/raw")
+    rows = archive.archive_rows(fx.fetched_pages(spark, data))
+    table.add(rows.hint("rebalance", *archive.PARTITIONS))
     doomed = rows.filter(F.contains("url", F.lit("/fr/"))).select("key")
-    return archive.delete_keys(rows, doomed).select("url", F.md5("content").alias("digest"))
+    failures = archive.delete(table, stored(doomed, "doomed"))
+    if failures:
+        raise RuntimeError(f"folders not rewritten: {failures}")
+    return table.read().select("url", F.md5("content").alias("digest"))

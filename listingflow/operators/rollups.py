@@ -79,11 +79,10 @@ def latest_status(events: DataFrame) -> DataFrame:
                        F.when(ended, F.col("event_ts")).alias("completed_at"))
 
 
-def cleanup_summary(flagged: DataFrame) -> DataFrame:
-    """From rows with ``expired`` and ``deleted`` flags."""
-    expired, deleted = F.count_if("expired"), F.count_if("deleted")
-    return flagged.agg(F.count("*").alias("scanned"), expired.alias("expired"),
-                       deleted.alias("deleted"), (expired - deleted).alias("failed"))
+def cleanup_summary(report: DataFrame) -> DataFrame:
+    """Totals over the parts of a cleanup: scanned, expired, deleted, and failed, those expired but still there."""
+    totals = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("scanned", "expired", "deleted")}
+    return report.agg(*[c.alias(n) for n, c in totals.items()], (totals["expired"] - totals["deleted"]).alias("failed"))
 
 
 def recent(df: DataFrame, n: int, time: str, tie: str) -> DataFrame:

@@ -13,6 +13,7 @@ from listingflow.operators.filters import drop_expired, fill_defaults
 from listingflow.operators.merge import new_only, upsert
 from listingflow.session import stored
 from listingflow.sources.tables import Registry, conform, union_sources
+from listingflow.sources.versioned import VersionedTable, named
 
 
 def curate(df: DataFrame, target: DataFrame, as_of: str, job_id: str) -> DataFrame:
@@ -68,6 +69,22 @@ def cleanup(df: DataFrame, as_of: str) -> DataFrame:
     return df.withColumn("expired", is_expired(F.col("deadline"), as_of))
 
 
+def cleanup_table(table: VersionedTable, as_of: str, group: int = 1000) -> DataFrame:
+    """Deletes the expired rows of a stored table; gives part, scanned, expired, deleted and error of every part.
+
+    The parts are counted by a scan of their deadlines. Those with an expired row are written anew without them, ``group``
+    at a time, and readers switched over; the files of others stay as they are. A part that cannot be
+    rewritten keeps its rows and has the error.
+    """
+    counts = cleanup(table.located().select("deadline", "table_part"), as_of).groupBy("table_part").agg(
+        F.count("*").alias("scanned"), F.count_if("expired").alias("expired")).collect()
+    found = {named(r["table_part"]): (r["scanned"], r["expired"]) for r in counts}
+    failures = table.rewrite(sorted(p for p, (_, expired) in found.items() if expired),
+                             lambda rows: rows.filter(~is_expired(F.col("deadline"), as_of)), group)
+    report = [(p, scanned, expired, 0 if p in failures else expired, failures.get(p)) for p, (scanned, expired) in found.items()]
+    return table.spark.createDataFrame(report, "part string, scanned bigint, expired bigint, deleted bigint, error string")
+
+
 def run_all(spark: SparkSession, registry: Registry, data: str,
             names: Iterable[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
     """(listings of all sources that could be read, failures by name)."""

@@ -107,3 +107,14 @@ DEFAULTS = {
         "country": "US", **_FLAGS, "source": None,
     },
 }
+
+# A row of the raw archive with the parts of its folder.
+ARCHIVE = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("fetched_at", T.TimestampNTZType()),
+    T.StructField("size", T.IntegerType()),
+    T.StructField("metadata", T.StringType()),
+    T.StructField("content", T.StringType()),
+    *(T.StructField(c, T.StringType()) for c in ("scraper", "year", "month", "day")),
+])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listingflow import vocabulary as V
 from listingflow.functions.ids import archive_key
+from listingflow.schema import ARCHIVE
+from listingflow.sources.versioned import VersionedTable, named
 
 PARTITIONS = ["scraper", "year", "month", "day"]
 
@@ -49,9 +51,11 @@ def write_archive(rows: DataFrame, path: str, mode: str = "append") -> None:
 def read_archive(spark: SparkSession, path: str, scraper: str | None = None,
                  first: str | None = None, last: str | None = None) -> DataFrame:
     """Payloads of one source and a range of days; files of other folders are not read."""
-    schema = ("key string, url string, fetched_at timestamp_ntz, size int, metadata string,"
-              "content string, scraper string, year string, month string, day string")
-    rows = spark.read.schema(schema).parquet(path)
+    return between(spark.read.schema(ARCHIVE).parquet(path), scraper, first, last)
+
+
+def between(rows: DataFrame, scraper: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The part of an archive of one source and a range of days."""
     day = F.concat_ws("-", "year", "month", "day")
     if scraper is not None:
         rows = rows.filter(F.col("scraper") == scraper)
@@ -74,18 +78,26 @@ def read_by_keys(archive: DataFrame, keys: DataFrame) -> DataFrame:
     return archive.join(_placed(keys), ["key", *PARTITIONS], "left_semi")
 
 
-def touched_folders(archive: DataFrame, keys: DataFrame) -> DataFrame:
-    """The part of the archive in folders that hold one of the keys."""
-    return archive.join(_placed(keys).select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+def delete_keys(archive: DataFrame, keys: DataFrame) -> DataFrame:
+    """The archive without the keys, as a plan; ``delete`` takes them out of a stored archive."""
+    return archive.join(_placed(keys), ["key", *PARTITIONS], "left_anti")
+
+
+def archive_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The archive as a table whose folders can be replaced: ``put`` adds rows to new folders, ``delete`` takes keys out."""
+    return VersionedTable(spark, path, ARCHIVE, PARTITIONS)
 
 
-def delete_keys(archive: DataFrame, keys: DataFrame) -> DataFrame:
-    """The archive without the keys. Write it to a new path, then switch readers over.
+def delete(table: VersionedTable, keys: DataFrame, group: int = 1000) -> dict[str, str]:
+    """Deletes keys from a stored archive and returns the folders that failed, with the error; those keep their rows.
 
-    To rewrite no more than needed, give ``touched_folders`` as the archive and put what
-    is left in the place of those folders.
+    Folders that hold one of the keys are written anew, ``group`` at a time, and readers are switched over by the
+    manifest; the files of other folders stay as they are. Only key columns are read to find the folders, and only those
+    of folders that a key names.
     """
-    return archive.join(_placed(keys), ["key", *PARTITIONS], "left_anti")
+    held = read_by_keys(table.located(), keys)
+    parts = [named(r[0]) for r in held.select("table_part").distinct().collect()]
+    return table.rewrite(parts, lambda rows: delete_keys(rows, keys), group)
 
 
 def tier_report(archive: DataFrame, as_of: str) -> DataFrame:

@@ -1,32 +1,34 @@
 """Tables that are changed a part at a time.
 
-The rows of a part, a combination of values of some columns, lie in one folder. A change writes the new contents of the parts
-it touches to folders beside the old ones and then a manifest, which names the folder of every part. The manifest is one
+The rows of a part, a combination of values of some columns, lie in folders of their own. A change writes the new contents of the
+parts it touches to folders beside the old ones and then a manifest, which names the folders of every part. The manifest is one
 file, so it is there or it is not: readers see the table before the change or after it, and folders that no
 manifest names, of a job that died halfway, are never read. Parts that a change does not touch keep their files.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 _VERSION = "table_version"
 _PART = "table_part"
-_MANIFEST = "part string, folder string, batches map<string,bigint>, counts map<string,bigint>, properties map<string,string>"
+_MANIFEST = "part string, folder string, head string"
 
 
 @dataclass(frozen=True)
 class Version:
-    """A manifest: the folder of each part, the last batch of each stream, and what its change counted."""
+    """A manifest: the folders of each part, the last batch of each stream, and what its change counted."""
 
     number: int
-    folders: dict[str, str] = field(default_factory=dict)
+    folders: dict[str, tuple[str, ...]] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
     properties: dict[str, str] = field(default_factory=dict)
@@ -55,71 +57,81 @@ class VersionedTable:
             return None
         number = max(numbers)
         rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/{_VERSION}={number}").collect()
-        head = next(r for r in rows if r["part"] is None)
-        return Version(number, {r["part"]: r["folder"] for r in rows if r["part"] is not None},
-                       dict(head["batches"]), dict(head["counts"]), dict(head["properties"]))
+        head = json.loads(next(r["head"] for r in rows if r["part"] is None))
+        folders: dict[str, tuple[str, ...]] = {}
+        for part, folder in sorted((r["part"], r["folder"]) for r in rows if r["part"] is not None):
+            folders[part] = (*folders.get(part, ()), folder)
+        return Version(number, folders, **head)
 
-    def _rows(self, only: Iterable[str] | None) -> DataFrame | None:
-        now = self.version()
+    def _rows(self, only: Iterable[str] | None, now: Version | None) -> DataFrame | None:
         folders = now.folders if now else {}
-        chosen = [folders[p] for p in (folders if only is None else only) if p in folders]
+        chosen = [f for p in (folders if only is None else only) for f in folders.get(p, ())]
         if not chosen:
             return None
         return self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data") \
             .parquet(*[f"{self.path}/{folder}" for folder in chosen])
 
-    def read(self, only: Iterable[str] | None = None) -> DataFrame:
-        """The rows of all parts, or of those named."""
-        rows = self._rows(only)
+    def read(self, only: Iterable[str] | None = None, now: Version | None = None) -> DataFrame:
+        """The rows of all parts, or of those named, of the version that holds or of a given one."""
+        rows = self._rows(only, now or self.version())
         return self.spark.createDataFrame([], self.schema) if rows is None else rows.select(*self.schema.names)
 
     def located(self) -> DataFrame:
         """All rows with ``table_part``, the part of a row as it is spelled in the address of its file."""
         part = F.regexp_extract("_metadata.file_path", rf"/{_VERSION}=\d+/(.*)/[^/]+$", 1)
-        rows = self._rows(None)
+        rows = self._rows(None, self.version())
         if rows is None:
             return self.read().withColumn(_PART, F.lit(""))
         return rows.select(*self.schema.names, part.alias(_PART))
 
     def put(self, rows: DataFrame, touched: Iterable[str] | None = None, batches: Mapping[str, int] | None = None,
-            counts: Callable[[], Mapping[str, int]] | None = None, properties: Mapping[str, str] | None = None) -> Version:
-        """Replaces the ``touched`` parts, all if None, by ``rows``, which must be theirs. A part without a row is gone.
+            counts: Callable[[], Mapping[str, int]] | None = None, properties: Mapping[str, str] | None = None,
+            before: Version | None = None) -> Version:
+        """Replaces the ``touched`` parts, all if None, by ``rows``. A touched part without a row is gone; rows of other
+        parts are added to those.
 
-        ``counts`` is asked once the rows are written.
+        ``counts`` is asked once the rows are written. ``before`` is the version that holds, if it is known.
         """
-        before = self.version()
+        before = before or self.version()
         number = before.number + 1 if before else 0
         folder = f"data/{_VERSION}={number}"
         # What a job that died left under this number is written over.
         rows.select(*self.schema.names).write.mode("overwrite").partitionBy(*self.parts).parquet(f"{self.path}/{folder}")
         written = {f.split(f"/{folder}/", 1)[1].rpartition("/")[0] for f in self._files(folder)}
-        kept = {} if before is None or touched is None else before.folders
-        gone = set() if touched is None else set(touched)
-        folders = {p: f for p, f in kept.items() if p not in gone} | {p: f"{folder}/{p}" for p in written}
+        gone = set(before.folders if before and touched is None else touched or ())
+        folders = {p: f for p, f in (before.folders if before else {}).items() if p not in gone}
+        folders |= {p: (*folders.get(p, ()), f"{folder}/{p}") for p in written}
         now = Version(number, folders, {**(before.batches if before else {}), **(batches or {})}, dict(counts() if counts else {}),
                       {**(before.properties if before else {}), **(properties or {})})
         self._switch(now)
         return now
 
+    def add(self, rows: DataFrame) -> Version:
+        """Adds rows; the folders that are there stay as they are."""
+        return self.put(rows, ())
+
     def _switch(self, now: Version) -> None:
-        head = (None, None, now.batches, now.counts, now.properties)
-        rows = [head, *((p, f, None, None, None) for p, f in sorted(now.folders.items()))]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest/{_VERSION}={now.number}")
+        head = json.dumps({"batches": now.batches, "counts": now.counts, "properties": now.properties})
+        rows = [(None, None, head), *((p, f, None) for p, folders in now.folders.items() for f in folders)]
+        columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+        manifest = self.spark.createDataFrame(pa.table(columns, names=["part", "folder", "head"]))
+        manifest.coalesce(1).write.parquet(f"{self.path}/manifest/{_VERSION}={now.number}")
 
-    def rewrite(self, parts: Sequence[str], change: Callable[[DataFrame], DataFrame], group: int = 64) -> dict[str, str]:
+    def rewrite(self, parts: Sequence[str], change: Callable[[DataFrame], DataFrame], group: int = 1000) -> dict[str, str]:
         """Replaces parts by what ``change`` makes of their rows, ``group`` at a time; returns the failures by part.
 
-        A part that cannot be read or written stays as it was, and the others go on: a group that fails is tried part by part.
+        A part that cannot be read or written stays as it was, and the others go on: a group that fails is halved.
         """
         failures: dict[str, str] = {}
         waiting = [list(parts[i:i + group]) for i in range(0, len(parts), group)]
+        now = self.version()
         while waiting:
             some = waiting.pop()
             try:
-                self.put(change(self.read(some)).hint("rebalance", *self.parts), some)
+                now = self.put(change(self.read(some, now)).hint("rebalance", *self.parts), some, before=now)
             except Exception as error:
                 if len(some) > 1:
-                    waiting += [[p] for p in some]
+                    waiting += [some[:len(some) // 2], some[len(some) // 2:]]
                 else:
                     failures[some[0]] = str(error).splitlines()[0]
         return failures

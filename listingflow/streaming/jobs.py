@@ -81,12 +81,12 @@ def apply_batch(table: VersionedTable, rows: DataFrame, keys: Sequence[str], fol
     if now is not None:
         rows = stored(rows, "batch")
         touched = [f"{_BUCKET}={r[0]}" for r in rows.select(_BUCKET).distinct().collect()]
-    merged = fold(table.read(touched or []), rows)
+    merged = fold(table.read(touched or [], now), rows)
     seen = Observation()
     if counts:
         merged = merged.observe(seen, *[c.alias(name) for name, c in counts.items()])
     table.put(merged.hint("rebalance", _BUCKET), touched, {source: batch_id},
-              (lambda: {k: v or 0 for k, v in seen.get.items()}) if counts else None, {"buckets": str(buckets)})
+              (lambda: {k: v or 0 for k, v in seen.get.items()}) if counts else None, {"buckets": str(buckets)}, now)
 
 
 def _sink(df: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:

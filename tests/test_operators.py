@@ -6,11 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from listingflow.operators import dedupe, filters, merge, quality
+from listingflow.operators import dedupe, filters, merge, quality, rollups
 from listingflow.session import scratch_dir, stored
 from listingflow.sources import archive, markup, pages, tables
 from listingflow import catalog
-from listingflow.plans.curate import curate
+from listingflow.catalog import fixtures
+from listingflow.plans.curate import cleanup_table, curate
 from listingflow.sources import feeds
 from listingflow.sources.versioned import VersionedTable
 from listingflow.streaming import jobs as stream
@@ -41,7 +42,6 @@ def test_dedupe_first_keeps_least_order(hot):
 
 
 def test_dedupe_keeps_the_partitioning_of_its_key(spark, data):
-    from listingflow.catalog import fixtures
     from listingflow.session import stored
     batch = stored(fixtures.listings(spark, data), "batch")
     target = stored(batch.select("listing_id").distinct(), "target")
@@ -164,7 +164,6 @@ def test_patch_update_delete(spark):
 
 
 def test_expired_and_kept_make_the_input(spark, data):
-    from listingflow.catalog import fixtures
     rows = fixtures.listings_raw(spark, data, organization=False)
     kept = filters.drop_expired(rows, "1998-06-15").count()
     from listingflow.functions.deadlines import is_expired
@@ -173,14 +172,12 @@ def test_expired_and_kept_make_the_input(spark, data):
 
 
 def test_contract_splits_all_rows(spark, data):
-    from listingflow.catalog import fixtures
     rows = fixtures.listings(spark, data).withColumn("job_id", F.lit(None).cast("string"))
     good, bad = quality.split_by_contract(rows, {"x": F.length("name") > 12})
     assert good.count() + bad.count() == rows.count() and bad.count() > 0
 
 
 def test_archive_prunes_folders(spark, data):
-    from listingflow.catalog import fixtures
     path = scratch_dir(spark, "archive") + "/raw"
     rows = archive.archive_rows(fixtures.fetched_pages(spark, data))
     archive.write_archive(rows, path)
@@ -195,8 +192,49 @@ def test_archive_prunes_folders(spark, data):
     assert archive.read_by_keys(back, some).count() == 3
     kept = stored(some, "keys")
     assert "dynamicpruning" in plan(archive.read_by_keys(back, kept))
-    touched = archive.touched_folders(back, kept)
-    assert archive.delete_keys(touched, kept).count() == touched.count() - 3
+    assert archive.delete_keys(back, kept).count() == back.count() - 3
+
+
+def test_deletes_write_touched_folders_only(spark, data):
+    """Folders without a deleted key keep their files, and what cannot be rewritten stays and is reported."""
+    rows = archive.archive_rows(fixtures.fetched_pages(spark, data))
+    table = archive.archive_table(spark, scratch_dir(spark, "archive") + "/raw")
+    odd = rows.limit(1).withColumns({"scraper": F.lit("a:b c%/d"), "key": F.lit("a:b c%/d/2024/02/03/x"), "year": F.lit("2024"),
+                                     "month": F.lit("02"), "day": F.lit("03")})
+    table.add(rows)
+    table.add(odd)
+    before = table.version()
+    doomed = stored(rows.orderBy("key").limit(3).select("key").union(odd.select("key")), "keys")
+    assert "dynamicpruning" in plan(archive.read_by_keys(table.located(), doomed))
+    assert archive.delete(table, doomed, group=2) == {}
+    after = table.version()
+    same = {p for p in before.folders if after.folders.get(p) == before.folders[p]}
+    touched = {"/".join(f"{c}={r[c]}" for c in archive.PARTITIONS)
+               for r in rows.join(doomed, "key", "left_semi").select(*archive.PARTITIONS).collect()}
+    assert set(before.folders) - same - touched == {p for p in before.folders if "a%3Ab c%25%2Fd" in p} and len(same) > 10
+    assert table.read().count() == rows.count() - 3
+    broken = next(iter(sorted(same)))
+
+    def change(part):
+        if broken in str(part.inputFiles()):
+            raise OSError("cannot write")
+        return part.limit(0)
+
+    failures = table.rewrite(sorted(same)[:4], change)
+    assert set(failures) == {broken} and set(table.version().folders) == (set(after.folders) - set(sorted(same)[:4])) | {broken}
+
+
+def test_cleanup_of_a_stored_table(spark):
+    schema = spark.createDataFrame([], "seq bigint, deadline string, part string").schema
+    table = VersionedTable(spark, scratch_dir(spark, "cleanup") + "/t", schema, ["part"])
+    rows = [(i, "2024-01-01" if i % 3 else "Rolling", f"p{i % 4}") for i in range(12)] + [(99, None, "open")]
+    table.put(spark.createDataFrame(rows, schema))
+    folders = table.version().folders
+    report = {r.part: (r.scanned, r.expired, r.deleted, r.error) for r in cleanup_table(table, "2024-06-01", group=1).collect()}
+    assert report == {**{f"part=p{k}": (3, 2, 2, None) for k in range(4)}, "part=open": (1, 0, 0, None)}
+    assert sorted(r.seq for r in table.read().collect()) == [0, 3, 6, 9, 99]
+    assert table.version().folders["part=open"] == folders["part=open"]
+    assert [tuple(r) for r in rollups.cleanup_summary(cleanup_table(table, "2024-06-01")).collect()] == [(5, 0, 0, 0)]
 
 
 def test_registry_isolates_failures(spark, data):
