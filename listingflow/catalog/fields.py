@@ -10,6 +10,7 @@ from listingflow.functions import text as tx
 from listingflow.operators import filters, quality, rollups
 from listingflow.operators.dedupe import dedupe_first, dedupe_key
 from listingflow.schema import LISTING
+from listingflow.session import scratch_dir
 from listingflow.sources.tables import union_sources
 
 
@@ -379,6 +380,59 @@ def contract_quarantine(spark, data):
     return bad.select("src_seq", "academic_level")
 
 
+def _odd_rows(spark, data):
+    """Sites, jobs and applications of which some break their rules, and the listings that applications name."""
+    sites = fx.sites(spark, data).withColumn("type", F.when(F.col("site").endswith("7"), "feed").when(
+        ~F.col("site").endswith("3"), F.col("type")))
+    jobs = fx.job_events(spark, data).select("event_id", "job_id", F.when(
+        F.col("event_id") % 10 == 0, "lost").otherwise(F.col("status")).alias("status"))
+    named = fx.applications(spark, data).withColumn("user_id", F.when(F.col("id") % 13 != 0, F.col("user_id")))
+    listings = fx.listings(spark, data).filter("is_active")
+    return sites, jobs, quality.reference(named, "listing_id", listings, "listing_id", "unknown_listing")
+
+
+@query("contract_all_tables", f"""
+WITH {sql.LISTINGS}, {sql.JOB_EVENTS}, site AS (SELECT s_name AS site, CASE WHEN s_name LIKE '%7' THEN 'feed' WHEN s_name NOT LIKE '%3'
+  THEN (['api', 'crawl', 'search', 'discovery'])[s_nationkey % 4 + 1] END AS type FROM supplier),
+job AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'lost' ELSE status END AS status FROM job_events),
+app AS (SELECT src_seq AS id, CASE WHEN src_seq % 13 <> 0 THEN 1 END AS user_id, listing_id NOT IN
+  (SELECT listing_id FROM listings WHERE is_active) AS unknown FROM listings)
+SELECT 'site' AS entity, 'rows' AS rule, count(*) AS n FROM site
+UNION ALL SELECT 'site', 'broken', count(*) FILTER (WHERE type IS NULL OR type = 'feed') FROM site
+UNION ALL SELECT 'site', 'type_missing', count(*) FILTER (WHERE type IS NULL) FROM site
+UNION ALL SELECT 'site', 'type_unknown', count(*) FILTER (WHERE type = 'feed') FROM site
+UNION ALL SELECT 'job', 'rows', count(*) FROM job
+UNION ALL SELECT 'job', 'broken', count(*) FILTER (WHERE status = 'lost') FROM job
+UNION ALL SELECT 'job', 'status_unknown', count(*) FILTER (WHERE status = 'lost') FROM job
+UNION ALL SELECT 'application', 'rows', count(*) FROM app
+UNION ALL SELECT 'application', 'broken', count(*) FILTER (WHERE user_id IS NULL OR unknown) FROM app
+UNION ALL SELECT 'application', 'user_id_missing', count(*) FILTER (WHERE user_id IS NULL) FROM app
+UNION ALL SELECT 'application', 'listing_id_unknown', count(*) FILTER (WHERE unknown) FROM app""")
+def contract_all_tables(spark, data):
+    """Broken rules of sites, jobs and applications, counted while their rows are written."""
+    sites, jobs, applications = _odd_rows(spark, data)
+    listed = quality.application_rules() | {"listing_id_unknown": F.col("unknown_listing")}
+    counts = []
+    for entity, rows, rules in (("site", sites, quality.site_rules()), ("job", jobs, quality.job_rules()),
+                                ("application", applications, listed)):
+        found = quality.store_checked(rows, rules, scratch_dir(spark, f"checked-{entity}") + "/rows")
+        counts += [(entity, rule, n) for rule, n in found.items() if n]
+    return spark.createDataFrame(counts, "entity string, rule string, n bigint")
+
+
+@query("broken_applications", f"""
+WITH {sql.LISTINGS}, app AS (SELECT src_seq AS id, src_seq % 13 = 0 AS anonymous, listing_id NOT IN
+  (SELECT listing_id FROM listings WHERE is_active) AS unknown FROM listings)
+SELECT id, concat_ws(',', CASE WHEN anonymous THEN 'user_id_missing' END, CASE WHEN unknown THEN 'listing_id_unknown' END) AS broken
+FROM app WHERE anonymous OR unknown""")
+def broken_applications(spark, data):
+    """Applications set aside when they were written, each with the rules it breaks."""
+    rows = _odd_rows(spark, data)[2]
+    path = scratch_dir(spark, "checked") + "/rows"
+    quality.store_checked(rows, quality.application_rules() | {"listing_id_unknown": F.col("unknown_listing")}, path)
+    return quality.read_checked(rows, path)[1].select("id", F.array_join("broken", ",").alias("broken"))
+
+
 @query("award_bounds", f"""
 WITH {sql.RAW}, a AS (SELECT src_seq, {sql.award('amount')} AS max_award FROM raw)
 SELECT *, max_award BETWEEN 100 AND 100000 AS in_bounds FROM a""")

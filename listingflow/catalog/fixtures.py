@@ -353,15 +353,16 @@ def broken_payloads(spark: SparkSession, data: str, content: str, name: str) ->
         concat(content, F.col("r_name")).alias(name))
 
 
-def feed_payloads(spark: SparkSession, data: str) -> DataFrame:
+def feed_payloads(spark: SparkSession, data: str, size: int = 25) -> DataFrame:
     about = F.when(F.col("status") == "O", concat("The ", F.col("organization"),
                                                   " Foundation offers R&D <aid>")) \
         .otherwise(F.col("eligibility"))
-    item = concat("<item><title>", escape(F.col("name")), "</title><description>", escape(about),
-                  "</description><link>", F.col("url"), "</link></item>")
+    told = F.when(F.col("src_seq") % 7 == 0, concat("<![CDATA[", about, "]]>")).otherwise(escape(about))
+    item = concat("<item><title>", escape(F.col("name")), "</title><description>", told,
+                  "</description><note><![CDATA[no </item> here]]></note><link>", F.col("url"), "</link></item>")
     item = F.when(F.col("src_seq") % 5 == 0, concat("<group><part>", item, "</part></group>")) \
         .otherwise(item)
-    rows = grouped(listings_raw(spark, data).withColumn("row", item), page_number(25), "row", "")
+    rows = grouped(listings_raw(spark, data).withColumn("row", item), page_number(size), "row", "")
     xml = concat('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed</title>',
                  F.col("body"), "</channel></rss>")
     return rows.select("page_id", xml.alias("xml")).union(

@@ -148,6 +148,38 @@ def in_scope_pages(spark, data):
     return kept.select("page_id", links.host(F.col("url")).alias("host"))
 
 
+def _crawled(spark, data):
+    """Pages with the site that found them and the depth it found them at, sites, and the domains of their scopes."""
+    host = links.host(F.col("url"))
+    found = table(spark, data, "pages").select(
+        "page_id", "url", F.concat(F.lit("site-"), fx.text(F.col("page_id") % 3)).alias("site"),
+        F.when(F.col("page_id") % 11 != 0, F.col("page_id") % 6).alias("depth"))
+    sites = found.groupBy("site").agg(F.min(F.struct("page_id", "url")).alias("first")).select("site", "first.url")
+    below = F.substring_index(host, ".", -2)
+    domains = found.filter("site = 'site-1'").select("site", below.alias("domain"), F.lit(True).alias("allowed")).union(
+        found.filter("site <> 'site-0'").select("site", F.upper(host).alias("domain"), (F.length(host) % 3 != 0).alias("allowed")))
+    return found, sites, domains.distinct()
+
+
+@query("site_scope_pages", """
+WITH found AS (SELECT page_id, url, 'site-' || page_id % 3 AS site, CASE WHEN page_id % 11 <> 0 THEN page_id % 6 END AS depth,
+  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^:/?#]*)', 1)) AS host FROM pages),
+listed AS (SELECT DISTINCT site, array_to_string(string_split(host, '.')[-2:], '.') AS domain, true AS allowed FROM found
+    WHERE site = 'site-1'
+  UNION SELECT site, host, length(host) % 3 <> 0 FROM found WHERE site <> 'site-0'),
+own AS (SELECT site, arg_min(host, page_id) AS domain FROM found GROUP BY 1),
+scopes AS (SELECT site, domain, bool_and(allowed) AS allowed FROM (SELECT * FROM listed UNION ALL
+  SELECT site, domain, true FROM own o WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.site = o.site AND l.domain = o.domain))
+  GROUP BY 1, 2),
+judged AS (SELECT f.page_id, f.site, f.depth, arg_max(s.allowed, length(s.domain)) AS allowed FROM found f JOIN scopes s
+  ON s.site = f.site AND (f.host = s.domain OR f.host LIKE '%.' || s.domain) GROUP BY 1, 2, 3)
+SELECT page_id, site FROM judged WHERE allowed AND coalesce(depth, 0) <= 3""")
+def site_scope_pages(spark, data):
+    """Pages in the scope of their site: its own host, its domains, and three links deep."""
+    found, sites, domains = _crawled(spark, data)
+    return filters.scope_by_site(found, sites, domains, depth="depth").select("page_id", "site")
+
+
 @query("default_scope_pages", f"""
 WITH {sql.RAW}, u AS (SELECT src_seq, CASE status WHEN 'F' THEN 'https://www.uni.edu/awards/'
   WHEN 'O' THEN 'https://m.facebook.com/awards/' ELSE 'https://gov.org/login/award/' END ||
@@ -180,6 +212,18 @@ def rss_items(spark, data):
     return feeds.read_feed(fx.feed_payloads(spark, data), "page_id")
 
 
+@query("rss_file_items", f"""
+WITH {sql.RAW}, t AS (SELECT *, {_ABOUT} AS about, {_ORG} AS org FROM raw)
+SELECT substr(md5(lower(name || '-' || org)), 1, 16) AS listing_id, name, about AS description,
+  org AS organization, url FROM t""")
+def rss_file_items(spark, data):
+    """The same feeds written as files, read by the XML source."""
+    path = scratch_dir(spark, "feeds") + "/files"
+    feed = fx.feed_payloads(spark, data, 1000).filter("page_id >= 0").select("xml")
+    feed.write.option("maxRecordsPerFile", 1).text(path)
+    return feeds.read_feed_files(spark, path)
+
+
 @query("api_items", f"""
 WITH {sql.RAW}, t AS (SELECT *, CASE WHEN src_seq % 4 = 3 THEN src_seq * 4 + 3
     ELSE (src_seq // 32) * 4 + src_seq % 4 END AS page_id FROM raw)

@@ -390,6 +390,30 @@ def keyword_tags(spark, data):
     return search.tag_keywords(fx.listings_raw(spark, data, organization=False), text, "src_seq")
 
 
+_WORDS_OF = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query("dictionary_tags", f"""
+WITH words AS (SELECT doc_id, lang, {_WORDS_OF.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+dictionary AS (SELECT DISTINCT coalesce(lang, 'none') AS category, array_to_string(w[2:1 + n], ' ') AS phrase
+  FROM words, (SELECT unnest([1, 2, 4]) AS n) WHERE doc_id % 3 = 0 AND len(w) > n),
+texts AS (SELECT item_id, {_WORDS_OF.format('text')} AS w FROM benchmark
+  UNION ALL SELECT -1 - doc_id, w FROM words WHERE doc_id % 3 = 1),
+runs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts), (SELECT unnest([1, 2, 4]) AS n) WHERE i + n - 1 <= len(w))
+SELECT item_id, category, phrase AS keyword FROM runs JOIN dictionary USING (phrase)""")
+def dictionary_tags(spark, data):
+    """Texts tagged by a dictionary that is a table: words, pairs and runs of four words of every third document."""
+    docs = table(spark, data, "documents").filter("text is not null")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    given = docs.filter("doc_id % 3 = 0").select(F.coalesce("lang", F.lit("none")).alias("category"), words.alias("w"),
+                                                 F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("n"))
+    dictionary = given.filter("size(w) > n").select("category", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ").alias("keyword"))
+    texts = table(spark, data, "benchmark").select("item_id", "text").union(
+        docs.filter("doc_id % 3 = 1").select(-1 - F.col("doc_id"), "text"))
+    return search.tag_dictionary(texts, F.col("text"), "item_id", dictionary)
+
+
 @query("keyword_union", f"""
 WITH {sql.RAW}, words(category, pos, keyword) AS (VALUES {_WORDS}),
 hits AS (SELECT src_seq, lower(keyword) AS keyword, min(CASE category WHEN 'demographic' THEN 0 ELSE 100 END + pos)

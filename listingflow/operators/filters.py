@@ -88,6 +88,39 @@ def in_scope(pages: DataFrame, scope: Mapping = V.CRAWL_SCOPE, url: str = "url",
     return pages.filter(keep)
 
 
+def host_suffixes(host: Column) -> Column:
+    """A host and the domains above it: a.b.org, b.org and org."""
+    labels = F.split(host, r"\.")
+    return F.when(host != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
+        F.slice(labels, i, F.size(labels)), ".")))
+
+
+def scope_by_site(pages: DataFrame, sites: DataFrame, domains: DataFrame, site: str = "site", url: str = "url",
+                  depth: str | None = None, max_depth: int | None = V.CRAWL_SCOPE["max_depth"]) -> DataFrame:
+    """Pages that their site's crawl may keep.
+
+    ``domains`` has site, domain and ``allowed``; of a site's domains that are the page's host or above it the longest
+    decides, and a blocked one over an allowed one. A site's own host is allowed to it unless ``domains`` says
+    otherwise; other hosts are not. Pages deeper than ``max_depth`` are left out, if they have a depth.
+
+    Each distinct host of a site is expanded to the domains above it and hash-joined with the table, so the work
+    follows the hosts and not pages times domains; pages are then joined with the hosts that are in.
+    """
+    known = domains.select(F.col(site).alias("__site"), F.lower("domain").alias("__domain"), "allowed")
+    own = sites.select(F.col(site).alias("__site"), links.host(F.col("url")).alias("__domain"))
+    known = known.unionByName(own.where("__domain <> ''").join(known, ["__site", "__domain"], "left_anti")
+                              .withColumn("allowed", F.lit(True))) \
+        .groupBy("__site", "__domain").agg(F.bool_and(F.coalesce("allowed", F.lit(False))).alias("allowed"))
+    host = links.host(F.col(url))
+    hosts = pages.select(F.col(site).alias("__site"), host.alias("__host")).distinct()
+    longest = hosts.select("*", F.explode(host_suffixes(F.col("__host"))).alias("__domain")).join(known, ["__site", "__domain"]) \
+        .groupBy("__site", "__host").agg(F.max_by("allowed", F.length("__domain")).alias("allowed"))
+    kept = longest.where("allowed").select(F.col("__site").alias("__in"), "__host")
+    if depth is not None and max_depth is not None:
+        pages = pages.filter(F.coalesce(F.col(depth), F.lit(0)) <= max_depth)
+    return pages.join(kept, (F.col(site) == F.col("__in")) & (host == F.col("__host")), "left_semi")
+
+
 def rename_fields(df: DataFrame, mapping: Mapping[str, str] = V.FIELD_NAMES) -> DataFrame:
     """Source field names to canonical columns; other columns pass through."""
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})

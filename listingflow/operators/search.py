@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listingflow import vocabulary as V
 from listingflow.functions.text import let
+from listingflow.session import stored
 
 #: Folders that stored postings are dealt to by a hash of the term.
 BUCKETS = 64
@@ -63,6 +64,54 @@ def keyword_union(text: Column, categories: Iterable[str],
     return _keywords_in(text, [w for c in categories for w in dictionary[c]])
 
 
+#: Bits of the filter that phrases of texts pass before they are joined, in longs.
+FILTER_LONGS = 1 << 14
+
+
+def _bits(phrase: Column) -> list[tuple[Column, Column]]:
+    """Two places of a phrase in the filter: which long, and its mask."""
+    h = F.xxhash64(phrase)
+    places = (F.pmod(h, F.lit(64 * FILTER_LONGS)), F.pmod(F.shiftright(h, 32), F.lit(64 * FILTER_LONGS)))
+    return [(F.floor(p / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))) for p in places]
+
+
+def phrase_filter(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """One row with ``bits``, a Bloom filter of the phrases: longs that an aggregate makes of any number of rows."""
+    places = phrases.select(F.explode(F.array(*[F.struct(at.alias("at"), mask.alias("mask")) for at, mask in _bits(F.col(phrase))]))
+                            .alias("b")).groupBy("b.at").agg(F.bit_or("b.mask").alias("mask"))
+    every = phrases.sparkSession.range(FILTER_LONGS).select(F.col("id").cast("int").alias("at")).join(places, "at", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("mask", F.lit(0)).alias("mask")))),
+                                 lambda x: x["mask"]).alias("bits"))
+
+
+def tag_dictionary(df: DataFrame, text: Column, key: str, dictionary: DataFrame) -> DataFrame:
+    """One row per row, category and keyword of ``dictionary`` (category, keyword) that the text has as whole words.
+
+    The dictionary is a table of any size. Each run of words as long as some keyword is looked up once per text: a Bloom
+    filter of the keywords passes few that are none, and those are joined by the phrase. A dictionary that fits is
+    broadcast by the size that adaptive execution measures, and then texts are not shuffled; of texts only the key and
+    phrases that pass are shuffled otherwise. Keywords without a letter or digit are never found.
+    """
+    entries = dictionary.select("category", "keyword", F.array_join(_tokens(F.col("keyword")), " ").alias("phrase")) \
+        .where("phrase <> ''").distinct()
+    entries = stored(entries, "dictionary")
+    lengths = sorted(r[0] for r in entries.select(F.size(F.split("phrase", " "))).distinct().collect())
+    if not lengths:
+        return df.select(key).limit(0).withColumns({"category": F.lit(""), "keyword": F.lit("")})
+    bits = stored(phrase_filter(entries), "dictionary-filter").select("bits").scalar()
+
+    def runs(words: Column) -> Column:
+        return F.array_distinct(F.concat(*[F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i + n - 1 <= F.size(words)),
+            lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")) for n in map(int, lengths)]))
+
+    found = df.select(key, F.explode(let(_tokens(text), runs)).alias("phrase"))
+    passes = F.lit(True)
+    for at, mask in _bits(F.col("phrase")):
+        passes = passes & (F.get(bits, at).bitwiseAND(mask) != 0)
+    return found.where(passes).join(entries, "phrase").select(key, "category", "keyword")
+
+
 def _counted(words: Column) -> Column:
     """Each word of a sorted array with how often it occurs."""
     n = F.size(words)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from listingflow.functions import ids
 from listingflow.functions.deadlines import is_expired
@@ -85,30 +85,32 @@ def cleanup_table(table: VersionedTable, as_of: str, group: int = 1000) -> DataF
     return table.spark.createDataFrame(report, "part string, scanned bigint, expired bigint, deleted bigint, error string")
 
 
-def run_all(spark: SparkSession, registry: Registry, data: str,
-            names: Iterable[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """(listings of all sources that could be read, failures by name)."""
-    listings, failures = registry.read_all(spark, data, names)
+def run_all(spark: SparkSession, registry: Registry, data: str, names: Iterable[str] | None = None,
+            store: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+    """(listings of all sources that could be read, failures by name); see ``Registry.read_all``."""
+    listings, failures = registry.read_all(spark, data, names, store)
     return (union_sources(listings.values()) if listings else None), failures
 
 
 def ingest(spark: SparkSession, registry: Registry, data: str, target: DataFrame, as_of: str,
            job_id: str) -> tuple[DataFrame, DataFrame]:
-    """All sources into the table: read, curate, upsert.
+    """All sources into the table: read side by side, curate, upsert.
 
     Returns the table with an ``action`` per row, and counts by source: 'completed' with
     inserted and updated listings, or 'failed'. A source's copies of a listing that another
-    source gave first count as that one's updates. ``src_seq`` tells rows of all sources apart.
+    source gave first count as that one's updates. ``src_seq`` tells rows of all sources apart. Counts are observed
+    while the curated batch is written.
     """
-    rows, failures = run_all(spark, registry, data)
-    failed = spark.createDataFrame([(name, "failed", 0, 0) for name in failures],
-                                   "source string, status string, inserted bigint, updated bigint")
+    schema = "source string, status string, inserted bigint, updated bigint"
+    listings, failures = registry.read_all(spark, data, store=True)
+    failed = [(name, "failed", 0, 0) for name in failures]
     known = stored(conform(target), "target")
-    if rows is None:
-        return known.withColumn("action", F.lit("keep")), failed
-    curated = stored(curate(rows, known, as_of, job_id), "curated")
-    counts = curated.groupBy("source").agg(
-        F.lit("completed").alias("status"), F.sum("inserted").cast("bigint").alias("inserted"),
-        F.sum("updated").alias("updated"))
+    if not listings:
+        return known.withColumn("action", F.lit("keep")), spark.createDataFrame(failed, schema)
+    seen = Observation()
+    sums = [F.sum(F.when(F.col("source") == name, F.col(c)).otherwise(0)).cast("bigint").alias(f"{c} {i}")
+            for i, name in enumerate(listings) for c in ("inserted", "updated")]
+    curated = stored(curate(union_sources(listings.values()), known, as_of, job_id).observe(seen, *sums), "curated")
+    done = [(name, "completed", *(seen.get[f"{c} {i}"] or 0 for c in ("inserted", "updated"))) for i, name in enumerate(listings)]
     merged = upsert(known, curated.select(*known.columns), "listing_id", as_of)
-    return merged, counts.unionByName(failed)
+    return merged, spark.createDataFrame(done + failed, schema)

@@ -7,7 +7,7 @@ can be counted with ``unreadable``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listingflow import vocabulary as V
 from listingflow.functions import classify, ids, money, replies
@@ -15,6 +15,8 @@ from listingflow.functions import text as tx
 
 _FEED_ITEM = "title string, description string, link string"
 _BROKEN = "_corrupt_record"
+#: An item: text, CDATA, and tags other than its end.
+_ITEM = r"(?s)<item(?:\s[^>]*)?>(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/item\s*>))*+</item\s*>"
 
 
 def _clip(c: Column, column: str) -> Column:
@@ -24,22 +26,46 @@ def _clip(c: Column, column: str) -> Column:
 def read_feed(payloads: DataFrame, *keep: str, text: str = "xml") -> DataFrame:
     """RSS items as listings, at any depth of the feed; a feed that is not XML has none.
 
-    Items are cut out as text first, since a schema would name every level above them.
+    Items are cut out as text first, since a schema would name every level above them. An end tag in CDATA is text.
     """
     sound = F.from_xml(text, f"{_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
     plain = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    found = F.regexp_extract_all(plain, F.lit(r"(?s)<item(?:\s[^>]*)?>.*?</item\s*>"), F.lit(0))
+    found = F.regexp_extract_all(plain, F.lit(_ITEM), F.lit(0))
     items = (payloads.filter(sound.isNotNull() & sound[_BROKEN].isNull())
              .select(*keep, F.posexplode(found).alias("pos", "item"))
              .select(*keep, "pos", F.from_xml("item", _FEED_ITEM).alias("item")))
+    return _feed_listings(items, [*keep, "pos"])
+
+
+def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
+    """RSS items of feed files as listings, read by the XML source, which takes items at any depth.
+
+    A file is read as a stream of items, so a feed may be larger than a task's memory, and text in CDATA is text.
+    An item that is not XML is not a listing; ``broken_feed_items`` gives those.
+    """
+    items = _feed_items(spark, path).where(f"{_BROKEN} is null")
+    return _feed_listings(items.select(F.struct("title", "description", "link").alias("item")), [])
+
+
+def broken_feed_items(spark: SparkSession, path: str) -> DataFrame:
+    """``text`` of the items in feed files that are not XML."""
+    return _feed_items(spark, path).where(f"{_BROKEN} is not null").select(F.col(_BROKEN).alias("text"))
+
+
+def _feed_items(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", "item").option("columnNameOfCorruptRecord", _BROKEN) \
+        .schema(f"{_FEED_ITEM}, {_BROKEN} string").load(path)
+
+
+def _feed_listings(items: DataFrame, keep: list[str]) -> DataFrame:
     name = F.coalesce("item.title", F.lit(V.UNKNOWN_TITLE))
     about = F.col("item.description")
     org = replies.organization_from_text(F.coalesce(F.nullif(about, F.lit("")), name))
     return items.select(
-        *keep, "pos", name.alias("title"), about.alias("about"), org.alias("organization"),
+        *keep, name.alias("title"), about.alias("about"), org.alias("organization"),
         F.col("item.link").alias("url"),
     ).select(
-        *keep, "pos", ids.content_id(F.col("title"), F.col("organization"), length=16, lower=True)
+        *keep, ids.content_id(F.col("title"), F.col("organization"), length=16, lower=True)
         .alias("listing_id"),
         _clip(F.col("title"), "name").alias("name"),
         _clip(F.nullif("about", F.lit("")), "description").alias("description"),

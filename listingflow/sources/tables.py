@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -46,11 +47,6 @@ def read_sites(rows: DataFrame) -> DataFrame:
     return rows.withColumn("search_config", F.from_json("search_config", SEARCH_CONFIG))
 
 
-def timestamp_from_epoch(df: DataFrame, *columns: str) -> DataFrame:
-    """Epoch seconds to timestamps."""
-    return df.withColumns({c: F.timestamp_seconds(c) for c in columns})
-
-
 def conform(df: DataFrame, schema: T.StructType = LISTING) -> DataFrame:
     """Exactly the columns and types of ``schema``; what the source lacks is null."""
     return df.select([
@@ -76,27 +72,33 @@ class Registry:
         name = self._aliases.get(name.lower(), name.lower())
         return name if name in self._sources else None
 
-    def read_all(self, spark: SparkSession, data: str, names: Iterable[str] | None = None
-                 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    def read_all(self, spark: SparkSession, data: str, names: Iterable[str] | None = None, store: bool = False,
+                 at_once: int = 8) -> tuple[dict[str, DataFrame], dict[str, str]]:
         """(listings, failures) by source name. One source failing leaves the others.
 
-        Each source is read into a written table of its own, since most failures show
-        only when the rows are read.
+        With ``store`` each source is read into a written table of its own, ``at_once`` of them side by side, and one
+        that breaks while its rows are read fails too. Without, listings are plans, and only what fails when it is planned is caught.
         """
-        listings, failures = {}, {}
+        failures = {}
+        chosen: dict[str, None] = {}
         for asked in self.names() if names is None else names:
             name = self.resolve(asked)
             if name is None:
                 failures[asked] = f"unknown source {asked!r}"
-                continue
-            if name in listings or name in failures:
-                continue
+            else:
+                chosen[name] = None
+
+        def read(name: str) -> DataFrame | str:
             try:
-                listings[name] = stored(conform(self._sources[name](spark, data))
-                                        .withColumn("source", F.lit(name)), f"source-{name}")
+                rows = conform(self._sources[name](spark, data)).withColumn("source", F.lit(name))
+                return stored(rows, f"source-{name}") if store else rows
             except Exception as error:
-                failures[name] = str(error).splitlines()[0]
-        return listings, failures
+                return str(error).splitlines()[0]
+
+        with ThreadPoolExecutor(max(1, at_once if store else 1)) as pool:
+            found = dict(zip(chosen, pool.map(read, chosen), strict=True))
+        failures |= {name: rows for name, rows in found.items() if isinstance(rows, str)}
+        return {name: rows for name, rows in found.items() if not isinstance(rows, str)}, failures
 
 
 def union_sources(listings: Iterable[DataFrame]) -> DataFrame:

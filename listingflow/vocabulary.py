@@ -131,6 +131,7 @@ CRAWL_SCOPE = {
         "tuition assistance",
     ],
     "max_pages_per_domain": 50,
+    "max_depth": 3,
 }
 
 AWARD_TYPE_WORD = "scholarship"
@@ -242,6 +243,8 @@ TARGET_TYPES = ["need", "merit", "both"]
 JOB_STATUSES = ["pending", "running", "completed", "failed"]
 APPLICATION_STATUSES = ["draft", "submitted", "approved", "rejected", "withdrawn"]
 SITE_TYPES = ["api", "crawl", "search", "discovery"]
+SITE_NAME_LENGTH = 100
+SITE_URL_LENGTH = 500
 MAX_LENGTHS = {
     "name": 500, "deadline": 100, "organization": 255, "academic_level": 100,
     "ethnicity": 100, "gender": 50, "country": 50, "source": 100, "job_id": 255,
