@@ -80,7 +80,8 @@ def parse_deadline(c: Column) -> Column:
 
 
 def _date(text: Column) -> Column:
-    return let(F.regexp_replace(text, _AROUND, ""), _bare_date)
+    """Null at once for a text without a digit, such as 'Rolling'."""
+    return F.when(text.rlike("[0-9]"), let(F.regexp_replace(text, _AROUND, ""), _bare_date))
 
 
 def _bare_date(t: Column) -> Column:
@@ -98,8 +99,9 @@ def _bare_date(t: Column) -> Column:
     short_year = F.when(t.rlike(_SHORT_YEAR), F.concat(
         century, F.regexp_replace(t, _SHORT_YEAR, "$3-$1-$2")))
     year_only = F.when(t.rlike(_YEAR_ONLY), F.concat(t, F.lit("-1-1")))
-    return F.coalesce(iso, named, slash, day_first, year_first, short_year, year_only) \
-        .try_cast("date")
+    # Only a date that begins with its month's name begins with other than a digit.
+    numeric = F.coalesce(iso, slash, day_first, year_first, short_year, year_only)
+    return F.when(F.substring(t, 1, 1) > "9", named).otherwise(numeric).try_cast("date")
 
 
 def parse_instant(c: Column) -> Column:
