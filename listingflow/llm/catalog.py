@@ -11,7 +11,7 @@ from listingflow.llm import (
     ann, bpe, conversation_trie, language_id, line_dedup, mixing, quality_rules, sharding, simhash, token_counts, url_filter, warc,
     whitening,
 )
-from listingflow.llm.common import read_table
+from listingflow.llm.common import read_table, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,10 +42,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule ledger of every document under the latest policy."""
-    entries = quality_rules.ledger(read_table(spark, sf_dir, "documents"))
-    return quality_rules.apply_policy(entries).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    """The stored rule ledger of every document under all policies, and what leaving out its only failed rule would bring back."""
+    entries = stored(quality_rules.ledger(read_table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.judged(entries).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed",
+        "kept_base", "kept_v1", "sole_rule", "brought_back")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,13 +145,19 @@ measured as (select doc_id, n_words, length(joined) as word_chars, n_lines, n_du
 judged as (select *, n_words < 10 as r0, 100 * n_repeat_words > 20 * n_words as r1, 10 * n_symbols > n_words as r2,
                   n_dup_lines > 5 and 10 * n_dup_lines > 3 * n_lines as r3, word_chars < 2 * n_words as r4,
                   word_chars > 15 * n_words as r5, 2 * n_upper > word_chars as r6,
-                  2 * n_letters < word_chars as r7 from measured)
+                  2 * n_letters < word_chars as r7 from measured),
+told as (select *, case when r0::int + r1::int + r2::int + r3::int + r4::int + r5::int + r6::int + r7::int = 1 then
+                    case when r0 then 'few_words' when r1 then 'repeated_words' when r2 then 'symbols' when r3 then 'duplicate_lines'
+                         when r4 then 'short_words' when r5 then 'long_words' when r6 then 'shouting' else 'few_letters' end end as sole_rule
+         from judged)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
        n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, r0 or r1 as base_failed,
        not (r0 or r1 or r2 or r3 or r4 or r5 or r6 or r7) as kept,
        (r0::int + 2 * r1::int + 4 * r2::int + 8 * r3::int + 16 * r4::int + 32 * r5::int + 64 * r6::int
-        + 128 * r7::int)::bigint as failed
-from judged""",
+        + 128 * r7::int)::bigint as failed,
+       not (r0 or r1) as kept_base, not (r0 or r1 or r2 or r3) as kept_v1, sole_rule,
+       case when sole_rule is not null then count(*) over (partition by sole_rule) end as brought_back
+from told""",
     "op6_warc": """
 with read as (select page_id, url, sha256(coalesce(html, '')) as digest, strlen(coalesce(html, ''))::bigint as n from pages),
 firsts as (select digest, min(page_id) as first_id, count(*) as copies from read where n >= 100 group by digest),

@@ -25,9 +25,11 @@ WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times.
 MOST = 3
 SHARDS = 16
-#: Words of a block at least. Blocks grow with the corpus, so that there are at most ``BLOCKS`` and one per source.
-BLOCK_WORDS = 20_000
-BLOCKS = 1_000_000
+#: Words and documents of a block. Blocks grow with the corpus, so that there are about ``BLOCKS`` by each at most, and
+#: one per source; that bounds the table of blocks, which is broadcast.
+BLOCK_WORDS = 5_000
+BLOCK_DOCS = 500
+BLOCKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -82,11 +84,12 @@ def _hash(*parts: Column) -> Column:
 
 @dataclass(frozen=True)
 class Plan:
-    """Documents with their block, blocks with their draws, and the shares per source."""
+    """Documents with their block, blocks with their draws, the shares per source and their table (``of``, ...)."""
 
     docs: DataFrame
     blocks: DataFrame
     shares: list[Share]
+    sources: DataFrame
 
 
 def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 7, block_words: int = BLOCK_WORDS,
@@ -94,22 +97,24 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 7, block_words: int
     """Sizes, blocks and draws. The driver holds one row per source, whatever the number of documents."""
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                                _hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("order")), "sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     rows = sorted(per_source, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "replace")))
     wanted = targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], most)
     words = max(block_words, sum(r["size"] for r in rows) // BLOCKS)
+    most_docs = max(BLOCK_DOCS, sum(r["docs"] for r in rows) // BLOCKS)
     shares = []
     for row, target in zip(rows, wanted, strict=True):
         size, quota = row["size"], round(target)
         passes = min(quota // size, most) if size else 0
-        shares.append(Share(row["source"], size, target, max(1, -(-size // words)), passes,
+        shares.append(Share(row["source"], size, target, max(1, -(-size // words), -(-row["docs"] // most_docs)), passes,
                             quota - passes * size if passes < most else 0))
     schema = T.StructType([T.StructField("source", docs.schema["source"].dataType), T.StructField("source_size", T.LongType()),
                            T.StructField("target", T.DoubleType()), T.StructField("blocks", T.LongType()),
                            T.StructField("passes", T.LongType()), T.StructField("rest", T.LongType())])
     spark = docs.sparkSession
     table = spark.createDataFrame([(s.source, s.size, s.target, s.blocks, s.passes, s.rest) for s in shares], schema)
-    placed = sized.join(table.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of") \
+    table = table.withColumnRenamed("source", "of")
+    placed = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of"))).drop("of") \
         .withColumn("block", F.pmod("order", F.col("blocks")))
     # Blocks in permuted order; the part of a pass takes them until its words are reached.
     by_source = Window.partitionBy("source").orderBy(_hash(F.lit(seed + 1), F.col("block")), "block")
@@ -134,7 +139,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 7, block_words: int
     drawn = blocks.join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))) \
         .select("source", "block", "part", "words",
                 F.when(F.col("draws") > 0, draw).otherwise(F.array().cast("array<int>")).alias("shards"))
-    return Plan(placed, drawn, shares)
+    return Plan(placed, stored(drawn, "drawn"), shares, table)
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, block_words: int = BLOCK_WORDS,
@@ -149,31 +154,52 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, block_words: int =
     fate. Draws depend on the rows and ``seed`` only. Other columns are ignored.
     """
     made = plan(docs, shards, seed, block_words, weights, most)
-    # ``order`` names a document where an id is missing or repeated.
+    whole, partly = _drawn(made)
+    return whole.unionByName(partly).select(
+        "doc_id", "source", "size", "source_size", "target", "order", "shards",
+        (F.col("size") * F.size("shards")).alias("taken"))
+
+
+def _drawn(made: Plan) -> tuple[DataFrame, DataFrame]:
+    """Documents with their shards: of blocks drawn whole, and of the one block per source that is cut.
+
+    ``order`` names a document where an id is missing or repeated.
+    """
     of_block = made.blocks.withColumnsRenamed({"source": "of", "block": "b"})
-    joined = made.docs.join(of_block, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))) \
+    joined = made.docs.join(F.broadcast(of_block), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))) \
         .drop("of", "b")
-    cut = (F.col("part") > 0) & (F.col("part") < F.col("words"))
+    cut = _is_cut()
     within = Window.partitionBy("source", "block").orderBy("order", F.col("doc_id").asc_nulls_last())
-    whole = joined.where(~cut)
     partly = joined.where(cut).withColumn("reached", F.sum("size").over(within)) \
         .withColumn("shards", F.when(2 * F.col("reached") - F.col("size") <= 2 * F.col("part"), F.col("shards"))
                     .otherwise(F.slice("shards", 1, F.greatest(F.size("shards") - 1, F.lit(0))))).drop("reached")
-    return whole.unionByName(partly).select(
-        "doc_id", "source", "size", "source_size", "target", "order", "shards",
-        (F.col("size") * F.size("shards")).alias("taken"))
+    return joined.where(~cut), partly
+
 
+def _is_cut() -> Column:
+    return (F.col("part") > 0) & (F.col("part") < F.col("words"))
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, **options) -> DataFrame:
+
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, block_words: int = BLOCK_WORDS,
+                    weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` as the mix takes them: a row per copy, none for what is not drawn, shuffled within each shard.
 
-    Rows that share id and text are one document and are taken alike, each as often as the other.
+    Rows that share id and text are one document and are taken alike, each as often as the other. A row knows its block
+    from its own hash, so texts are shuffled once, into their shards; only documents of cut blocks, one block per source,
+    are looked up.
     """
-    fate = mix(docs, shards, seed, **options).select("doc_id", F.col("order").alias("mix_order"), "shards").distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id",
-                        _hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("mix_order"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.mix_order") == F.col("f.mix_order"))
-    taken = keyed.alias("d").join(fate.alias("f"), same).select("row", "d.mix_order", F.posexplode("shards").alias("copy", "shard"))
-    local = _hash(F.lit(seed + 2), F.col("shard"), F.col("mix_order"), F.col("copy"))
+    made = plan(docs, shards, seed, block_words, weights, most)
+    fate = stored(_drawn(made)[1].select("doc_id", "order", F.col("shards").alias("fate")).distinct(), "cut-blocks")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source",
+                        _hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("order"))
+    of_source = made.sources.select("of", "blocks")
+    placed = keyed.join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("of"))) \
+        .withColumn("block", F.pmod("order", F.col("blocks"))).drop("of")
+    of_block = made.blocks.withColumnsRenamed({"source": "of", "block": "b"})
+    joined = placed.join(F.broadcast(of_block), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.order") == F.col("f.order"))
+    taken = joined.alias("d").join(fate.alias("f"), same, "left").select(
+        "row", "d.order", F.posexplode(F.coalesce("fate", "shards")).alias("copy", "shard"))
+    local = _hash(F.lit(seed + 2), F.col("shard"), F.col("order"), F.col("copy"))
     return taken.withColumn("place", local).repartitionByRange("shard", "place") \
         .sortWithinPartitions("shard", "place").select("row.*")

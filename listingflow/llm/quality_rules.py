@@ -130,3 +130,21 @@ def ablations(entries: DataFrame, policy: str = LATEST) -> DataFrame:
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("failed"),
         F.sum(F.when(hit & rest, F.col("n")).otherwise(0)).alias("only_this"),
         F.sum(F.when(rest, F.col("n")).otherwise(0)).alias("kept_without"))
+
+
+def judged(entries: DataFrame, policy: str = LATEST) -> DataFrame:
+    """The ledger under ``policy`` (``base_failed``, ``kept``), a column kept_<version> for each other version, and per row
+    ``sole_rule``, the only rule of the policy that the row fails, with ``brought_back``, how many rows that rule alone rejects.
+
+    The ablations have a row per rule, so joining them shuffles nothing. Rows that fail no rule or several have neither.
+    """
+    found = apply_policy(entries, policy)
+    for version in POLICIES:
+        if version != policy:
+            fails = F.col("failed").bitwiseAND(F.lit(mask(version) | mask("base")).cast("long")) != 0
+            found = found.withColumn(f"kept_{version}", ~fails)
+    sole = F.lit(None).cast("string")
+    for rule in POLICIES[policy]:
+        sole = F.when(F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long")) == BITS[rule], rule).otherwise(sole)
+    report = ablations(entries, policy).select(F.col("rule").alias("sole_rule"), F.col("only_this").alias("brought_back"))
+    return found.withColumn("sole_rule", sole).join(F.broadcast(report), "sole_rule", "left")
