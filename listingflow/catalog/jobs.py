@@ -113,6 +113,23 @@ def migration_summary(spark, data):
     return jobs.migration_summary(export, _known(export), AS_OF)
 
 
+@query("migrate_job", f"""
+WITH {_OLD}, {sql.SITES}, {sql.JOB_EVENTS}, taken AS (SELECT e.is_active FROM export e LEFT JOIN target t USING (listing_id)
+  WHERE t.listing_id IS NULL AND NOT {sql.expired('deadline')}),
+held AS (SELECT is_active FROM export WHERE created_at < TIMESTAMP '1996-01-01')
+SELECT 'scanned' AS figure, count(*) AS n FROM export UNION ALL SELECT 'migrated', count(*) FROM taken
+UNION ALL SELECT 'skipped', (SELECT count(*) FROM export) - count(*) FROM taken
+UNION ALL SELECT 'listings', count(*) FROM (SELECT * FROM taken UNION ALL SELECT * FROM held)
+UNION ALL SELECT 'active_listings', count(*) FILTER (WHERE is_active) FROM (SELECT * FROM taken UNION ALL SELECT * FROM held)
+UNION ALL SELECT 'sites', count(*) FROM sites UNION ALL SELECT 'jobs', count(DISTINCT job_id) FROM job_events""")
+def migrate_job(spark, data):
+    """The migration of an export into a table that holds its older rows, and the totals after it."""
+    export = _export(spark, data)
+    held = export.filter(F.col("created_at") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    runs = fx.job_events(spark, data).select("job_id").distinct()
+    return jobs.migrate_into(held, export, AS_OF, fx.sites(spark, data), runs)[1]
+
+
 _CLEANUP = f"""{sql.LISTINGS}, flagged AS (SELECT src_seq, deadline,
   {sql.expired('deadline')} AS expired FROM listings)"""
 
@@ -323,6 +340,25 @@ def stream_ingest(spark, data):
     return spark.read.parquet(f"{work}/out").select(*columns)
 
 
+@query("stream_ingest_json", """
+WITH lines AS (SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || CASE WHEN o_orderkey % 17 = 3
+  THEN '"none"' ELSE o_custkey::varchar END || CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '}' END AS line FROM orders)
+SELECT CASE WHEN sound THEN o.o_orderkey END AS o_orderkey, CASE WHEN sound THEN o_custkey END AS o_custkey,
+  CASE WHEN NOT sound THEN line END AS line FROM (SELECT *, o_orderkey % 17 <> 3 AND o_orderkey % 13 <> 0 AS sound FROM lines) l
+JOIN orders o ON o.o_orderkey = l.o_orderkey""")
+def stream_ingest_json(spark, data):
+    """Orders as JSON lines, some cut off and some of another type: all rows, and the lines that are none."""
+    work = scratch_dir(spark, "json")
+    customer = F.when(F.col("o_orderkey") % 17 == 3, '"none"').otherwise(fx.text(F.col("o_custkey")))
+    end = F.when(F.col("o_orderkey") % 13 == 0, "").otherwise("}")
+    table(spark, data, "orders").select(fx.concat(
+        '{"o_orderkey":', fx.text(F.col("o_orderkey")), ',"o_custkey":', customer, end).alias("line")).write.text(f"{work}/in")
+    schema = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint")
+    _run(stream.ingest_json(spark, f"{work}/in", schema, f"{work}/out", f"{work}/checkpoint"))
+    sound, broken = stream.read_json_ingest(spark, f"{work}/out", schema)
+    return sound.withColumn("line", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
+
+
 @query("stream_dedupe", f"""
 WITH RECURSIVE seen AS (SELECT DISTINCT {_STREAM_ID} AS listing_id, o_orderdate AS seen_at FROM orders),
 kept AS (SELECT listing_id, min(seen_at) AS seen_at FROM seen GROUP BY 1

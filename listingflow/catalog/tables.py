@@ -7,7 +7,8 @@ from listingflow.catalog import fixtures as fx, oracle as sql
 from listingflow.catalog.core import AS_OF, query, table
 from listingflow.functions import links, money
 from listingflow.operators import dedupe, filters, merge, rollups, search
-from listingflow.plans import crawl
+from listingflow.operators.search_index import PostingIndex
+from listingflow.plans import crawl, curate
 from listingflow.session import scratch_dir, stored
 from listingflow.sources.tables import append_rows, read_sites
 
@@ -167,6 +168,26 @@ def overlay_details(spark, data):
     return merge.overlay(rows, fx.details(spark, data), "url", _OVERLAID)
 
 
+@query("overlay_cleaned", f"""
+WITH {sql.LISTINGS}, {sql.DETAILS}, told AS (SELECT url, CASE WHEN l_flag = 'R' THEN '' ELSE
+    repeat('The applicant must be a  resident. ', 9 * l_lines) END AS eligibility, l_lines
+  FROM (SELECT 'https://listings.example.org/a/' || l_orderkey AS url, max(l_returnflag) AS l_flag, max(l_linenumber) AS l_lines
+  FROM lineitem GROUP BY l_orderkey))
+SELECT l.url, coalesce(nullif(d.organization, ''), l.organization) AS organization,
+  CASE WHEN t.eligibility <> '' THEN {sql.truncate(sql.strip_phrases('t.eligibility'), 1000)} ELSE l.eligibility END AS eligibility
+FROM listings l LEFT JOIN details d ON l.url = d.url LEFT JOIN told t ON l.url = t.url""")
+def overlay_cleaned(spark, data):
+    """Listings with their detail pages' fields, the eligibility without stock phrases and cut."""
+    rows = fx.listings(spark, data).select("url", "organization", "eligibility")
+    told = table(spark, data, "lineitem").groupBy("l_orderkey").agg(
+        F.max("l_returnflag").alias("flag"), F.max("l_linenumber").alias("lines")).select(
+        fx.concat("https://listings.example.org/a/", fx.text(F.col("l_orderkey"))).alias("url"),
+        F.when(F.col("flag") == "R", "").otherwise(F.repeat(F.lit("The applicant must be a  resident. "), 9 * F.col("lines")))
+        .alias("eligibility"))
+    details = fx.details(spark, data).select("url", "organization").join(told, "url")
+    return curate.with_details(rows, details)
+
+
 @query("overlay_unconditional", f"""
 WITH {sql.LISTINGS}, {sql.DETAILS} SELECT l.url,
   {', '.join(f'coalesce(d.{c}, l.{c}) AS {c}' for c in _OVERLAID)}
@@ -255,6 +276,15 @@ def focus_plan(spark, data):
     return crawl.focus_plan(read_sites(fx.sites(spark, data)), 50)
 
 
+@query("focus_requests", f"""
+WITH {sql.SITES}, {sql.SITE_TERMS}, plan AS (SELECT site, term, CAST(ceil(50 / (CASE WHEN s_acctbal > 5000
+  THEN 3.0 ELSE 2.0 END)) AS INT) AS n FROM terms JOIN sites USING (site))
+SELECT site, term, replace(replace({sql.quoted(crawl.FOCUS_PROMPT)}, '%d', n::varchar), '%s', term) AS prompt FROM plan""")
+def focus_requests(spark, data):
+    plan = crawl.focus_plan(read_sites(fx.sites(spark, data)), 50)
+    return crawl.focus_requests(plan).select("site", "term", "prompt")
+
+
 @query("crawl_plan", f"""
 WITH {sql.SITES} SELECT site, page, url || CASE WHEN page > 1 THEN '?page=' || page ELSE '' END
   AS request_url FROM sites, (SELECT unnest([1, 2, 3]) AS page)""")
@@ -448,6 +478,25 @@ def text_search(spark, data):
                          documents.count())
 
 
+@query("search_after_changes", f"""
+WITH live AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN text || ' la the La' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 9),
+tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM live),
+hits AS (SELECT doc_id, t, count(*) AS tf FROM tokens WHERE t IN ({', '.join(map(sql.quoted, _TERMS))}) GROUP BY 1, 2),
+weights AS (SELECT t, ln(1 + (SELECT count(*) FROM live) / count(*)) AS w FROM hits GROUP BY 1)
+SELECT doc_id, round(sum(tf * w), 4) AS score FROM hits JOIN weights USING (t)
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def search_after_changes(spark, data):
+    """The same search over an index that took the documents in two batches, replaced some and lost some."""
+    documents = table(spark, data, "documents").select("doc_id", "text")
+    index = PostingIndex(spark, scratch_dir(spark, "index") + "/documents", "doc_id", "bigint", ["text"], 8)
+    late = documents.filter("doc_id % 4 = 3")
+    index.apply(documents.filter("doc_id % 4 <> 3"), None, 0)
+    again = documents.filter("doc_id % 8 = 0").withColumn("text", F.concat("text", F.lit(" la the La")))
+    index.apply(late.unionByName(again), documents.filter("doc_id % 10 = 9 and doc_id % 4 <> 3"), 1)
+    index.apply(None, late.filter("doc_id % 10 = 9"), 2)
+    return index.search(_TERMS, 20)
+
+
 @query("text_postings", """
 WITH tokens AS (SELECT page_id, unnest(regexp_extract_all(lower(url || ' ' || html),
   '[\\p{L}\\p{N}]+')) AS term FROM pages)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -32,9 +32,11 @@ def _present(c: Column, kind: T.DataType) -> Column:
 
 
 def overlay(listings: DataFrame, details: DataFrame, key: str, columns: Iterable[str],
-            guarded: bool = True) -> DataFrame:
+            guarded: bool = True, clean: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Details over listings by a left join on ``key``, unique in ``details``.
 
+    ``clean`` has by column what is done to a detail that replaces.
+
     guarded    a detail replaces only when it says something: text that is not
                empty, a number above zero, any flag
     unguarded  whatever a detail row holds replaces, null meaning 'not given'
@@ -46,7 +48,7 @@ def overlay(listings: DataFrame, details: DataFrame, key: str, columns: Iterable
     for c in columns:
         new = F.col(f"__d_{c}")
         use = _present(new, kinds[c].dataType) if guarded else new.isNotNull()
-        merged[c] = F.when(use, new).otherwise(F.col(c))
+        merged[c] = F.when(use, clean[c](new) if clean and c in clean else new).otherwise(F.col(c))
     return listings.join(theirs, key, "left").withColumns(merged).drop(*theirs.columns[1:])
 
 

@@ -26,6 +26,17 @@ def focus_plan(sites: DataFrame, total: int) -> DataFrame:
                         share.alias("max_results"))
 
 
+FOCUS_PROMPT = (
+    "List at most %d awards that students can apply for now, on this subject: %s. Answer with a JSON array and nothing else. "
+    "Give each award as an object with the keys title, organization, url, description, minAmount, maxAmount, eligibility, "
+    "academicLevel, geographicRestrictions, deadline, renewable, country, applyUrl, source. Give null for what is not known.")
+
+
+def focus_requests(plan: DataFrame, prompt: str = FOCUS_PROMPT) -> DataFrame:
+    """One prompt per row of ``focus_plan``, that asks for its share of results on its subject."""
+    return plan.withColumn("prompt", F.format_string(prompt, "max_results", "term"))
+
+
 def page_plan(sites: DataFrame, pages: int = 3) -> DataFrame:
     """One row per site and page number from 1, with the address to fetch."""
     numbered = sites.select("site", "url", F.explode(F.sequence(F.lit(1), F.lit(pages)))

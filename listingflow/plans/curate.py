@@ -6,16 +6,37 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from listingflow.functions import ids
+from listingflow import vocabulary as V
+from listingflow.functions import ids, text
 from listingflow.functions.deadlines import is_expired
 from listingflow.operators.dedupe import dedupe_first
 from listingflow.operators.filters import drop_expired, fill_defaults
-from listingflow.operators.merge import new_only, upsert
+from listingflow.operators import rollups
+from listingflow.operators.merge import new_only, overlay, upsert
 from listingflow.session import stored
 from listingflow.sources.tables import Registry, conform, union_sources
 from listingflow.sources.versioned import VersionedTable, named
 
 
+#: What a detail page may tell better than a list of results.
+DETAIL_COLUMNS = ("organization", "academic_level", "eligibility", "min_award", "max_award", "renewable", "deadline",
+                  "geographic_restrictions", "apply_url")
+
+
+def with_details(listings: DataFrame, details: DataFrame, max_chars: int | None = V.MAX_TEXT_LENGTH) -> DataFrame:
+    """Listings with what their detail pages say, by address; what a page leaves empty stays as it was.
+
+    The eligibility of a page loses its stock phrases and is cut to ``max_chars`` (None: not cut). Of several details of
+    one address the one of least ``page_id`` is taken, of any if there is none.
+    """
+    columns = [c for c in DETAIL_COLUMNS if c in details.columns and c in listings.columns]
+    order = [F.col("page_id")] if "page_id" in details.columns else [F.struct(*columns)]
+    one = dedupe_first(details.filter("url is not null"), ["url"], order)
+    stripped = {"eligibility": lambda c: text.strip_phrases(c) if max_chars is None
+                else text.truncate(text.strip_phrases(c), max_chars)}
+    return overlay(listings, one, "url", columns, clean=stripped)
+
+
 def curate(df: DataFrame, target: DataFrame, as_of: str, job_id: str) -> DataFrame:
     """A batch against the table: expire, fill, identify, look up, count.
 
@@ -53,6 +74,20 @@ def migrate(export: DataFrame, target: DataFrame, as_of: str,
     return fill_defaults(fresh, profile)
 
 
+def migrate_into(target: DataFrame, export: DataFrame, as_of: str, sites: DataFrame, jobs: DataFrame,
+                 profile: str = "migrate_items", mode: str = "end_of_day") -> tuple[DataFrame, DataFrame]:
+    """The whole migration: (the table with an ``action`` per row, figures and their numbers).
+
+    Rows of the export that are new and not expired are upserted; the figures are what was scanned, migrated and
+    skipped, and the totals of the table after it, of sites and of jobs. Ids are unique in the export.
+    """
+    known = stored(conform(target), "target")
+    added = stored(conform(migrate(export, known, as_of, profile, mode)), "migrated")
+    merged = stored(upsert(known, added, "listing_id", as_of), "merged")
+    counted = migration_summary(export, known, as_of, mode).unpivot([], ["scanned", "migrated", "skipped"], "figure", "n")
+    return merged, counted.unionByName(rollups.totals(merged, sites, jobs))
+
+
 def migration_summary(export: DataFrame, target: DataFrame, as_of: str,
                       mode: str = "end_of_day") -> DataFrame:
     """scanned, migrated and skipped (known or expired) in one pass over the export."""
@@ -93,8 +128,8 @@ def run_all(spark: SparkSession, registry: Registry, data: str, names: Iterable[
 
 
 def ingest(spark: SparkSession, registry: Registry, data: str, target: DataFrame, as_of: str,
-           job_id: str) -> tuple[DataFrame, DataFrame]:
-    """All sources into the table: read side by side, curate, upsert.
+           job_id: str, details: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All sources into the table: read side by side, overlay with ``details`` of their pages if given, curate, upsert.
 
     Returns the table with an ``action`` per row, and counts by source: 'completed' with
     inserted and updated listings, or 'failed'. A source's copies of a listing that another
@@ -110,7 +145,9 @@ def ingest(spark: SparkSession, registry: Registry, data: str, target: DataFrame
     seen = Observation()
     sums = [F.sum(F.when(F.col("source") == name, F.col(c)).otherwise(0)).cast("bigint").alias(f"{c} {i}")
             for i, name in enumerate(listings) for c in ("inserted", "updated")]
-    curated = stored(curate(union_sources(listings.values()), known, as_of, job_id).observe(seen, *sums), "curated")
+    rows = union_sources(listings.values())
+    rows = rows if details is None else with_details(rows, details)
+    curated = stored(curate(rows, known, as_of, job_id).observe(seen, *sums), "curated")
     done = [(name, "completed", *(seen.get[f"{c} {i}"] or 0 for c in ("inserted", "updated"))) for i, name in enumerate(listings)]
     merged = upsert(known, curated.select(*known.columns), "listing_id", as_of)
     return merged, spark.createDataFrame(done + failed, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from listingflow import vocabulary as V
 from listingflow.functions import classify, ids, money, replies
 from listingflow.functions import text as tx
+from listingflow.session import stored
 
 _FEED_ITEM = "title string, description string, link string"
 _BROKEN = "_corrupt_record"
@@ -49,7 +50,8 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
 
 def broken_feed_items(spark: SparkSession, path: str) -> DataFrame:
     """``text`` of the items in feed files that are not XML."""
-    return _feed_items(spark, path).where(f"{_BROKEN} is not null").select(F.col(_BROKEN).alias("text"))
+    # Spark reads broken records alone only from rows that are stored.
+    return stored(_feed_items(spark, path), "feed-items").where(f"{_BROKEN} is not null").select(F.col(_BROKEN).alias("text"))
 
 
 def _feed_items(spark: SparkSession, path: str) -> DataFrame:

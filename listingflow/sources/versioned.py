@@ -15,11 +15,16 @@ from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from listingflow.session import stored
+
 _VERSION = "table_version"
 _PART = "table_part"
+#: The column that holds the hash bucket of a key, and how many there are unless a table says otherwise.
+BUCKET = "bucket"
+BUCKETS = 32
 _MANIFEST = "part string, folder string, head string"
 
 
@@ -85,12 +90,13 @@ class VersionedTable:
         return rows.select(*self.schema.names, part.alias(_PART))
 
     def put(self, rows: DataFrame, touched: Iterable[str] | None = None, batches: Mapping[str, int] | None = None,
-            counts: Callable[[], Mapping[str, int]] | None = None, properties: Mapping[str, str] | None = None,
+            counts: Callable[[], Mapping[str, int]] | None = None,
+            properties: Mapping[str, str] | Callable[[], Mapping[str, str]] | None = None,
             before: Version | None = None) -> Version:
         """Replaces the ``touched`` parts, all if None, by ``rows``. A touched part without a row is gone; rows of other
         parts are added to those.
 
-        ``counts`` is asked once the rows are written. ``before`` is the version that holds, if it is known.
+        ``counts`` and ``properties``, if it can be, are asked once the rows are written. ``before`` is the version that holds, if it is known.
         """
         before = before or self.version()
         number = before.number + 1 if before else 0
@@ -102,7 +108,7 @@ class VersionedTable:
         folders = {p: f for p, f in (before.folders if before else {}).items() if p not in gone}
         folders |= {p: (*folders.get(p, ()), f"{folder}/{p}") for p in written}
         now = Version(number, folders, {**(before.batches if before else {}), **(batches or {})}, dict(counts() if counts else {}),
-                      {**(before.properties if before else {}), **(properties or {})})
+                      {**(before.properties if before else {}), **((properties() if callable(properties) else properties) or {})})
         self._switch(now)
         return now
 
@@ -140,3 +146,36 @@ class VersionedTable:
 def named(part: str) -> str:
     """The name of a part from ``table_part``."""
     return unquote(part)
+
+
+# --- by hash bucket of a key --------------------------------------------------------------------------------
+
+def bucketed(spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
+    """The table of ``schema`` by hash bucket of its key."""
+    full = T.StructType([*(f for f in schema.fields if f.name != BUCKET), T.StructField(BUCKET, T.IntegerType())])
+    return VersionedTable(spark, path, full, [BUCKET])
+
+
+def apply_batch(table: VersionedTable, rows: DataFrame, keys: Sequence[str], fold: Callable[[DataFrame, DataFrame], DataFrame],
+                batch_id: int, source: str = "stream", counts: dict[str, Column] | None = None, buckets: int = BUCKETS) -> None:
+    """One batch into a bucketed table: ``fold`` makes the new rows of the touched buckets out of theirs and the batch's.
+
+    Does nothing if the table has this batch of ``source`` or a later one. ``counts`` are aggregates over the
+    folded rows, taken while they are written and kept in the manifest. The number of buckets is that which the
+    table was begun with.
+    """
+    now = table.version()
+    if now is not None and batch_id <= now.batches.get(source, -1):
+        return
+    buckets = int(now.properties.get("buckets", buckets)) if now else buckets
+    rows = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = None
+    if now is not None:
+        rows = stored(rows, "batch")
+        touched = [f"{BUCKET}={r[0]}" for r in rows.select(BUCKET).distinct().collect()]
+    merged = fold(table.read(touched or [], now), rows)
+    seen = Observation()
+    if counts:
+        merged = merged.observe(seen, *[c.alias(name) for name, c in counts.items()])
+    table.put(merged.hint("rebalance", BUCKET), touched, {source: batch_id},
+              (lambda: {k: v or 0 for k, v in seen.get.items()}) if counts else None, {"buckets": str(buckets)}, now)

@@ -13,16 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from listingflow.operators.merge import ACTION, fold_in
 from listingflow.session import stored
-from listingflow.sources.versioned import VersionedTable, named
-
-BUCKETS = 32
-_BUCKET = "bucket"
+from listingflow.sources.versioned import BUCKET as _BUCKET
+from listingflow.sources.versioned import BUCKETS, VersionedTable, apply_batch, bucketed, named
 
 
 def read_new(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None,
@@ -56,38 +54,36 @@ def ingest(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
-# --- tables by hash bucket ---------------------------------------------------------------------------------
-
-def bucketed(spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
-    """The table of ``schema`` by hash bucket of its key."""
-    full = T.StructType([*(f for f in schema.fields if f.name != _BUCKET), T.StructField(_BUCKET, T.IntegerType())])
-    return VersionedTable(spark, path, full, [_BUCKET])
+_LINE = "broken_line"
 
 
-def apply_batch(table: VersionedTable, rows: DataFrame, keys: Sequence[str], fold: Callable[[DataFrame, DataFrame], DataFrame],
-                batch_id: int, source: str = "stream", counts: dict[str, Column] | None = None, buckets: int = BUCKETS) -> None:
-    """One batch into a bucketed table: ``fold`` makes the new rows of the touched buckets out of theirs and the batch's.
+def ingest_json(spark: SparkSession, folder: str, schema: T.StructType, path: str, checkpoint: str,
+                files_per_batch: int = 1000) -> StreamingQuery:
+    """New JSON lines of a folder to ``path``; lines that are no JSON, or not of ``schema``, are set aside whole.
 
-    Does nothing if the table has this batch of ``source`` or a later one. ``counts`` are aggregates over the
-    folded rows, taken while they are written and kept in the manifest. The number of buckets is that which the
-    table was begun with.
+    Each micro-batch is one write: sound rows and broken lines in folders of their own, below a folder of
+    the batch that is replaced if it runs again. ``read_json_ingest`` reads both.
     """
-    now = table.version()
-    if now is not None and batch_id <= now.batches.get(source, -1):
-        return
-    buckets = int(now.properties.get("buckets", buckets)) if now else buckets
-    rows = rows.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    touched = None
-    if now is not None:
-        rows = stored(rows, "batch")
-        touched = [f"{_BUCKET}={r[0]}" for r in rows.select(_BUCKET).distinct().collect()]
-    merged = fold(table.read(touched or [], now), rows)
-    seen = Observation()
-    if counts:
-        merged = merged.observe(seen, *[c.alias(name) for name, c in counts.items()])
-    table.put(merged.hint("rebalance", _BUCKET), touched, {source: batch_id},
-              (lambda: {k: v or 0 for k, v in seen.get.items()}) if counts else None, {"buckets": str(buckets)}, now)
+    full = T.StructType([*schema.fields, T.StructField(_LINE, T.StringType())])
+    rows = (spark.readStream.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _LINE)
+            .option("maxFilesPerTrigger", files_per_batch).json(folder))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        flagged = batch.withColumn("sound", F.col(_LINE).isNull())
+        flagged.write.mode("overwrite").partitionBy("sound").parquet(f"{path}/batch_id={batch_id}")
 
+    return _sink(rows, checkpoint, save)
+
+
+def read_json_ingest(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(sound rows, broken lines as ``line``) of all batches."""
+    full = T.StructType([*schema.fields, T.StructField(_LINE, T.StringType()), T.StructField("sound", T.BooleanType()),
+                         T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(full).parquet(path)
+    return rows.filter("sound").select(*schema.names), rows.filter("not sound").select(F.col(_LINE).alias("line"))
+
+
+# --- tables by hash bucket ---------------------------------------------------------------------------------
 
 def _sink(df: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return (df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

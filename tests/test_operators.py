@@ -6,11 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from listingflow.operators import dedupe, filters, merge, quality, rollups
+from listingflow.operators import dedupe, filters, merge, quality, rollups, search
+from listingflow.operators.search_index import PostingIndex
 from listingflow.session import scratch_dir, stored
 from listingflow.sources import archive, markup, pages, tables
 from listingflow import catalog
 from listingflow.catalog import fixtures
+from listingflow.plans import curate as curate_plans
 from listingflow.plans.curate import cleanup_table, curate
 from listingflow.sources import feeds
 from listingflow.sources.versioned import VersionedTable
@@ -417,3 +419,115 @@ def test_api_payload_keys_and_amount_aliases(spark):
     payloads = spark.createDataFrame([(t,) for t in texts], "json string")
     got = {r.name: (r.min_award, r.max_award) for r in feeds.read_api(payloads).collect()}
     assert got == {"a": (100, None), "b": (70, 70), "c": (None, 9), "d": (5, 5)}
+
+
+def test_contract_rules_are_counted_in_the_pass_that_writes(spark):
+    schema = "id string, user_id string, listing_id string, organization string, status string"
+    rows = [("1", "u", "l1", "o", "draft"), (None, None, "l2", "o" * 256, "lost"), ("3", "u", None, None, None), ("4", "u", "l9", "o", "draft")]
+    listings = spark.createDataFrame([("l1",), ("l2",), ("l1",), (None,)], "listing_id string")
+    apps = quality.reference(spark.createDataFrame(rows, schema), "listing_id", listings, "listing_id", "unknown")
+    rules = quality.application_rules() | {"listing_unknown": F.col("unknown")}
+    path = scratch_dir(spark, "checked") + "/rows"
+    counts = quality.store_checked(apps, rules, path)
+    assert counts == {"rows": 4, "broken": 3, "id_missing": 1, "user_id_missing": 1, "listing_id_missing": 1, "status_unknown": 1,
+                      "organization_too_long": 1, "listing_unknown": 1}
+    good, bad = quality.read_checked(apps, path)
+    assert [r.id for r in good.collect()] == ["1"] and good.columns == apps.columns
+    assert {r.id: sorted(r.broken) for r in bad.collect()} == {
+        None: ["id_missing", "organization_too_long", "status_unknown", "user_id_missing"], "3": ["listing_id_missing"], "4": ["listing_unknown"]}
+    empty = scratch_dir(spark, "checked") + "/rows"
+    assert quality.store_checked(apps.limit(0), rules, empty)["rows"] == 0
+
+
+def test_longest_domain_decides_the_scope(spark):
+    pages_ = spark.createDataFrame([
+        (1, "s", "https://a.b.org/x", 0), (2, "s", "https://B.org/", 3), (3, "s", "https://c.b.org:80/", 4), (4, "s", "https://x.c.b.org/", None),
+        (5, "s", "https://own.net/p", 1), (6, "s", "https://notown.net/", 1), (7, "t", "https://a.b.org/x", 0), (8, "s", None, 0),
+        (9, "s", "https://bad.own.net/", 0), (10, None, "https://b.org/", 0)], "id int, site string, url string, depth int")
+    sites = spark.createDataFrame([("s", "https://own.net/start"), ("t", None)], "site string, url string")
+    domains = spark.createDataFrame([("s", "b.org", True), ("s", "c.b.org", False), ("s", "x.c.b.org", True), ("s", "x.c.b.org", True),
+                                     ("s", "bad.own.net", False), ("s", "bad.own.net", True)], "site string, domain string, allowed boolean")
+    kept = filters.scope_by_site(pages_, sites, domains, depth="depth")
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 4, 5] and kept.columns == pages_.columns
+    assert filters.scope_by_site(pages_, sites.limit(0), domains.limit(0)).count() == 0
+
+
+def test_dictionary_of_many_phrases(spark):
+    """100,000 phrases are broadcast, so texts are not shuffled; a larger one is joined by phrase."""
+    words = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("category"), F.concat_ws(
+        " ", *[F.concat(F.lit(f"{c}"), (F.col("id") * k % 99_991).cast("string")) for c, k in (("W", 1), ("v", 7), ("u", 3))]).alias("keyword"))
+    extra = spark.createDataFrame([("x", "Grant"), ("x", "grant"), ("y", "GRANT"), ("z", "  "), ("z", "--")], "category string, keyword string")
+    texts = spark.createDataFrame([(i, f"Some w{i}, V{i * 7 % 99_991} u{i * 3 % 99_991}; grants grant! w5") for i in range(40)]
+                                  + [(100, None), (101, "")], "id int, text string")
+    found = search.tag_dictionary(texts, F.col("text"), "id", words.union(extra))
+    got = {(r.id, r.category, r.keyword) for r in found.collect()}
+    assert len(got) == 40 * 4 + 9 and {(3, "odd", "W3 v21 u9"), (3, "x", "Grant"), (3, "x", "grant"), (3, "y", "GRANT")} <= got
+    final = plan(found)
+    assert "BroadcastHashJoin" in final or "AdaptiveSparkPlan" in final
+    assert search.tag_dictionary(texts, F.col("text"), "id", words.limit(0)).count() == 0
+
+
+def test_feed_files_and_feed_texts_agree(spark):
+    feed = ("<rss><channel><a><b><item><title>One &amp; two</title><description><![CDATA[by <b>the</b> </item> end]]></description>"
+            "<link>https://x.org/1</link></item></b></a>\n<item kind='x'><title>Three</title><link>l</link></item></channel></rss>")
+    bad = "<rss><channel><item><title>ok</title></item><item><title>x</titel></item></channel></rss>"
+    path = scratch_dir(spark, "feeds") + "/files"
+    spark.createDataFrame([(feed,), (bad,)], "xml string").write.option("maxRecordsPerFile", 1).text(path)
+    by_file = {(r.name, r.url, r.description) for r in feeds.read_feed_files(spark, path).collect()}
+    by_text = {(r.name, r.url, r.description) for r in feeds.read_feed(spark.createDataFrame([(feed,)], "xml string")).collect()}
+    assert by_text < by_file and by_file - by_text == {("ok", None, None)} and ("One & two", "https://x.org/1", "by <b>the</b> </item> end") in by_text
+    assert feeds.broken_feed_items(spark, path).count() == 1
+
+
+def test_json_lines_are_all_kept_in_any_batches(spark):
+    schema = spark.createDataFrame([], "a bigint, b string").schema
+    lines = ['{"a": 1, "b": "x"}', '{"a": 2', "", '{"a": "no", "b": "y"}', '{"b": "z"}', "[1]", "{}"]
+    results = []
+    for files in (1, 4):
+        work = scratch_dir(spark, "json")
+        spark.createDataFrame([(x,) for x in lines], "line string").repartition(files).write.text(f"{work}/in")
+        for _ in range(2):
+            stream.ingest_json(spark, f"{work}/in", schema, f"{work}/out", f"{work}/cp", files_per_batch=1).awaitTermination()
+        sound, broken = stream.read_json_ingest(spark, f"{work}/out", schema)
+        results.append((sorted(map(str, sound.collect())), sorted(r.line for r in broken.collect())))
+    assert results[0] == results[1] and '{"a": 2' in results[0][1] and '{"a": "no", "b": "y"}' in results[0][1] and len(results[0][0]) >= 3
+
+
+def test_details_of_pages_go_into_the_batch(spark, data):
+    listing = spark.createDataFrame([("a", "One", "old", 0.0), ("b", "Two", "kept", 5.0), (None, "Three", "x", 1.0)],
+                                    "url string, name string, eligibility string, max_award double")
+    details = spark.createDataFrame([(2, "a", "later", 9.0), (1, "a", "Applicants must be  brave. " + "y" * 2000, 7.0), (3, "b", "", 0.0),
+                                     (4, None, "none", 1.0)], "page_id int, url string, eligibility string, max_award double")
+    got = {r.name: (r.eligibility, r.max_award) for r in curate_plans.with_details(listing, details).collect()}
+    assert got["Two"] == ("kept", 5.0) and got["Three"] == ("x", 1.0) and got["One"][1] == 7.0
+    assert got["One"][0].startswith("brave. yy") and len(got["One"][0]) == 1000
+    whole = curate_plans.with_details(listing, details, max_chars=None)
+    assert max(len(r.eligibility) for r in whole.collect()) == 2007
+    from listingflow.catalog import jobs
+    target = jobs._target(spark, data).limit(5)
+    registry = tables.Registry()
+    registry.register("one", lambda s, d: listing.filter("name = 'One'").withColumns({"src_seq": F.lit(1), "organization": F.lit("o"), "deadline": F.lit("")}))
+    merged, counts = curate_plans.ingest(spark, registry, data, target, "1998-06-15", "job", details)
+    assert [r.eligibility[:6] for r in merged.filter("action = 'insert'").collect()] == ["brave."]
+    assert [tuple(r) for r in counts.collect()] == [("one", "completed", 1, 0)]
+
+
+def test_an_index_kept_up_to_date_is_that_of_a_rebuild(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(12)]
+    index = PostingIndex(spark, scratch_dir(spark, "index") + "/i", "id", "bigint", ["text"], 2)
+    held = {}
+    schema = "id bigint, text string"
+    for batch in range(7):
+        rows = {rng.randrange(30): " ".join(rng.choices(vocabulary, k=rng.randrange(1, 9))) for _ in range(rng.choice((1, 6, 12)))}
+        gone = rng.sample(sorted(held), min(len(held), 3)) if batch % 2 else []
+        for _ in range(1 + (batch == 3)):  # a batch that runs again changes nothing
+            index.apply(spark.createDataFrame(list(rows.items()), schema), spark.createDataFrame([(i,) for i in gone], "id bigint"), batch)
+        held = {k: v for k, v in held.items() if k not in gone} | rows
+    assert index.rows() == len(held) and len(index.segments()) < 7
+    table = spark.createDataFrame(list(held.items()), schema)
+    for query in (["w1", "W5"], ["w3", "w3", "none"], ["none"]):
+        fresh = search.search(search.build_postings(table, "id", ["text"]), "id", query, 10, len(held))
+        assert [tuple(r) for r in index.search(query, 10).collect()] == [tuple(r) for r in fresh.collect()]
+    index.apply(None, table.select("id"), 7)
+    assert index.rows() == 0 and index.search(["w1"], 5).collect() == []
