@@ -1,14 +1,15 @@
 """URL filtering by rules and by a ratio of two character language models.
 
-URLs that a rule or a listed word in the host rejects train one model; the other is trained on those that
-nothing rejects, allowed by a rule or not judged by any. Both are Markov models of variable order: the longest context seen, up to three
-characters, interpolated with shorter ones (Witten-Bell). A URL's score is the difference of its
-log-likelihoods by character; the threshold is calibrated on labelled URLs that trained neither.
+URLs that a rule or a label in the host rejects train one model, and those that a rule or a label accepts train the other.
+What nothing judges counts as accepted too unless told otherwise, as learning from positive and unlabelled examples does. Both are
+Markov models of variable order: the longest context seen, up to three characters, interpolated with shorter ones
+(Witten-Bell). A URL's score is the difference of its log-likelihoods by character; the threshold is calibrated on labelled
+URLs that trained neither, which also tell how often it is wrong.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
     ("com/fr/", "allow"), ("com/de/", "block"),
 )
-#: A host with one of these words is an example of what is rejected.
-BAD_WORDS = ("adult", "ads", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
+#: A host with one of these as a whole label, between dots or hyphens, is an example of what is rejected.
+REJECTED_LABELS = ("adult", "ads", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
 
 #: Letters and signs that are told apart; digits are one symbol, others one more, and the border of a URL one.
 _SIGNS = "-./_?=&%#:~"
@@ -105,35 +106,50 @@ def likelihoods(counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """The difference of log-likelihoods by gram code, and the score from which a URL is allowed."""
+    """The difference of log-likelihoods by gram code, and the score from which a URL is allowed.
+
+    ``false_block`` and ``false_allow`` are the shares of accepted and of rejected URLs, of those that trained no model, that
+    the threshold judges wrong; None if there are none.
+    """
 
     ratio: np.ndarray
     threshold: float
+    false_block: float | None = None
+    false_allow: float | None = None
 
     def score(self, url: str | None) -> float:
         """The mean difference by character; URLs that are null or empty have no score but the least."""
         return float(self.ratio[grams(url)].mean()) if url else -float("inf")
 
 
-def _labelled(pages: DataFrame) -> DataFrame:
+def _labelled(pages: DataFrame, rejected: Sequence[str], accepted: Sequence[str], unjudged_accepted: bool) -> DataFrame:
+    """url and ``label`` (1 accepted, 0 rejected) of the examples. A rule decides before labels, rejection before acceptance."""
     host = host_of(F.col("url"))
     rule = rule_of(host, path_of(F.col("url")))
-    bad = F.lit(False)
-    for word in BAD_WORDS:
-        bad = bad | host.contains(word)
-    blocked = F.coalesce(rule.isin([r for r, v in RULES if v == "block"]), F.lit(False))
-    return pages.where("url <> ''").select("url", F.when(blocked | bad, 0).otherwise(1).alias("label"))
+    parts = F.split(host, "[.-]")
+    by_rule = F.when(rule.isin([r for r, v in RULES if v == "block"]), 0).when(rule.isNotNull(), 1)
+
+    def named(labels: Sequence[str]) -> Column:
+        return F.arrays_overlap(parts, F.array(*map(F.lit, labels))) if labels else F.lit(False)
+
+    by_label = F.when(named(rejected), 0).when(named(accepted), 1)
+    label = F.coalesce(by_rule, by_label, F.lit(1 if unjudged_accepted else None).cast("int"))
+    return pages.where("url <> ''").select("url", label.alias("label")).where("label is not null")
 
 
-def fit(pages: DataFrame) -> Model:
-    """A model of all URLs; a fifth of them, by a hash of the URL, calibrates the threshold.
+def fit(pages: DataFrame, rejected: Sequence[str] = REJECTED_LABELS, accepted: Sequence[str] = (),
+        unjudged_accepted: bool = True) -> Model:
+    """A model of all examples; a fifth of them, by a hash of the URL, calibrates the threshold.
+
+    Examples are URLs that a rule judges, those whose host has one of the labels ``rejected`` or ``accepted``, and the others as
+    accepted ones unless not ``unjudged_accepted``.
 
     What the driver gathers is bounded by the alphabet: a count per gram of four symbols out of
     ``SYMBOLS``, and a count per bin of scores. The threshold maximises the mean of both classes'
     shares judged right; it is 0 if a class has no example.
     """
     held = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    labelled = _labelled(pages).withColumn("held", held)
+    labelled = _labelled(pages, rejected, accepted, unjudged_accepted).withColumn("held", held)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +170,14 @@ def fit(pages: DataFrame) -> Model:
     ratio = (likelihoods(counts[1]) - likelihoods(counts[0])).astype(np.float32)
     scored = score(labelled.where("held").select("url", "label"), Model(ratio, 0.0), ("label",))
     bins = scored.groupBy("label", F.floor(F.col("score") / _BIN).alias("bin")).count().collect()
-    return Model(ratio, _threshold([(r["bin"], r["label"], r["count"]) for r in bins]))
+    counted = [(r["bin"], r["label"], r["count"]) for r in bins]
+    threshold = _threshold(counted)
+
+    def wrong(label: int) -> float | None:
+        total = sum(n for _, k, n in counted if k == label)
+        return sum(n for b, k, n in counted if k == label and (b * _BIN >= threshold) != (label == 1)) / total if total else None
+
+    return Model(ratio, threshold, wrong(1), wrong(0))
 
 
 def _threshold(bins: list[tuple[int, int, int]]) -> float:
@@ -186,15 +209,15 @@ def score(pages: DataFrame, model: Model, keep: tuple[str, ...] = ("page_id",))
     return pages.select(*keep, "url").mapInArrow(run, schema)
 
 
-def judge(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every row's URL.
+def judge(pages: DataFrame, **examples) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of every row's URL, and the model's false_block and false_allow.
 
     The longest rule that fits decides, else the model fitted on the same table: ``allow`` from its
     threshold on. A null or empty URL has empty host and path, no rule, score minus infinity and is
     blocked. Repeated rows are judged alike, rows without an id too; other columns are ignored.
     """
     pages = pages.select("page_id", "url")
-    model = fit(pages)
+    model = fit(pages, **examples)
     parts = score(pages, model).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}) \
         .withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}) \
         .withColumn("rule", rule_of(F.col("host"), F.col("path")))
@@ -202,4 +225,6 @@ def judge(pages: DataFrame) -> DataFrame:
     for rule, verdict in RULES:
         by_rule = F.when(F.col("rule") == rule, verdict).otherwise(by_rule)
     by_model = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
-    return parts.select("page_id", "host", "path", "rule", F.coalesce(by_rule, by_model).alias("verdict"), "score")
+    errors = [F.lit(e).cast("double").alias(name) for name, e in
+              (("false_block", model.false_block), ("false_allow", model.false_allow))]
+    return parts.select("page_id", "host", "path", "rule", F.coalesce(by_rule, by_model).alias("verdict"), "score", *errors)

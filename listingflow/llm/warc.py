@@ -25,8 +25,9 @@ from listingflow.session import scratch_dir
 LEAST_REVISIT = 100
 #: Seconds since 1970 of page 0 where pages carry no time of capture.
 FIRST_CAPTURE = 1_704_067_200
-#: Records of a file at most. Readers hold a file at a time, so this bounds their memory by the size of pages.
-FILE_RECORDS = 1000
+#: A file's records by their size in bytes: so many of at most so many bytes each, so a file has about 64 MB at most, or one
+#: larger record. Readers hold a file at a time.
+TIERS = ((1 << 16, 1000), (1 << 20, 62), (1 << 24, 4), (1 << 62, 1))
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -38,11 +39,19 @@ def url_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(labels, F.lit(")"), rest)).otherwise(F.coalesce(url, F.lit("")))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """``record``, the text of each page's WARC record without the blank lines that end it."""
+def records(pages: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``record``, the text of each page's WARC record without the blank lines that end it, with its ``tier``; and the
+    tiers that there are."""
     payload = F.coalesce("html", F.lit(""))
     read = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"),
                         F.octet_length(payload).alias("n"))
+    # No more than what a record has besides its payload; a URL may triple as its spaces are escaped, and is there once.
+    size = F.col("n") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1000
+    tier = F.lit(len(TIERS) - 1)
+    for i in reversed(range(len(TIERS) - 1)):
+        tier = F.when(size <= TIERS[i][0], i).otherwise(tier)
+    read = read.withColumn("tier", tier)
+    tiers = sorted(r["tier"] for r in read.select("tier").distinct().collect())
     # Written, so that its size is known: where it is small the payloads are joined without a shuffle.
     first = stored(read.where(F.col("n") >= LEAST_REVISIT).groupBy("digest")
                    .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
@@ -68,7 +77,7 @@ def records(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     return read.join(first, "digest", "left") \
-        .select(F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), block).alias("record"))
+        .select("tier", F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), block).alias("record")), tiers
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -78,9 +87,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
     at least 100 bytes the one of the smallest page_id is a response and the others revisit it; all rows of that id are
     responses, and a row without an id revisits if any row has one. Repeated rows
     are written each. White space and control characters in a URL become %20; a null URL
-    has no target line. Other columns are ignored.
+    has no target line. Other columns are ignored. Records of a size tier share files, so that long pages
+    make no file larger than a reader holds; a tier costs a pass over the pages, and most tables have one.
     """
-    records(pages).write.mode("errorifexists").option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    written, tiers = records(pages)
+    for i in tiers or [0]:
+        written.where(F.col("tier") == i).select("record").write.mode("errorifexists").option("lineSep", _END) \
+            .option("maxRecordsPerFile", TIERS[i][1]).text(f"{path}/tier={i}")
 
 
 def _parse(data: memoryview) -> Iterator[tuple]:

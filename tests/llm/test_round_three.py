@@ -289,3 +289,107 @@ def test_features_do_not_depend_on_blocks():
         assert all((language_id.features(text, block=b) == whole).all() for b in (1, 2, 3, 50))
     spaced = " " + re.sub(r"[^a-z]+", " ", "some text  of words") + " "
     assert language_id.features("some text  of words").sum() == sum(len(spaced) - n for n in range(3))
+
+
+# --- URL models and mixing by brute force ---------------------------------------------------------------------
+
+def brute_probabilities(urls):
+    """(context, symbol) -> probability by Witten-Bell interpolation of contexts of 0 to 3 symbols."""
+    counts = [defaultdict(lambda: defaultdict(int)) for _ in range(4)]
+    for url in urls:
+        s = url_filter.symbols(url).tolist()
+        for i in range(3, len(s)):
+            for k in range(4):
+                counts[k][tuple(s[i - k:i])][s[i]] += 1
+
+    def p(context, symbol):
+        below = 1 / url_filter.SYMBOLS
+        for k in range(4):
+            seen = counts[k].get(tuple(context[3 - k:]), {})
+            kinds = max(len(seen), 1)
+            below = (seen.get(symbol, 0) + kinds * below) / (sum(seen.values()) + kinds)
+        return below
+
+    return p
+
+
+def test_url_scores_and_threshold_equal_brute_force(spark):
+    urls = [f"http://site{i}.net/en/{i}" for i in range(40)] + [f"https://poker-{i % 7}.example.net/p{i}" for i in range(40)] \
+        + [f"http://downloads{i}.net/x" for i in range(5)] + ["http://a.org/es", "http://x.com/de/1"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+    def label(url):
+        host = url.split("://")[1].split("/")[0]
+        return int(not (url.startswith("http://x.com/de/") or "poker" in re.split("[.-]", host)))
+
+    learned = {k: [u for u in urls if label(u) == k and zlib.crc32(u.encode()) % 5] for k in (0, 1)}
+    models = {k: brute_probabilities(v) for k, v in learned.items()}
+
+    def score(url):
+        s = url_filter.symbols(url).tolist()
+        ratios = [np.log(models[1](s[i - 3:i], s[i])) - np.log(models[0](s[i - 3:i], s[i])) for i in range(3, len(s))]
+        return sum(ratios) / len(ratios)
+
+    wanted = {i: score(u) for i, u in enumerate(urls)}
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert all(abs(got[i].score - w) < 1e-5 for i, w in wanted.items())
+    held = [(wanted[i], label(u)) for i, u in enumerate(urls) if zlib.crc32(u.encode()) % 5 == 0]
+    model = url_filter.fit(pages)
+
+    def right(t):
+        return sum(sum((s >= t) == k for s, x in held if x == k) / sum(x == k for _, x in held) for k in (0, 1))
+
+    best = max(right(t) for t in np.arange(-400, 400) / 64)
+    assert right(model.threshold) == pytest.approx(best) and 2 - right(model.threshold) == pytest.approx(model.false_block + model.false_allow)
+    assert {r.false_block for r in got.values()} == {model.false_block}
+    only = url_filter.fit(pages, rejected=("poker",), accepted=("net",), unjudged_accepted=False)
+    assert np.isfinite(only.ratio).all() and only.false_block is not None
+
+
+def test_the_mix_equals_brute_force(spark):
+    """Whole passes over a source, and of the rest whole blocks in their order and the cut block up to the nearest document."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    blank = spark.createDataFrame([(10_000 + i, " ", "blank") for i in range(1500)], "doc_id long, text string, source string")
+    docs = docs.union(blank).repartition(4)
+    made = mixing.plan(docs, shards=4, block_words=300)
+    placed = made.docs.collect()
+    assert max(sum(1 for r in placed if (r.source, r.block) == k) for k in {(r.source, r.block) for r in placed}) <= 700
+    shares = {s.source: s for s in made.shares}
+    got = {r.doc_id: r for r in mixing.mix(docs, shards=4, block_words=300).collect()}
+    for source, share in shares.items():
+        own = [r for r in placed if r.source == source]
+        words = defaultdict(int)
+        for r in own:
+            words[r.block] += r["size"]
+        place = {r.block: (r.block, None) for r in own}
+        drawn = {r.block: r for r in made.blocks.where(F.col("source") == source).collect()}
+        left, taken = share.rest, 0
+        assert set(drawn) == set(place)
+        for block in drawn:
+            part = drawn[block]["part"]
+            members = sorted((r for r in own if r.block == block), key=lambda r: (r.order, r.doc_id))
+            reached = 0
+            for r in members:
+                reached += r["size"]
+                extra = part == words[block] and part > 0 or 0 < part < words[block] and 2 * reached - r["size"] <= 2 * part
+                assert got[r.doc_id].taken == r["size"] * (share.passes + extra)
+                taken += got[r.doc_id].taken
+            left -= part
+        assert left == 0 and sum(0 < drawn[b]["part"] < words[b] for b in drawn) <= 1
+        assert abs(taken - share.target) <= max((r["size"] for r in own), default=0) / 2 + 1
+    mixed = mixing.mixed_documents(docs, shards=4, block_words=300)
+    copies = defaultdict(int)
+    for r in mixed.select("doc_id").collect():
+        copies[r.doc_id] += 1
+    assert copies == {i: len(r.shards) for i, r in got.items() if r.shards}
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", "x" * n) for i, n in enumerate([10, 200_000, 2_000_000, 30, 17_000_000, 300_000] + [50] * 30)],
+                                  "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages, path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    got = {r.page_id: r.payload_bytes for r in warc.read_archives(spark, path).collect()}
+    assert got == {r.page_id: len(r.html) for r in pages.collect()} and len(sizes) > 4
+    assert sorted(sizes)[-1] < 17_100_000 and sorted(sizes)[-2] < 2_100_000
