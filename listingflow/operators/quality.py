@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql import types as T
 
 from listingflow import vocabulary as V
+from listingflow.session import observed
 
 BROKEN = "broken"
 _GOOD = "sound"
@@ -72,7 +73,7 @@ def store_checked(df: DataFrame, rules: dict[str, Column], path: str) -> dict[st
     checked.withColumn(_GOOD, F.size(BROKEN) == 0).observe(
         seen, F.count("*").alias("rows"), F.count_if(F.size(BROKEN) > 0).alias("broken"), *counts) \
         .write.partitionBy(_GOOD).parquet(path)
-    return dict(seen.get)
+    return dict.fromkeys(("rows", "broken", *rules), 0) | observed(seen)
 
 
 def read_checked(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

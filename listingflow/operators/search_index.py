@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from listingflow.operators import search
 from listingflow.operators.merge import fold_in
+from listingflow.session import observed
 from listingflow.sources.versioned import BUCKET, BUCKETS, VersionedTable, apply_batch, bucketed
 
 #: Segments of a tier that are merged; a tier holds segments of up to so many times the rows of the one below.
@@ -59,7 +60,7 @@ class PostingIndex:
         placed = postings.withColumn("segment", F.lit(segment).cast("bigint")) \
             .withColumn(BUCKET, F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).observe(seen, F.count("*").alias("n"))
         self.postings.put(placed.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "term"), touched,
-                          {} if batch is None else {_STREAM: batch}, properties=lambda: {f"segment {segment}": str(seen.get["n"])}, before=now)
+                          {} if batch is None else {_STREAM: batch}, properties=lambda: {f"segment {segment}": str(observed(seen).get("n", 0))}, before=now)
 
     def segments(self) -> dict[int, int]:
         """The postings of each segment, dead ones included."""

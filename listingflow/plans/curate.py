@@ -13,7 +13,7 @@ from listingflow.operators.dedupe import dedupe_first
 from listingflow.operators.filters import drop_expired, fill_defaults
 from listingflow.operators import rollups
 from listingflow.operators.merge import new_only, overlay, upsert
-from listingflow.session import stored
+from listingflow.session import observed, stored
 from listingflow.sources.tables import Registry, conform, union_sources
 from listingflow.sources.versioned import VersionedTable, named
 
@@ -148,6 +148,7 @@ def ingest(spark: SparkSession, registry: Registry, data: str, target: DataFrame
     rows = union_sources(listings.values())
     rows = rows if details is None else with_details(rows, details)
     curated = stored(curate(rows, known, as_of, job_id).observe(seen, *sums), "curated")
-    done = [(name, "completed", *(seen.get[f"{c} {i}"] or 0 for c in ("inserted", "updated"))) for i, name in enumerate(listings)]
+    counts = observed(seen)
+    done = [(name, "completed", *(counts.get(f"{c} {i}", 0) for c in ("inserted", "updated"))) for i, name in enumerate(listings)]
     merged = upsert(known, curated.select(*known.columns), "listing_id", as_of)
     return merged, spark.createDataFrame(done + failed, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def get_session(app: str = "listingflow", cpus: int | str = "*") -> SparkSession:
@@ -48,3 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name) + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(seen: Observation) -> dict[str, int]:
+    """What was observed of a frame that was written; 0 and null as 0.
+
+    Where adaptive execution finds that there is no row it drops the observation with the plan, and Spark then
+    fails to hand out what was never taken: nothing was observed.
+    """
+    try:
+        return {name: value or 0 for name, value in seen.get.items()}
+    except Py4JJavaError:
+        return {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from listingflow.session import stored
+from listingflow.session import observed, stored
 
 _VERSION = "table_version"
 _PART = "table_part"
@@ -178,4 +178,4 @@ def apply_batch(table: VersionedTable, rows: DataFrame, keys: Sequence[str], fol
     if counts:
         merged = merged.observe(seen, *[c.alias(name) for name, c in counts.items()])
     table.put(merged.hint("rebalance", BUCKET), touched, {source: batch_id},
-              (lambda: {k: v or 0 for k, v in seen.get.items()}) if counts else None, {"buckets": str(buckets)}, now)
+              (lambda: dict.fromkeys(counts, 0) | observed(seen)) if counts else None, {"buckets": str(buckets)}, now)

@@ -531,3 +531,17 @@ def test_an_index_kept_up_to_date_is_that_of_a_rebuild(spark):
         assert [tuple(r) for r in index.search(query, 10).collect()] == [tuple(r) for r in fresh.collect()]
     index.apply(None, table.select("id"), 7)
     assert index.rows() == 0 and index.search(["w1"], 5).collect() == []
+
+
+def test_empty_batches_change_nothing(spark):
+    schema = spark.createDataFrame([], "listing_id string, created_at timestamp_ntz, src_seq bigint").schema
+    none = spark.createDataFrame([], schema)
+    table = stream.upsert_table(spark, scratch_dir(spark, "none") + "/t", schema)
+    stream.upsert_rows(table, none, "listing_id", 0)
+    assert table.read().count() == 0
+    stream.upsert_rows(table, spark.createDataFrame([_event("a", 0, 1), (None, None, None)], schema), "listing_id", 1)
+    stream.upsert_rows(table, none, "listing_id", 2)
+    assert sorted(r.listing_id or "" for r in table.read().collect()) == ["", "a"] and table.version().batches == {"stream": 2}
+    index = PostingIndex(spark, scratch_dir(spark, "none") + "/i", "id", "bigint", ["text"])
+    index.apply(spark.createDataFrame([], "id bigint, text string"), None, 0)
+    assert index.rows() == 0 and index.search(["a"], 3).collect() == []
