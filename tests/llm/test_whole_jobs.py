@@ -88,3 +88,44 @@ def test_every_language_is_learned_however_many_there_are(spark):
     learned = texts.where(~language_id.held_out(F.col("doc_id"))).select("lang").distinct().count()
     model = language_id.fit(texts, dimensions=16)
     assert len(set(model.owner.tolist())) == len(model.languages) == learned > 1600
+
+
+def test_the_pipeline_equals_its_stages_by_brute_force(spark):
+    """Languages judged text by text, runs and near copies by comparing all pairs, draws as the mix has them, ids by the library."""
+    import hashlib
+    from collections import Counter
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from listingflow.llm import language_id, mixing
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(table)
+    docs = {r.doc_id: r for r in table.collect() if not model.judge(r.text)[2]}
+    gone = brute_runs(sorted((d, "\n".join(x.strip(" \t\n\x0b\x0c\r") for x in r.text.split("\n"))) for d, r in docs.items()))
+    texts = {}
+    for d, r in docs.items():
+        lines = r.text.split("\n")
+        deleted = [(d, k) in gone for k in range(len(lines))]
+        for k, line in enumerate(lines):  # blank lines between deleted ones go with them
+            if not line.strip() and any(deleted[:k]) and any(deleted[k + 1:]):
+                before = next(j for j in range(k - 1, -1, -1) if lines[j].strip())
+                after = next((j for j in range(k + 1, len(lines)) if lines[j].strip()), None)
+                deleted[k] = deleted[before] and after is not None and deleted[after]
+        texts[d] = "\n".join(x for x, out in zip(lines, deleted, strict=True) if not out)
+    ids = sorted(texts)
+    words = [texts[d].encode().lower().split() for d in ids]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = least_reached([(i, j) for i in range(len(ids)) for j in range(i) if sets[i] == sets[j]
+                           or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0], len(ids))
+    kept = [d for i, d in enumerate(ids) if label[i] == i]
+    left = spark.createDataFrame([(d, texts[d], docs[d].lang, docs[d].source, len(texts[d])) for d in kept], table.schema)
+    copies = {r.doc_id: len(r.shards) for r in mixing.mix(left).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = Counter()
+    for d in kept:
+        found = library.encode(texts[d], add_special_tokens=False).ids
+        wanted[d, len(found), hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest()] += copies[d]
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == +wanted and len(kept) < len(docs) < table.count() + 1
