@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,12 +28,34 @@ def get_session(app: str = "listingflow", cpus: int | str = "*") -> SparkSession
     )
 
 
+#: Folders of the scopes that are open, the innermost last.
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A folder for all written intermediates of a job, which is removed at the end.
+
+    What the job returns must be read before, or be written elsewhere. Scopes may lie in each other, in one thread.
+    """
+    path = scratch_dir(spark, name)
+    _SCOPES.append(path)
+    try:
+        yield path
+    finally:
+        _SCOPES.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for written intermediates, below ``spark.checkpoint.dir``.
+    """A new folder for written intermediates, of the scope that is open or below ``spark.checkpoint.dir``.
 
     All executors must see it, so without that setting only a local session
     may fall back to the machine's own temporary folder.
     """
+    if _SCOPES:
+        return f"{_SCOPES[-1]}/{name}-{uuid.uuid4().hex}"
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/listingflow/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from listingflow.operators import dedupe, filters, merge, quality, rollups, search
 from listingflow.operators.search_index import PostingIndex
-from listingflow.session import scratch_dir, stored
+from listingflow.session import scratch_dir, scratch_scope, stored
 from listingflow.sources import archive, markup, pages, tables
 from listingflow import catalog
 from listingflow.catalog import fixtures
@@ -545,3 +545,13 @@ def test_empty_batches_change_nothing(spark):
     index = PostingIndex(spark, scratch_dir(spark, "none") + "/i", "id", "bigint", ["text"])
     index.apply(spark.createDataFrame([], "id bigint, text string"), None, 0)
     assert index.rows() == 0 and index.search(["a"], 3).collect() == []
+
+
+def test_a_scope_removes_what_was_written_in_it(spark):
+    with scratch_scope(spark) as folder:
+        inner = stored(spark.range(5), "numbers")
+        assert all(folder in f for f in inner.inputFiles()) and inner.count() == 5
+    outer = stored(spark.range(3), "numbers")
+    assert outer.count() == 3 and folder not in outer.inputFiles()[0]
+    with pytest.raises(Exception):
+        spark.read.parquet(folder + "/*").count()
