@@ -86,7 +86,10 @@ def strip_phrases(c: Column, phrases: Iterable[str] = V.REDUNDANT_PHRASES) -> Co
     return squeeze_spaces(out)
 
 
-def truncate(c: Column, max_len: int = V.MAX_TEXT_LENGTH) -> Column:
+def truncate(c: Column, max_len: int | None = V.MAX_TEXT_LENGTH) -> Column:
+    """At most ``max_len`` characters, '...' included; all if None."""
+    if max_len is None:
+        return c
     return let(c, lambda t: F.when(
         F.length(t) > max_len,
         F.concat(trim(F.substring(t, 1, max_len - 3)), F.lit("..."))).otherwise(t))
@@ -100,8 +103,9 @@ def clean_level(c: Column) -> Column:
     return F.nullif(F.lower(squeeze_spaces(F.regexp_replace(c, "(?i)study", ""))), F.lit(""))
 
 
-def clip(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+def clip(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters; all if None."""
+    return c if n is None else F.substring(c, 1, n)
 
 
 def contains_any(c: Column, terms: Iterable[str], match: str = "substring") -> Column:

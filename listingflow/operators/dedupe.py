@@ -69,15 +69,18 @@ def _slice_of(df: DataFrame, order: str, slices: int) -> Column:
 
 
 def number_rows(df: DataFrame, order: str, by: list[str], name: str = "row_no",
-                slices: int = 1024) -> DataFrame:
+                slices: int | None = None) -> DataFrame:
     """1, 2, 3 ... within each group by a unique numeric ``order`` column.
 
     Rows are cut into ``slices`` ranges at quantiles of ``order`` over all groups,
     so a range has about an equal share of the rows, however the values lie, and
     no group has more of it. Rows are numbered per group and range and shifted by
     the size of the ranges before. The limits, at most ``slices`` numbers, are
-    fetched first: both branches of the plan use the same ones.
+    fetched first: both branches of the plan use the same ones. There are four slices per shuffle partition
+    unless said otherwise, 1024 at most.
     """
+    if slices is None:
+        slices = min(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sliced = df.withColumn("__slice", _slice_of(df, order, slices))
     keys = [*by, "__slice"]
     sizes = sliced.groupBy(*keys).agg(F.count("*").alias("__n"))

@@ -7,7 +7,9 @@ can be counted with ``unreadable``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listingflow import vocabulary as V
 from listingflow.functions import classify, ids, money, replies
@@ -20,12 +22,12 @@ _BROKEN = "_corrupt_record"
 _ITEM = r"(?s)<item(?:\s[^>]*)?>(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/item\s*>))*+</item\s*>"
 
 
-def _clip(c: Column, column: str) -> Column:
-    return tx.clip(c, V.CLIP_LENGTHS[column])
+#: Lengths that texts are cut to, by column; an empty mapping cuts none.
+Lengths = Mapping[str, int]
 
 
-def read_feed(payloads: DataFrame, *keep: str, text: str = "xml") -> DataFrame:
-    """RSS items as listings, at any depth of the feed; a feed that is not XML has none.
+def read_feed(payloads: DataFrame, *keep: str, text: str = "xml", lengths: Lengths = V.CLIP_LENGTHS) -> DataFrame:
+    """RSS items as listings, at any depth of the feed; a feed that is not XML has none. Texts are cut to ``lengths``.
 
     Items are cut out as text first, since a schema would name every level above them. An end tag in CDATA is text.
     """
@@ -35,17 +37,17 @@ def read_feed(payloads: DataFrame, *keep: str, text: str = "xml") -> DataFrame:
     items = (payloads.filter(sound.isNotNull() & sound[_BROKEN].isNull())
              .select(*keep, F.posexplode(found).alias("pos", "item"))
              .select(*keep, "pos", F.from_xml("item", _FEED_ITEM).alias("item")))
-    return _feed_listings(items, [*keep, "pos"])
+    return _feed_listings(items, [*keep, "pos"], lengths)
 
 
-def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
+def read_feed_files(spark: SparkSession, path: str, lengths: Lengths = V.CLIP_LENGTHS) -> DataFrame:
     """RSS items of feed files as listings, read by the XML source, which takes items at any depth.
 
     A file is read as a stream of items, so a feed may be larger than a task's memory, and text in CDATA is text.
     An item that is not XML is not a listing; ``broken_feed_items`` gives those.
     """
     items = _feed_items(spark, path).where(f"{_BROKEN} is null")
-    return _feed_listings(items.select(F.struct("title", "description", "link").alias("item")), [])
+    return _feed_listings(items.select(F.struct("title", "description", "link").alias("item")), [], lengths)
 
 
 def broken_feed_items(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +61,7 @@ def _feed_items(spark: SparkSession, path: str) -> DataFrame:
         .schema(f"{_FEED_ITEM}, {_BROKEN} string").load(path)
 
 
-def _feed_listings(items: DataFrame, keep: list[str]) -> DataFrame:
+def _feed_listings(items: DataFrame, keep: list[str], lengths: Lengths) -> DataFrame:
     name = F.coalesce("item.title", F.lit(V.UNKNOWN_TITLE))
     about = F.col("item.description")
     org = replies.organization_from_text(F.coalesce(F.nullif(about, F.lit("")), name))
@@ -69,8 +71,8 @@ def _feed_listings(items: DataFrame, keep: list[str]) -> DataFrame:
     ).select(
         *keep, ids.content_id(F.col("title"), F.col("organization"), length=16, lower=True)
         .alias("listing_id"),
-        _clip(F.col("title"), "name").alias("name"),
-        _clip(F.nullif("about", F.lit("")), "description").alias("description"),
+        tx.clip(F.col("title"), lengths.get("name")).alias("name"),
+        tx.clip(F.nullif("about", F.lit("")), lengths.get("description")).alias("description"),
         "organization", "url")
 
 
@@ -89,8 +91,11 @@ def api_items(payloads: DataFrame, *keep: str, text: str = "json") -> DataFrame:
             .select(*keep, F.posexplode(items).alias("pos", "item")))
 
 
-def read_api(payloads: DataFrame, *keep: str, text: str = "json") -> DataFrame:
-    """API items as listings; an amount is a number or {min, max}, both read from the first alias set."""
+def read_api(payloads: DataFrame, *keep: str, text: str = "json", lengths: Lengths = V.CLIP_LENGTHS) -> DataFrame:
+    """API items as listings; an amount is a number or {min, max}, both read from the first alias set.
+
+    Texts are cut to ``lengths``.
+    """
     v = F.col("item")
     fields = {c: replies.first_value(v, names) for c, names in V.API_ALIASES.items()
               if c != "amount"}
@@ -113,13 +118,13 @@ def read_api(payloads: DataFrame, *keep: str, text: str = "json") -> DataFrame:
         limits["min"].alias("min_award"), limits["max"].alias("max_award"),
     ).select(
         *keep, "pos", ids.short_id(F.col("title"), F.col("organization")).alias("listing_id"),
-        _clip(F.col("title"), "name").alias("name"),
-        _clip(F.col("about"), "description").alias("description"),
+        tx.clip(F.col("title"), lengths.get("name")).alias("name"),
+        tx.clip(F.col("about"), lengths.get("description")).alias("description"),
         "organization", "url", "min_award", "max_award")
 
 
-def read_replies(payloads: DataFrame, *keep: str, text: str = "reply") -> DataFrame:
-    """Listings in replies that hold a JSON array. Other replies give none."""
+def read_replies(payloads: DataFrame, *keep: str, text: str = "reply", max_chars: int | None = V.MAX_TEXT_LENGTH) -> DataFrame:
+    """Listings in replies that hold a JSON array. Other replies give none. Prose is cut to ``max_chars`` (None: not)."""
     items = (payloads.select(*keep, replies.reply_json(F.col(text)).alias("payload"))
              .select(*keep, F.posexplode(replies.variant_array(F.col("payload")))
                      .alias("pos", "item")))
@@ -138,14 +143,14 @@ def read_replies(payloads: DataFrame, *keep: str, text: str = "reply") -> DataFr
     levels = classify.academic_levels(F.concat_ws(" ", audience, "t_levels"))
     prepared = raw.withColumns({
         "audience": audience, "levels": levels,
-        "needs": tx.truncate(tx.strip_phrases(clean("eligibility")))})
+        "needs": tx.truncate(tx.strip_phrases(clean("eligibility")), max_chars)})
     with_level = F.concat(
         "needs", F.when(F.col("needs") != "", " | ").otherwise(""), "levels")
     flag = clean("renewable")
     return prepared.select(
         *keep, "pos", clean("name").alias("name"), clean("deadline").alias("deadline"),
         F.col("r_url").alias("url"),
-        tx.truncate(tx.strip_phrases(clean("description"))).alias("description"),
+        tx.truncate(tx.strip_phrases(clean("description")), max_chars).alias("description"),
         F.when(F.col("levels") != "", with_level).otherwise(F.col("needs")).alias("eligibility"),
         clean("organization").alias("organization"),
         tx.clean_level(F.col("levels")).alias("academic_level"),
@@ -166,8 +171,8 @@ def unreadable(payloads: DataFrame, *keep: str, text: str = "reply") -> DataFram
 
 
 def read_crawl_replies(payloads: DataFrame, *keep: str, text: str = "reply",
-                       url: str = "url") -> DataFrame:
-    """One listing per reply that holds a JSON object about the page at ``url``."""
+                       url: str = "url", max_chars: int | None = V.MAX_TEXT_LENGTH) -> DataFrame:
+    """One listing per reply that holds a JSON object about the page at ``url``. Prose is cut to ``max_chars`` (None: not)."""
     v = F.col("payload")
     found = (payloads.select(*keep, url, replies.reply_json(F.col(text), objects_only=True)
                              .alias("payload")).filter(v.isNotNull()))
@@ -180,8 +185,8 @@ def read_crawl_replies(payloads: DataFrame, *keep: str, text: str = "reply",
 
     return found.select(
         *keep, clean("title").alias("name"), clean("deadline").alias("deadline"),
-        F.col(url).alias("url"), tx.truncate(clean("description")).alias("description"),
-        tx.truncate(clean("eligibility")).alias("eligibility"),
+        F.col(url).alias("url"), tx.truncate(clean("description"), max_chars).alias("description"),
+        tx.truncate(clean("eligibility"), max_chars).alias("eligibility"),
         clean("organization").alias("organization"),
         F.coalesce(tx.clean_level(value("academic_level", "academicLevel")), F.lit(""))
         .alias("academic_level"),

@@ -154,8 +154,8 @@ def _text_or(c: Column, default: str | Column) -> Column:
     return F.coalesce(tx.blank_to_null(c), default)
 
 
-def _prose(c: Column) -> Column:
-    return tx.truncate(tx.strip_phrases(tx.truncate(c)))
+def _prose(c: Column, max_chars: int | None) -> Column:
+    return tx.truncate(tx.strip_phrases(tx.truncate(c, max_chars)), max_chars)
 
 
 def _audience(text: Column) -> dict[str, Column]:
@@ -178,13 +178,14 @@ ROW_FIELDS = {
 
 
 def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
-                 html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+                 html: str = "html", keep: tuple[str, ...] = ("page_id",),
+                 max_chars: int | None = V.MAX_TEXT_LENGTH) -> DataFrame:
     """Listings from table rows of five cells: name, level, type, amount, deadline.
 
     Cells count by their place among the row's ``td``, whatever else the row has. All
     links of the name cell make the name, the first gives the address. The name
     cell may go on with 'Organization: ...' and 'Purposes: ...'. Rows of other
-    award types and header rows are left out.
+    award types and header rows are left out. Prose is cut to ``max_chars`` (None: not).
     """
     rows = select_rows(_pages_with(pages, html, "<td"), "table tr", ROW_FIELDS, keep, html)
     cell = [F.get("cells", F.lit(i)) for i in range(5)]
@@ -206,7 +207,7 @@ def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
     offered = F.concat(F.lit("Scholarship offered by "),
                        _text_or(F.col("organization"), fallback_source))
     described = parsed.withColumn("description", F.when(
-        F.col("purposes") != "", tx.truncate(_clean(F.col("purposes")))).otherwise(offered))
+        F.col("purposes") != "", tx.truncate(_clean(F.col("purposes")), max_chars)).otherwise(offered))
     award = money.award(F.col("amount"))
     audience = F.concat_ws(" ", "raw_name", "description", "purposes")
     href = F.get("hrefs", F.lit(0))
@@ -217,7 +218,7 @@ def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
         _clean(F.col("raw_name")).alias("name"),
         _clean(format_deadline(F.col("raw_deadline"), year)).alias("deadline"),
         link.alias("url"),
-        _prose(_clean(F.col("description"))).alias("description"),
+        _prose(_clean(F.col("description")), max_chars).alias("description"),
         "organization",
         F.coalesce(tx.clean_level(cell[1]), F.lit("")).alias("academic_level"),
         *[c.alias(n) for n, c in _audience(audience).items()],
@@ -254,8 +255,8 @@ def _routed(kind: str) -> Column:
 
 
 def extract_blocks(pages: DataFrame, year: int, html: str = "html",
-                   keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Listings from ``.row`` blocks that hold a summary and a description."""
+                   keep: tuple[str, ...] = ("page_id",), max_chars: int | None = V.MAX_TEXT_LENGTH) -> DataFrame:
+    """Listings from ``.row`` blocks that hold a summary and a description. Prose is cut to ``max_chars`` (None: not)."""
     rows = select_rows(_pages_with(pages, html, "scholarship-summary"), ".row", BLOCK_FIELDS,
                        keep, html)
     name = tx.trim(F.col("name"))
@@ -277,8 +278,8 @@ def extract_blocks(pages: DataFrame, year: int, html: str = "html",
         *keep, "pos", _clean(F.col("name")).alias("name"),
         _clean(format_deadline(F.col("raw_deadline"), year)).alias("deadline"),
         F.coalesce("href", F.lit("")).alias("url"),
-        _prose(_clean(F.col("prose"))).alias("description"),
-        _prose(_clean(F.col("eligibility"))).alias("eligibility"),
+        _prose(_clean(F.col("prose")), max_chars).alias("description"),
+        _prose(_clean(F.col("eligibility")), max_chars).alias("eligibility"),
         F.coalesce(tx.clean_level(F.col("levels")), F.lit("")).alias("academic_level"),
         _clean(F.col("places")).alias("geographic_restrictions"),
         *[c.alias(n) for n, c in _audience(audience).items()],
@@ -379,8 +380,9 @@ def _broad_selector(terms) -> str:
 
 
 def extract_broad(pages: DataFrame, base: Column, terms=tuple(V.BROAD_CLASS_TERMS),
-                  html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Listings from any div, tr or li whose class holds one of the terms."""
+                  html: str = "html", keep: tuple[str, ...] = ("page_id",),
+                  lengths: Mapping[str, int] = V.CLIP_LENGTHS) -> DataFrame:
+    """Listings from any div, tr or li whose class holds one of the terms. Texts are cut to ``lengths`` by column (empty: none)."""
     fields = {n: Field(tuple(s)) for n, s in V.BROAD_SELECTORS.items()}
     fields["href"] = field("a", take="href")
     rows = select_rows(_pages_with(pages, html, *terms), _broad_selector(terms), fields, keep,
@@ -390,12 +392,12 @@ def extract_broad(pages: DataFrame, base: Column, terms=tuple(V.BROAD_CLASS_TERM
     return (rows.filter(F.coalesce(name, F.lit("")) != "")
             .select(*keep, "pos",
                     ids.short_id(name, tx.trim(F.col("organization"))).alias("listing_id"),
-                    tx.clip(name, V.CLIP_LENGTHS["name"]).alias("name"),
+                    tx.clip(name, lengths.get("name")).alias("name"),
                     tx.blank_to_null(F.col("organization")).alias("organization"),
                     limits["min"].alias("min_award"), limits["max"].alias("max_award"),
                     tx.blank_to_null(F.col("deadline")).alias("deadline"),
                     tx.clip(tx.blank_to_null(F.col("description")),
-                            V.CLIP_LENGTHS["description"]).alias("description"),
+                            lengths.get("description")).alias("description"),
                     F.when(F.coalesce("href", F.lit("")) != "",
                            absolutise(F.col("href"), base)).alias("url")))
 
