@@ -3,15 +3,16 @@
 Centroids come from a bounded sample. Every vector goes to the list of its nearest centroid and,
 near a border, to others as well. A query walks an in-memory graph of the centroids and
 searches the lists whose distance is within a ratio of the nearest's; the ratio is the one that
-finds the wanted share of true neighbours in the sample. Lists are searched as Spark groups,
-large ones in tiles.
+finds the wanted share of true neighbours, in the sample, of some of the queries themselves, whose vectors may be
+unlike the rest. The walk sets out from centroids far from each other, and is widened until it finds that share too.
+Lists are searched as Spark groups, large ones in tiles.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,11 @@ LIST_ROWS = 128
 LISTS = 2048
 #: A vector is replicated to at most so many lists whose distance is within the factor of the nearest's.
 COPIES, BORDER = 8, 1.15
-#: Share of true neighbours that the ratio is to find in the sample, by so many of its vectors.
-RECALL, PROBES = 0.975, 256
+#: Share of true neighbours that the ratio is to find in the sample, by about so many queries.
+RECALL, PROBES = 0.975, 512
+#: Centroids that a walk sets out from, and how far beyond the ratio it goes on, in turn.
+ENTRIES = 256
+SLACKS = (1.05, 1.5, 2.0, float("inf"))
 NEIGHBOURS = 10
 #: Rows of a tile: a list is searched in tiles of so many vectors and so many queries.
 TILE_VECTORS, TILE_QUERIES = 8192, 1024
@@ -67,18 +71,26 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids, their neighbour graph, and the ratio that prunes lists."""
+    """Centroids around ``origin``, their neighbour graph, and the ratio that prunes lists.
 
+    A nearest centroid that is nearer than ``floor`` counts as that far, or a query that is a centroid would reach no other.
+    """
+
+    origin: np.ndarray
     centroids: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
-    ratio: float
+    floor: float
+    ratio: float = 1.0
+    slack: float = SLACKS[0]
 
     def lists(self, query: np.ndarray) -> list[int]:
         """Lists whose centroid is within ``ratio`` of the nearest, by a best-first walk of the graph.
 
         The walk goes on while what it meets is near enough to matter.
         """
+        query = query - self.origin
+
         def distance(nodes: np.ndarray) -> np.ndarray:
             gap = self.centroids[nodes] - query
             return np.sqrt((gap * gap).sum(axis=1))
@@ -89,14 +101,15 @@ class Index:
         heap = list(zip(start.tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(heap)
         found = dict(zip(self.entries.tolist(), start.tolist(), strict=True))
-        best = float(start.min())
-        while heap and heap[0][0] <= best * max(self.ratio, 1.05) * 1.05:
+        best = max(float(start.min()), self.floor)
+        while heap and heap[0][0] <= best * max(self.ratio, 1.05) * self.slack:
             _, node = heapq.heappop(heap)
             fresh = self.graph[node][~seen[self.graph[node]]]
             if len(fresh):
+                fresh = np.unique(fresh)
                 seen[fresh] = True
                 far = distance(fresh)
-                best = min(best, float(far.min()))
+                best = max(min(best, float(far.min())), self.floor)
                 found.update(zip(fresh.tolist(), far.tolist(), strict=True))
                 for item in zip(far.tolist(), fresh.tolist(), strict=True):
                     heapq.heappush(heap, item)
@@ -104,7 +117,7 @@ class Index:
 
     def postings(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each posting of the vectors ``block``: the nearest, and others near enough."""
-        far = np.sqrt(_squares(block, self.centroids))
+        far = np.sqrt(_squares(block - self.origin, self.centroids))
         near = np.argsort(far, axis=1, kind="stable")[:, :COPIES]
         reach = np.take_along_axis(far, near, axis=1)
         row, at = np.nonzero(reach <= BORDER * reach[:, :1])
@@ -129,42 +142,81 @@ def _balanced(sample: np.ndarray, k: int, rng: np.random.Generator, rounds: int
     return centers
 
 
-def fit(rows: DataFrame, dimension: int, list_rows: int = LIST_ROWS, lists: int = LISTS) -> Index:
-    """An index from about ``SAMPLE`` vectors chosen by a hash of their ids."""
-    total = rows.count()
-    part = min(1.0, SAMPLE / max(1, total))
+def _some(rows: DataFrame, total: int, most: int, dimension: int) -> np.ndarray:
+    """About ``most`` vectors of ``total`` rows, chosen by a hash of their ids."""
+    part = min(1.0, most / max(1, total))
     spread = 1 << 30
     picked = rows.where(F.pmod(F.xxhash64(F.lit("ann"), "vec_id"), F.lit(spread)) < int(part * spread)) \
         .orderBy("vec_id").toArrow()
-    sample = np.unique(_matrix(picked["v"], dimension), axis=0) if picked.num_rows else np.zeros((0, dimension))
-    if not len(sample):
-        sample = np.zeros((1, dimension))
+    return _matrix(picked["v"], dimension) if picked.num_rows else np.zeros((0, dimension))
+
+
+def fit(rows: DataFrame, queries: DataFrame, dimension: int, list_rows: int = LIST_ROWS, lists: int = LISTS) -> Index:
+    """An index of ``rows`` from about ``SAMPLE`` of their vectors and ``PROBES`` of the queries."""
+    total = rows.count()
+    probes = _some(queries, queries.count(), PROBES, dimension)
+    return fitted(_some(rows, total, SAMPLE, dimension), probes, min(lists, max(1, total // list_rows)))
+
+
+def fitted(sample: np.ndarray, probes: np.ndarray, k: int) -> Index:
+    """An index of ``k`` lists at most from a sample of the vectors and of the queries."""
+    sample = np.unique(sample, axis=0) if len(sample) else np.zeros((1, sample.shape[1]))
+    origin = sample.mean(axis=0)
+    sample = sample - origin
     rng = np.random.default_rng(0)
     sample = sample[rng.permutation(len(sample))]
-    k = int(min(lists, max(1, total // list_rows), len(sample)))
+    k = min(k, len(sample))
     centroids = _balanced(sample, k, rng)
     near = np.argsort(_squares(centroids, centroids), axis=1, kind="stable")[:, :17]
     links = rng.integers(0, k, (k, 4))  # a few long ways keep the graph connected
     graph = np.concatenate([near, links, ((np.arange(k) + 1) % k)[:, None]], axis=1)
-    entries = np.unique(rng.integers(0, k, 16))
-    index = Index(centroids, graph, entries, 1.0)
-    return Index(centroids, graph, entries, _ratio(index, sample))
-
-
-def _ratio(index: Index, sample: np.ndarray) -> float:
-    """The ratio within which a list of ``RECALL`` of the sample's true neighbours lies."""
-    queries = sample[:PROBES]
-    far = np.sqrt(_squares(queries, index.centroids))
-    far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
-    rows, lists = index.postings(sample)
-    gaps = _squares(queries, sample)
-    gaps[np.arange(len(queries)), np.arange(len(queries))] = np.inf
-    truth = np.argsort(gaps, axis=1)[:, :min(NEIGHBOURS, len(sample) - 1)]
-    by_row: dict[int, list[int]] = {}
-    for row, one in zip(rows.tolist(), lists.tolist(), strict=True):
-        by_row.setdefault(row, []).append(one)
-    needed = [min(far[q, by_row[int(n)]]) for q in range(len(queries)) for n in truth[q]]
-    return float(np.quantile(needed, RECALL)) if needed else 1.0
+    own = np.sqrt(np.concatenate([_squares(part, centroids).min(axis=1)
+                                  for part in np.array_split(sample, max(1, len(sample) // 4096))]))
+    index = Index(origin, centroids, graph, _spread(centroids, ENTRIES), max(float(np.quantile(own, 0.1)), 1e-12))
+    return _pruned(index, sample + origin, probes)
+
+
+def _spread(centroids: np.ndarray, most: int) -> np.ndarray:
+    """Centroids that are far from each other: each is the one farthest from those before it."""
+    chosen = [0]
+    far = _squares(centroids, centroids[:1])[:, 0]
+    while len(chosen) < min(most, len(centroids)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _squares(centroids, centroids[chosen[-1:]])[:, 0])
+        far[chosen] = 0
+    return np.unique(chosen)
+
+
+def _pruned(index: Index, sample: np.ndarray, probes: np.ndarray) -> Index:
+    """``index`` with the ratio within which a list of ``RECALL`` of the probes' true neighbours in the sample lies.
+
+    Of the slacks of the walk the first is taken by which the probes reach this share.
+    """
+    rows, lists = index.postings(sample)  # by row
+    starts = np.searchsorted(rows, np.arange(len(sample) + 1))
+    near: list[list[np.ndarray]] = []  # the lists of each neighbour of each probe
+    needed: list[float] = []
+    for part in np.array_split(probes, max(1, len(probes) // 64)):
+        gaps = _squares(part - index.origin, sample - index.origin)
+        for probe, gap in zip(part, gaps, strict=True):
+            closest = np.argsort(gap, kind="stable")[:NEIGHBOURS + 1]
+            closest = closest[~(sample[closest] == probe).all(axis=1)][:NEIGHBOURS]
+            near.append([lists[starts[n]:starts[n + 1]] for n in closest])
+            far = np.sqrt(((index.centroids - (probe - index.origin)) ** 2).sum(axis=1))
+            needed += [float(far[own].min() / max(far.min(), index.floor)) for own in near[-1]]
+    if not needed:
+        return index
+    # The next needed one above the share, and what rounding may take from it.
+    index = replace(index, ratio=max(1.0, float(np.quantile(needed, RECALL, method="higher"))) * (1 + 1e-9))
+    for slack in SLACKS:
+        index = replace(index, slack=slack)
+        reached = 0
+        for probe, owners in zip(probes, near, strict=True):
+            found = set(index.lists(probe))
+            reached += sum(not found.isdisjoint(own.tolist()) for own in owners)
+        if reached >= RECALL * len(needed):
+            break
+    return index
 
 
 def _tile(queries: pa.Table, found: pa.Table, dimension: int, k: int) -> pa.Table:
@@ -200,7 +252,8 @@ def nearest(table: DataFrame, every: int = 100, k: int = NEIGHBOURS, list_rows:
     spark = table.sparkSession
     kept, dimension = vectors(table)
     rows = stored(kept.withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
-    index = fit(rows, dimension, list_rows, lists)
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    index = fit(rows, queries, dimension, list_rows, lists)
     shared = spark.sparkContext.broadcast(index)
 
     def post(batches) -> Iterator[pa.RecordBatch]:
@@ -219,7 +272,6 @@ def nearest(table: DataFrame, every: int = 100, k: int = NEIGHBOURS, list_rows:
                 .append_column("list", pa.array([c for one in found for c in one], pa.int32()))
             yield from taken.combine_chunks().to_batches()
 
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     posted = stored(rows.mapInArrow(post, "vec_id long, v array<double>, list int"), "postings")
     probed = stored(queries.mapInArrow(probe, "vec_id long, v array<double>, list int")
                     .withColumnRenamed("vec_id", "query_id"), "probes")
@@ -227,8 +279,9 @@ def nearest(table: DataFrame, every: int = 100, k: int = NEIGHBOURS, list_rows:
     ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
     top = stored(best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "found")
     total = rows.count()
-    short = queries.select(F.col("vec_id").alias("query_id"), "v") \
-        .join(top.where(F.col("rank") == min(k, total - 1)), "query_id", "left_anti")
+    # Written, or both sides of the search would be columns of one table.
+    short = stored(queries.select(F.col("vec_id").alias("query_id"), "v")
+                   .join(top.where(F.col("rank") == min(k, total - 1)), "query_id", "left_anti"), "short")
     if total > 1 and not short.isEmpty():
         rest = _search(short.withColumn("list", F.lit(0)), rows.withColumn("list", F.lit(0)), dimension, k)
         again = rest.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
