@@ -10,7 +10,7 @@ there are they compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -34,14 +34,24 @@ def simhash(text: str, shingle: int = 3, block: int = 50_000) -> int:
         return 0
     hashed = partial(xxhash.xxh64_intdigest, seed=42)
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(64, dtype=np.int64)
-    for start in range(0, n, block):
-        part = words[start:min(start + block, n) + shingle - 1]
-        grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False)) \
-            if len(words) >= shingle else [b" ".join(words)]
-        h = np.fromiter(map(hashed, grams), dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+    def blocks() -> Iterator[np.ndarray]:
+        for start in range(0, n, block):
+            part = words[start:min(start + block, n) + shingle - 1]
+            grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False)) \
+                if len(words) >= shingle else [b" ".join(words)]
+            yield np.fromiter(map(hashed, grams), dtype="<u8")
+
+    return majority(blocks())
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The unsigned fingerprint of hashes: a bit is 1 if it is set in over half of them; 0 of none."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
+        bits = np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(((counts * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
