@@ -45,36 +45,46 @@ def field(*selectors: str, **options) -> Field:
     return Field(selectors, **options)
 
 
-def _read(page: markup.Page, row: int, spec: Field):
-    if spec.sibling:
+def _reader(spec: Field) -> Callable[[markup.Page, int], str | list[str] | None]:
+    """What reads the field of a row."""
+    take, then = spec.take, spec.then
+
+    def value(page, node):
+        if then:
+            inner = page.select(then, node)
+            if take == "text":
+                return "".join([page.text(i) for i in inner])
+            return page.attribute(inner[0], take) if inner else None
+        return page.text(node) if take == "text" else page.attribute(node, take)
+
+    def below(page, row):
+        if not spec.selectors:
+            return value(page, row)
+        for selector in spec.selectors:
+            nodes = page.select(selector, row)
+            if not nodes:
+                continue
+            if spec.pick == "joined":
+                out = "".join([value(page, n) or "" for n in nodes])
+            else:
+                out = value(page, nodes[0 if spec.pick == "first" else -1])
+            if out is not None and (len(spec.selectors) == 1 or out.strip()):
+                return out
+        return None
+
+    def each(page, row):
+        return [value(page, n) or "" for n in page.select(spec.selectors[0], row)] if spec.selectors else value(page, row)
+
+    read = each if spec.pick == "each" else below
+    if not spec.sibling:
+        return read
+
+    def beside(page, row):
         after = page.following(row)
         if after is None or page.tag(after) != spec.sibling:
             return [] if spec.pick == "each" else None
-        row = after
-
-    def value(node):
-        if spec.then:
-            inner = page.select(spec.then, node)
-            if spec.take == "text":
-                return "".join(page.text(n) for n in inner)
-            return page.attribute(inner[0], spec.take) if inner else None
-        return page.text(node) if spec.take == "text" else page.attribute(node, spec.take)
-
-    if not spec.selectors:
-        return value(row)
-    for selector in spec.selectors:
-        nodes = page.select(selector, row)
-        if spec.pick == "each":
-            return [value(n) or "" for n in nodes]
-        if not nodes:
-            continue
-        if spec.pick == "joined":
-            out = "".join(value(n) or "" for n in nodes)
-        else:
-            out = value(nodes[0 if spec.pick == "first" else -1])
-        if out is not None and (out.strip() or len(spec.selectors) == 1):
-            return out
-    return [] if spec.pick == "each" else None
+        return read(page, after)
+    return beside
 
 
 def _spark_type(spec: Field) -> T.DataType:
@@ -123,9 +133,11 @@ def select_rows(pages: DataFrame, row_selector: str, fields: Mapping[str, Field]
     per_row = T.StructType([T.StructField("pos", T.IntegerType())] + [
         T.StructField(n, _spark_type(f)) for n, f in fields.items()])
 
+    readers = [_reader(f) for f in fields.values()]
+    page_readers = [_reader(f) for f in (page_fields or {}).values()]
+
     def rows_of(page):
-        return [(i, *[_read(page, e, f) for f in fields.values()])
-                for i, e in enumerate(page.select(row_selector))]
+        return [(i, *[read(page, e) for read in readers]) for i, e in enumerate(page.select(row_selector))]
 
     if page_fields is None:
         return _read_pages(pages, list(keep), lambda text: rows_of(markup.Page(text)), per_row,
@@ -133,13 +145,42 @@ def select_rows(pages: DataFrame, row_selector: str, fields: Mapping[str, Field]
 
     def whole(text):
         page = markup.Page(text)
-        yield rows_of(page), *[_read(page, 0, f) for f in page_fields.values()]
+        yield rows_of(page), *[read(page, 0) for read in page_readers]
 
     per_page = T.StructType([T.StructField("rows", T.ArrayType(per_row))] + [
         T.StructField(n, _spark_type(f)) for n, f in page_fields.items()])
     return _read_pages(pages, list(keep), whole, per_page, html)
 
 
+def select_labelled(pages: DataFrame, row_selector: str, label: Field,
+                    wanted: Mapping[str, tuple[tuple[str, ...], Field]], keep: tuple[str, ...] = ("page_id",),
+                    html: str = "html", page_fields: Mapping[str, Field] | None = None) -> DataFrame:
+    """One row per page: what ``wanted`` says of the last row with one of its labels, then ``page_fields``.
+
+    Labels are compared trimmed and in lower case. A column is null where no row has one of its labels.
+    """
+    label_of = _reader(label)
+    columns = [(labels, _reader(f)) for labels, f in wanted.values()]
+    page_readers = [_reader(f) for f in (page_fields or {}).values()]
+
+    def read(text):
+        page = markup.Page(text)
+        last = {}
+        for row in page.select(row_selector):
+            said = label_of(page, row)
+            if said is not None:
+                last[said.strip(tx.JS_SPACES).lower()] = row
+        values = []
+        for labels, value_of in columns:
+            row = max((last[name] for name in labels if name in last), default=None)
+            values.append(None if row is None else value_of(page, row))
+        yield *values, *[read(page, 0) for read in page_readers]
+
+    added = T.StructType([T.StructField(n, _spark_type(f)) for n, f in [
+        *((n, f) for n, (_, f) in wanted.items()), *(page_fields or {}).items()]])
+    return _read_pages(pages, list(keep), read, added, html)
+
+
 def _pages_with(pages: DataFrame, html: str, *marks: str) -> DataFrame:
     """Leave out pages that cannot match before they are sent to Python."""
     return pages.filter(tx.contains_any(F.lower(F.col(html)), marks))
@@ -208,8 +249,9 @@ def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
                        _text_or(F.col("organization"), fallback_source))
     described = parsed.withColumn("description", F.when(
         F.col("purposes") != "", tx.truncate(_clean(F.col("purposes")), max_chars)).otherwise(offered))
-    award = money.award(F.col("amount"))
-    audience = F.concat_ws(" ", "raw_name", "description", "purposes")
+    # Bound once, since several columns are made of them.
+    described = described.withColumns({
+        "award": money.award(F.col("amount")), "audience": F.concat_ws(" ", "raw_name", "description", "purposes")})
     href = F.get("hrefs", F.lit(0))
     link = F.when(F.coalesce(href, F.lit("")) == "", "").when(href.startswith("http"), href) \
         .otherwise(F.concat(F.lit(base), href))
@@ -221,8 +263,8 @@ def extract_rows(pages: DataFrame, base: str, year: int, fallback_source: str,
         _prose(_clean(F.col("description")), max_chars).alias("description"),
         "organization",
         F.coalesce(tx.clean_level(cell[1]), F.lit("")).alias("academic_level"),
-        *[c.alias(n) for n, c in _audience(audience).items()],
-        award.alias("min_award"), award.alias("max_award"))
+        *[c.alias(n) for n, c in _audience(F.col("audience")).items()],
+        F.col("award").alias("min_award"), F.col("award").alias("max_award"))
 
 
 # --- listings in blocks ----------------------------------------------------------------
@@ -272,8 +314,10 @@ def extract_blocks(pages: DataFrame, year: int, html: str = "html",
         "places": _routed("place"),
         "raw_deadline": _text_or(F.col("last_deadline"), V.MISSING_DEADLINE),
     })
-    award = money.award(_text_or(F.col("amount"), V.MISSING_AMOUNT_BLOCK))
-    audience = F.concat_ws(" ", "name", "prose", "eligibility")
+    # Bound once, since several columns are made of them.
+    parsed = parsed.withColumns({
+        "award": money.award(_text_or(F.col("amount"), V.MISSING_AMOUNT_BLOCK)),
+        "audience": F.concat_ws(" ", "name", "prose", "eligibility")})
     return parsed.select(
         *keep, "pos", _clean(F.col("name")).alias("name"),
         _clean(format_deadline(F.col("raw_deadline"), year)).alias("deadline"),
@@ -282,58 +326,48 @@ def extract_blocks(pages: DataFrame, year: int, html: str = "html",
         _prose(_clean(F.col("eligibility")), max_chars).alias("eligibility"),
         F.coalesce(tx.clean_level(F.col("levels")), F.lit("")).alias("academic_level"),
         _clean(F.col("places")).alias("geographic_restrictions"),
-        *[c.alias(n) for n, c in _audience(audience).items()],
-        award.alias("min_award"), award.alias("max_award"))
+        *[c.alias(n) for n, c in _audience(F.col("audience")).items()],
+        F.col("award").alias("min_award"), F.col("award").alias("max_award"))
 
 
 # --- details from label / value pairs -----------------------------------------------------
 
-def _labelled(*labels: str, part: str = "value") -> Column:
-    """The value of the last row with one of the labels, null without one."""
-    hits = F.filter("rows", lambda r: r["label"].isin(list(labels)))
-    return F.try_element_at(hits, F.lit(-1))[part]
-
-
-def _with_plain_labels(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("rows", F.transform("rows", lambda r: r.withField(
-        "label", F.lower(tx.trim(r["label"])))))
-
-
 def _if_given(c: Column, body) -> Column:
     """``body`` of a value, null without one."""
     return tx.let(c, lambda v: F.when(v.isNotNull(), body(v)))
 
 
 LABEL_ROW = "#scholarshipDetailContent table tr"
+LABEL = field("td")
+_LABEL_VALUE = field("td", pick="last")
 LABEL_FIELDS = {
-    "label": field("td"),
-    "value": field("td", pick="last"),
-    "href": field("td:last-child a", take="href"),
+    **{c: (labels, _LABEL_VALUE) for c, labels in {
+        "organization": ("organization",), "level": ("level of study",), "eligibility": ("qualifications",),
+        "funds": ("funds",), "duration": ("duration",), "deadline": ("deadline",),
+        "places": tuple(V.LOCATION_LABELS), "to_apply": ("to apply",)}.items()},
+    "more": (("for more information",), field("td:last-child a", take="href")),
 }
 
 
 def extract_labels(pages: DataFrame, year: int, html: str = "html",
                    keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One detail row per page from label/value table rows; absent labels stay null."""
-    rows = select_rows(_pages_with(pages, html, "<td"), LABEL_ROW, LABEL_FIELDS, keep, html,
-                       page_fields={}).transform(_with_plain_labels)
-
-    def value(*labels):
-        return tx.trim(_labelled(*labels))
-
-    apply_text = tx.not_empty(F.regexp_extract(value("to apply"), r"(https?://\S+)", 1))
-    more = tx.not_empty(_labelled("for more information", part="href"))
-    award = _if_given(value("funds"), money.award)
-    return rows.select(
+    rows = select_labelled(_pages_with(pages, html, "<td"), LABEL_ROW, LABEL, LABEL_FIELDS, keep, html)
+    value = lambda name: tx.trim(F.col(f"said.{name}"))
+    said = rows.select(*keep, F.struct(*LABEL_FIELDS).alias("said"))
+    apply_text = tx.not_empty(F.regexp_extract(value("to_apply"), r"(https?://\S+)", 1))
+    # Bound once, since two columns show it.
+    bound = said.withColumn("award", _if_given(value("funds"), money.award))
+    return bound.select(
         *keep, value("organization").alias("organization"),
-        tx.clean_level(value("level of study")).alias("academic_level"),
-        value("qualifications").alias("eligibility"),
-        award.alias("min_award"), award.alias("max_award"),
+        tx.clean_level(value("level")).alias("academic_level"),
+        value("eligibility").alias("eligibility"),
+        F.col("award").alias("min_award"), F.col("award").alias("max_award"),
         _if_given(value("duration"), lambda v: classify.is_renewable(v, "table"))
         .alias("renewable"),
         format_deadline(value("deadline"), year).alias("deadline"),
-        value(*V.LOCATION_LABELS).alias("geographic_restrictions"),
-        F.coalesce(apply_text, more).alias("apply_url"))
+        value("places").alias("geographic_restrictions"),
+        F.coalesce(apply_text, tx.not_empty(F.col("said.more"))).alias("apply_url"))
 
 
 TERM_ROW = "#scholarship-view .callout-details dl dt, #scholarship-view .callout-misc dl dt"
@@ -343,34 +377,34 @@ TERM_PAGE_FIELDS = {
     "apply_url": field('#description a[href*=".pdf"], #description a[href*="apply"], '
                        '#description a[href*="application"]', take="href"),
 }
-TERM_FIELDS = {"label": field(), "value": field(sibling="dd")}
+TERM = field()
+TERM_FIELDS = {c: ((label,), field(sibling="dd")) for c, label in {
+    "deadline": "deadline:", "renewable": "renewable", "min_award": "min. award:", "max_award": "max. award:",
+    "level": "enrollment level:", "country": "country:", "major": "major:"}.items()}
 
 
 def extract_terms(pages: DataFrame, year: int, html: str = "html",
                   keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One detail row per page from definition lists, sponsor and apply link."""
-    rows = select_rows(_pages_with(pages, html, "<dt", "scholarship-view"), TERM_ROW,
-                       TERM_FIELDS, keep, html, page_fields=TERM_PAGE_FIELDS) \
-        .transform(_with_plain_labels)
-
-    def value(label):
-        return tx.trim(_labelled(label))
-
-    sponsor = tx.blank_to_null(F.col("sponsor"))
-    return rows.select(
-        *keep, tx.blank_to_null(F.col("description")).alias("description"),
-        format_deadline(value("deadline:"), year).alias("deadline"),
+    rows = select_labelled(_pages_with(pages, html, "<dt", "scholarship-view"), TERM_ROW, TERM, TERM_FIELDS, keep, html,
+                           TERM_PAGE_FIELDS)
+    said = rows.select(*keep, F.struct(*TERM_FIELDS, *TERM_PAGE_FIELDS).alias("said"))
+    value = lambda name: tx.trim(F.col(f"said.{name}"))
+    sponsor = tx.blank_to_null(F.col("said.sponsor"))
+    return said.select(
+        *keep, tx.blank_to_null(F.col("said.description")).alias("description"),
+        format_deadline(value("deadline"), year).alias("deadline"),
         _if_given(value("renewable"), lambda v: classify.is_renewable(v, "list"))
         .alias("renewable"),
-        _if_given(value("min. award:"), money.award).alias("min_award"),
-        _if_given(value("max. award:"), money.award).alias("max_award"),
-        _if_given(value("enrollment level:"),
+        _if_given(value("min_award"), money.award).alias("min_award"),
+        _if_given(value("max_award"), money.award).alias("max_award"),
+        _if_given(value("level"),
                   lambda v: F.coalesce(tx.clean_level(v), F.lit(""))).alias("academic_level"),
-        _if_given(value("country:"), _clean).alias("country"),
-        _if_given(value("major:"), _clean).alias("eligibility"),
+        _if_given(value("country"), _clean).alias("country"),
+        _if_given(value("major"), _clean).alias("eligibility"),
         _if_given(sponsor, lambda v: _clean(F.substring_index(v, "\n", 1)))
         .alias("organization"),
-        tx.not_empty(F.col("apply_url")).alias("apply_url"))
+        tx.not_empty(F.col("said.apply_url")).alias("apply_url"))
 
 
 # --- broad and configured extraction ------------------------------------------------------
@@ -433,10 +467,10 @@ def extract_by_spec(pages: DataFrame, sites: DataFrame, html: str = "html",
 
     def read(text, selectors):
         page, selectors = markup.Page(text), dict(selectors)
-        values = [_read(page, 0, Field((s,))) if (s := selectors.get(n)) else None
+        values = [_reader(Field((s,)))(page, 0) if (s := selectors.get(n)) else None
                   for n in SPEC_FIELDS]
         link = selectors.get("scholarshipLinks")
-        yield *values, _read(page, 0, Field((link,), take="href")) if link else None
+        yield *values, _reader(Field((link,), take="href"))(page, 0) if link else None
 
     added = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = _read_pages(_with_spec(pages, sites), [*keep, "site"], read, added, html, "__spec")
