@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -15,7 +15,12 @@ def _first_of(low: Column, rules: Iterable[tuple[str, list[str]]]) -> Column:
     return F.coalesce(*[F.when(contains_any(low, words), label) for label, words in rules])
 
 
-def _tags(c: Column, rules: dict, match: str) -> Column:
+def _lower(c: Column, body: Callable[[Column], Column], lowered: bool) -> Column:
+    """``body`` of the lower-case text. A column that is ``lowered`` is named as it is, without a lambda."""
+    return body(c) if lowered else let(F.lower(c), body)
+
+
+def _tags(c: Column, rules: dict, match: str, lowered: bool) -> Column:
     def joined(low):
         tags = []
         for tag, (words, guards) in rules.items():
@@ -25,37 +30,39 @@ def _tags(c: Column, rules: dict, match: str) -> Column:
             tags.append(F.when(hit, tag))
         return F.concat_ws(", ", *tags)     # skips nulls; null text gives ''
 
-    return let(F.lower(c), joined)
+    return _lower(c, joined, lowered)
 
 
-def target_label(c: Column) -> Column:
-    """'Merit', 'Need', 'Both' or 'Not specified'."""
+def _target(c: Column, lowered: bool, both: str, merit_only: str, need_only: str, neither: str) -> Column:
     def label(low):
         merit, need = contains_any(low, V.MERIT_PHRASES), contains_any(low, V.NEED_PHRASES)
-        return let(F.struct(merit.alias("merit"), need.alias("need")), lambda has: (
-            F.when(has["merit"] & has["need"], "Both").when(has["merit"], "Merit")
-            .when(has["need"], "Need").otherwise("Not specified")))
+        return F.when(merit, F.when(need, both).otherwise(merit_only)) \
+            .otherwise(F.when(need, need_only).otherwise(neither))
 
-    return let(F.lower(F.coalesce(c, F.lit(""))), label)
+    return _lower(F.coalesce(c, F.lit("")), label, lowered)
+
+
+def target_label(c: Column, lowered: bool = False) -> Column:
+    """'Merit', 'Need', 'Both' or 'Not specified'."""
+    return _target(c, lowered, "Both", "Merit", "Need", "Not specified")
 
 
-def target_type(c: Column) -> Column:
+def target_type(c: Column, lowered: bool = False) -> Column:
     """The stored form: 'merit', 'need', or 'both' for everything else."""
-    return let(target_label(c), lambda label: F.when(
-        label.isin("Merit", "Need"), F.lower(label)).otherwise("both"))
+    return _target(c, lowered, "both", "merit", "need", "both")
 
 
-def academic_levels(c: Column, match: str = "substring") -> Column:
-    return _tags(c, V.ACADEMIC_LEVELS, match)
+def academic_levels(c: Column, match: str = "substring", lowered: bool = False) -> Column:
+    return _tags(c, V.ACADEMIC_LEVELS, match, lowered)
 
 
-def ethnicities(c: Column, match: str = "substring") -> Column:
-    return _tags(c, V.ETHNICITIES, match)
+def ethnicities(c: Column, match: str = "substring", lowered: bool = False) -> Column:
+    return _tags(c, V.ETHNICITIES, match, lowered)
 
 
-def gender(c: Column) -> Column:
+def gender(c: Column, lowered: bool = False) -> Column:
     """Only an explicit restriction counts; otherwise null."""
-    return let(F.lower(c), lambda low: _first_of(low, V.EXPLICIT_GENDERS))
+    return _lower(c, lambda low: _first_of(low, V.EXPLICIT_GENDERS), lowered)
 
 
 def parse_eligibility(c: Column) -> Column:

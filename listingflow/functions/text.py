@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
@@ -45,8 +46,8 @@ def not_empty(c: Column) -> Column:
 
 def squeeze_spaces(c: Column, space: str = JS_SPACE, spaces: str = JS_SPACES) -> Column:
     """Runs of white space to one space, trimmed. A lone space is not a match."""
-    runs = f"(?:(?! ){space}| (?={space})){space}*"
-    return trim(F.regexp_replace(c, runs, " "), spaces)
+    others = space.replace(" ", "")
+    return trim(F.regexp_replace(c, f"{others}{space}*+| {space}++", " "), spaces)
 
 
 def clean_text(c: Column, quotes: bool = False, commas: bool = False,
@@ -78,12 +79,32 @@ def unwrap_quotes(c: Column) -> Column:
     return let(let(squeeze(c), lambda t: _unwrap(t, '"')), lambda t: _unwrap(t, "'"))
 
 
+def _removed(c: Column, phrases: Iterable[str]) -> Column:
+    for phrase in phrases:
+        c = F.regexp_replace(c, f"(?i)\\Q{phrase}\\E", "")
+    return c
+
+
 def strip_phrases(c: Column, phrases: Iterable[str] = V.REDUNDANT_PHRASES) -> Column:
     """Remove phrases one after the other, ignoring case. The order matters."""
-    out = c
-    for phrase in phrases:
-        out = F.regexp_replace(out, f"(?i)\\Q{phrase}\\E", "")
-    return squeeze_spaces(out)
+    return squeeze_spaces(_removed(c, phrases))
+
+
+def strip_steps(phrases: Iterable[str] = V.REDUNDANT_PHRASES) -> list[Callable[[Column], Column]]:
+    """``strip_phrases`` in steps that skip texts without their phrases, each for a ``withColumns`` of its own.
+
+    A step takes phrases in a row that hold the same shortest one. A text without that one has none of them.
+    """
+    phrases = list(phrases)
+    inner = [min((q.lower() for q in phrases if q.lower() in p.lower()), key=len) for p in phrases]
+
+    def step(run, hints):
+        if not "".join(run).isascii():      # the pattern folds the case of ASCII letters only
+            return lambda c: _removed(c, run)
+        return lambda c: F.when(contains_any(F.lower(c), hints), _removed(c, run)).otherwise(c)
+
+    runs = [list(run) for _, run in groupby(zip(phrases, inner), key=lambda x: x[1] if inner.count(x[1]) > 1 else None)]
+    return [*(step(*map(list, zip(*run))) for run in runs), squeeze_spaces]
 
 
 def truncate(c: Column, max_len: int | None = V.MAX_TEXT_LENGTH) -> Column:
@@ -110,10 +131,12 @@ def clip(c: Column, n: int | None) -> Column:
 
 def contains_any(c: Column, terms: Iterable[str], match: str = "substring") -> Column:
     """Whether ``c`` (lower case already) holds any of the terms."""
-    terms = list(terms)
+    terms = list(dict.fromkeys(terms))
     if match == "word":
         words = "|".join(f"\\Q{t}\\E" for t in terms)
         return c.rlike(f"(?<![\\p{{L}}\\p{{N}}])(?:{words})(?![\\p{{L}}\\p{{N}}])")
+    # A text with a term also has each term inside that one.
+    terms = [t for t in terms if not any(other != t and other in t for other in terms)]
     found = F.lit(False)
     for i, term in enumerate(terms):
         found = c.contains(term) if i == 0 else found | c.contains(term)

@@ -125,42 +125,50 @@ def read_api(payloads: DataFrame, *keep: str, text: str = "json", lengths: Lengt
 
 def read_replies(payloads: DataFrame, *keep: str, text: str = "reply", max_chars: int | None = V.MAX_TEXT_LENGTH) -> DataFrame:
     """Listings in replies that hold a JSON array. Other replies give none. Prose is cut to ``max_chars`` (None: not)."""
-    items = (payloads.select(*keep, replies.reply_json(F.col(text)).alias("payload"))
-             .select(*keep, F.posexplode(replies.variant_array(F.col("payload")))
-                     .alias("pos", "item")))
-    v = F.col("item")
-    raw = items.select(*keep, "pos", *[
-        replies.first_value(v, names, V.REPLY_FALLBACKS.get(c, "")).alias(f"r_{c}")
-        for c, names in V.REPLY_ALIASES.items()
-    ], *[replies.first_value(v, [c], "").alias(f"t_{c}") for c in ("title", "description")],
-        F.concat_ws(" ", *[replies.first_value(v, [c], "") for c in V.REPLY_LEVEL_FIELDS])
-        .alias("t_levels"))
+    listed = replies.reply_json(F.col(text), as_type="array<variant>")
+    items = payloads.select(*keep, F.posexplode(listed).alias("pos", "item"))
+    v, texts = F.col("item"), F.col("texts")
+    known = [*(n for names in V.REPLY_ALIASES.values() for n in names), "title", "description", *V.REPLY_LEVEL_FIELDS]
+
+    def value(names, default=""):
+        return replies.first_value(v, names, default, texts)
+
+    # Columns that several others read are computed in a step of their own, so that no expression is repeated.
+    raw = items.withColumn("texts", replies.field_texts(v, known)).select(*keep, "pos", *[
+        value(names, V.REPLY_FALLBACKS.get(c, "")).alias(f"r_{c}") for c, names in V.REPLY_ALIASES.items()
+    ], *[value([c]).alias(f"t_{c}") for c in ("title", "description")],
+        F.concat_ws(" ", *[value([c]) for c in V.REPLY_LEVEL_FIELDS]).alias("t_levels"))
 
     def clean(c):
-        return tx.clean_text(F.col(f"r_{c}"), quotes=True)
+        t = F.col(f"r_{c}")     # never null
+        quoted = t.contains("'") | t.contains('"')
+        return F.when(quoted, tx.clean_text(t, quotes=True)).otherwise(tx.trim(t))
 
     audience = F.concat_ws(" ", "t_title", "t_description", "r_eligibility")
-    levels = classify.academic_levels(F.concat_ws(" ", audience, "t_levels"))
     prepared = raw.withColumns({
-        "audience": audience, "levels": levels,
-        "needs": tx.truncate(tx.strip_phrases(clean("eligibility")), max_chars)})
+        "audience": F.lower(audience), "audience_levels": F.lower(F.concat_ws(" ", audience, "t_levels")),
+        "needs": clean("eligibility"), "about": clean("description"), "flag": clean("renewable"),
+    })
+    for step in tx.strip_steps():
+        prepared = prepared.withColumns({c: step(F.col(c)) for c in ("needs", "about")})
+    prepared = prepared.withColumns({
+        "levels": classify.academic_levels(F.col("audience_levels"), lowered=True),
+        "needs": tx.truncate(F.col("needs"), max_chars), "about": tx.truncate(F.col("about"), max_chars)})
     with_level = F.concat(
         "needs", F.when(F.col("needs") != "", " | ").otherwise(""), "levels")
-    flag = clean("renewable")
     return prepared.select(
         *keep, "pos", clean("name").alias("name"), clean("deadline").alias("deadline"),
-        F.col("r_url").alias("url"),
-        tx.truncate(tx.strip_phrases(clean("description")), max_chars).alias("description"),
+        F.col("r_url").alias("url"), F.col("about").alias("description"),
         F.when(F.col("levels") != "", with_level).otherwise(F.col("needs")).alias("eligibility"),
         clean("organization").alias("organization"),
         tx.clean_level(F.col("levels")).alias("academic_level"),
         clean("geographic_restrictions").alias("geographic_restrictions"),
-        classify.target_type(F.col("audience")).alias("target_type"),
-        tx.non_empty(classify.ethnicities(F.col("audience"))).alias("ethnicity"),
-        tx.non_empty(classify.gender(F.col("audience"))).alias("gender"),
+        classify.target_type(F.col("audience"), lowered=True).alias("target_type"),
+        tx.non_empty(classify.ethnicities(F.col("audience"), lowered=True)).alias("ethnicity"),
+        tx.non_empty(classify.gender(F.col("audience"), lowered=True)).alias("gender"),
         money.award(F.col("r_min_amount")).alias("min_award"),
         money.award(F.col("r_max_amount")).alias("max_award"),
-        classify.is_renewable(flag, "reply").alias("renewable"),
+        classify.is_renewable(F.col("flag"), "reply").alias("renewable"),
         tx.non_empty(clean("country"), "US").alias("country"),
         clean("apply_url").alias("apply_url"))
 
